@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,3 +39,30 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
+
+
+_written: list[tuple[SparkSession, str]] = []
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a Parquet table in the folder that all executors share (smaller than checkpoint()). The tables go when the driver's Python ends."""
+    spark = df.sparkSession
+    top = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if top is None:
+        import tempfile
+
+        top = tempfile.mkdtemp(prefix="checkpoints-")
+    if not _written:
+        atexit.register(_forget)
+    path = f"{top.rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    _written.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _forget() -> None:
+    for spark, path in _written:
+        with contextlib.suppress(Exception):  # the context may have ended
+            context = spark.sparkContext
+            where = context._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)

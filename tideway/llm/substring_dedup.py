@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fm_index import FMIndex
-from .frames import small_batches, text_key
+from .frames import small_batches, stored, text_key
 from .words import Words, slices
 
 #: Words of an anchor; about 2 in (length - ANCHOR + 2) positions become anchors.
@@ -132,7 +132,10 @@ def _shard_search(length: int):
             return
         table = pa.Table.from_batches(parts).combine_chunks()
         h, c = np.asarray(table["h"].chunk(0)), np.asarray(table["c"].chunk(0))
-        words = table["words"].chunk(0)
+        order = np.lexsort((c, h))
+        once = np.sort(order[np.append(True, (h[order][1:] != h[order][:-1]) | (c[order][1:] != c[order][:-1]))])
+        h, c = h[once], c[once]
+        words = table["words"].chunk(0).take(pa.array(once))
         ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1] // 8
         values = np.frombuffer(words.buffers()[2], np.uint64)[ends[0] : ends[-1]]
         lengths = np.diff(ends).astype(np.int64)
@@ -149,7 +152,7 @@ def repeated_spans(docs: DataFrame, length: int = 35, id_col: str = "doc_id", te
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_key(text_col).alias("k"), F.col(text_col).alias("text")).where("text is not null")
     segments = texts.mapInArrow(_segment_mapper(length, anchor), _SEGMENTS)
     counts = segments.groupBy("h").agg(F.count("*").alias("places"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("places > 1")
-    repeated = segments.join(counts.select("h", (F.col("c0") != F.col("c1")).alias("several"), (F.col("places") > hot).alias("hot")), "h")
+    repeated = stored(segments.join(counts.select("h", (F.col("c0") != F.col("c1")).alias("several"), (F.col("places") > hot).alias("hot")), "h"))
 
     def spans(df: DataFrame, first, last) -> DataFrame:
         return df.select("id", "k", (F.shiftleft(first.cast("long"), 32) + last + F.lit(length)).alias("span"))
@@ -158,19 +161,20 @@ def repeated_spans(docs: DataFrame, length: int = 35, id_col: str = "doc_id", te
     plain = spans(repeated.where("not several"), start, start + F.col("at") % _PACK - 1)
     several = repeated.where("several")
     lists = several.groupBy("id", "k").agg(F.collect_list(F.struct("h", "c", "at", "hot")).alias("segments"))
-    t, s = texts.dropDuplicates(["id", "k"]).alias("t"), lists.alias("s")
+    t, s = texts.alias("t"), lists.alias("s")
     joined = t.join(s, F.col("t.id").eqNullSafe(F.col("s.id")) & (F.col("t.k") == F.col("s.k"))).select("t.id", "t.k", "t.text", "s.segments")
     content = joined.mapInArrow(_content_mapper(length), "h long, c long, words binary, id long, k long, at long")
     multiplicity = several.where("not hot").groupBy("h", "c").agg(F.count("*").alias("copies"))
-    distinct = content.where("words is not null").groupBy("h", "c").agg(F.first("words").alias("words"))
-    shards = distinct.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "h")
-    found = shards.mapInArrow(_shard_search(length), "h long, c long, runs array<bigint>")
+    shards = content.where("words is not null").select("h", "c", "words").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "h")
+    found = stored(shards.mapInArrow(_shard_search(length), "h long, c long, runs array<bigint>"))
     judged = multiplicity.join(found, ["h", "c"]).where("copies > 1 or size(runs) > 0").select("h", "c", "copies", "runs")
     matched = several.where("not hot").join(judged, ["h", "c"])
     runs = F.when(F.col("copies") > 1, F.array(F.lit(0).cast("long"), F.col("at") % _PACK - 1)).otherwise(F.col("runs"))
     pairs = matched.select("id", "k", "at", F.explode(_pairs(runs)).alias("run"))
     searched = spans(pairs, start + F.col("run.a"), start + F.col("run.b"))
-    windows = content.where("words is null")
+    windows = content.where("words is null").drop("words")
+    if several.where("hot").isEmpty():
+        return plain.unionAll(searched)
     twice = windows.groupBy("h", "c").agg(F.count("*").alias("places")).where("places > 1").select("h", "c")
     printed = spans(windows.join(twice, ["h", "c"]), F.col("at"), F.col("at"))
     return plain.unionAll(searched).unionAll(printed)
@@ -180,32 +184,37 @@ def _pairs(runs):
     return F.transform(F.sequence(F.lit(0), F.size(runs) - 2, F.lit(2)), lambda i: F.struct(F.get(runs, i).alias("a"), F.get(runs, i + 1).alias("b")))
 
 
-def _removal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, texts, lists = (batch.column(i) for i in range(3))
-        out: list[list] = [[], [], [], []]
-        for text, spans in zip(texts, lists, strict=True):
-            words = (text.as_py() or "").encode().split()  # bytes.split() cuts at \x20 and \x09-\x0D
-            removed = 0
-            if (values := spans.values) is not None and len(values):
-                packed = np.asarray(values)
-                edge = np.zeros(len(words) + 1, np.int32)
-                np.add.at(edge, packed >> 32, 1)
-                np.add.at(edge, packed & 0xFFFFFFFF, -1)
-                keep = np.cumsum(edge[:-1]) == 0
-                removed = len(words) - int(keep.sum())
-                kept = b" ".join(compress(words, keep.tolist()))
-            else:
-                kept = b" ".join(words)
-            for column, value in zip(out, (len(words), removed, hashlib.sha256(kept).hexdigest(), kept.decode()), strict=True):
-                column.append(value)
-        yield pa.RecordBatch.from_arrays([ids, pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.string())], names=["id", "n_words", "n_removed", "kept_sha256", "kept"])
-
-
-def remove_repeats(docs: DataFrame, length: int = 35, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """One row per row of docs: id, n_words, n_removed, kept_sha256, kept (the words left, joined by one space)."""
+def _removal(with_text: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts, lists = (batch.column(i) for i in range(3))
+            out: list[list] = [[], [], [], []]
+            for text, spans in zip(texts, lists, strict=True):
+                words = (text.as_py() or "").encode().split()  # bytes.split() cuts at \x20 and \x09-\x0D
+                removed = 0
+                if (values := spans.values) is not None and len(values):
+                    packed = np.asarray(values)
+                    edge = np.zeros(len(words) + 1, np.int32)
+                    np.add.at(edge, packed >> 32, 1)
+                    np.add.at(edge, packed & 0xFFFFFFFF, -1)
+                    keep = np.cumsum(edge[:-1]) == 0
+                    removed = len(words) - int(keep.sum())
+                    words = compress(words, keep.tolist())
+                    kept = b" ".join(words)
+                    count = len(keep)
+                else:
+                    kept, count = b" ".join(words), len(words)
+                for column, value in zip(out, (count, removed, hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None), strict=True):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.string())], names=["id", "n_words", "n_removed", "kept_sha256", "kept"])
+
+    return run
+
+
+def remove_repeats(docs: DataFrame, length: int = 35, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, **how) -> DataFrame:
+    """One row per row of docs: id, n_words, n_removed, kept_sha256, kept (the words left, joined by one space; null if with_text is off)."""
     spans = repeated_spans(docs, length, id_col, text_col, **how)
     lists = spans.groupBy("id", "k").agg(F.collect_set("span").alias("spans")).alias("s")
     t = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_key(text_col), F.lit(0)).alias("k"), F.col(text_col).alias("text")).alias("t")
     joined = t.join(lists, F.col("t.id").eqNullSafe(F.col("s.id")) & (F.col("t.k") == F.col("s.k")), "left").select("t.id", "t.text", "s.spans")
-    return joined.mapInArrow(_removal, "id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    return joined.mapInArrow(_removal(with_text), "id long, n_words long, n_removed long, kept_sha256 string, kept string")
