@@ -59,3 +59,42 @@ def near_dedup(rows, percent=85, k=5):
         r = find(i)
         least[r] = min(least.get(r, d), d)
     return [(d, len(sets[i]), least[find(i)], least[find(i)] == d) for i, (d, _) in enumerate(rows)]
+
+
+ITEM_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def decontamination(rows, items, window=13):
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated)."""
+    windows: dict[tuple, set] = {}
+    for i, t in items:
+        w = ITEM_WORD.findall(lower(t or ""))
+        for a in range(max(0, len(w) - window) + 1 if w else 0):
+            windows.setdefault(tuple(w[a : a + window]), set()).add(str(i))
+    sizes = {len(x) for x in windows}
+    out = []
+    for d, t in rows:
+        w = ITEM_WORD.findall(lower(t or ""))
+        hit, found = [False] * len(w), set()
+        for n in sizes:
+            for a in range(len(w) - n + 1):
+                if (x := tuple(w[a : a + n])) in windows:
+                    hit[a : a + n] = [True] * n
+                    found |= windows[x]
+        n = sum(hit)
+        out.append((d, len(w), n, len(found), sha(",".join(sorted(found))), n > 0 and 20 * n >= len(w)))
+    return out
+
+
+def quality_measures(rows):
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed)."""
+    out = []
+    for d, t in rows:
+        t = t or ""
+        w = WORD.findall(t)
+        grams = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        count = Counter(grams)
+        repeat = {j for i, g in enumerate(grams) if count[g] > 1 for j in (i, i + 1, i + 2)}
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        out.append((d, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(repeat), len(w) < 50 or 100 * len(repeat) > 50 * len(w)))
+    return out

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, substring_dedup
+from . import bpe, decontamination, minhash, quality_rules, substring_dedup
 from .frames import table
 
 
@@ -21,9 +21,30 @@ def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    book = quality_rules.apply_policy(quality_rules.ledger(table(spark, sf_dir, "documents", "doc_id", "text")), "v2")
+    return book.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    found = bpe.encode_documents(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contamination(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"), window=13)
+    digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op5_minhash_dedup": op5_minhash_dedup,
+    "op7_quality_rules": op7_quality_rules,
+    "op8_bpe": op8_bpe,
+    "op9_decontamination": op9_decontamination,
 }
 
 SQL: dict[str, str] = {}
