@@ -10,10 +10,11 @@ matched only against shards that can hold its windows, not against all.
 3. The distinct segments of the other anchors go to shards. Each shard builds an FM-index (wavelet
    matrix over the Burrows-Wheeler transform, words as symbols), streams the segments through backward
    search and reports the intervals of windows that occur at least twice.
-4. An anchor with over HOT occurrences and several segments would make a shard of its own that grows
+4. An anchor with over HOT unequal segments would make a shard of its own that grows
    with the corpus. Its windows are counted by fingerprint instead, again with map-side combine.
 
-Words are compared by 64-bit hashes, a segment by its anchor's and its own (128 bits together).
+Words are compared by 64-bit hashes (40 bits within an anchor's segments), a segment by its anchor's and
+its own (128 bits together).
 
 Defined cases: null text has no words; a text shorter than the window keeps all its words; rows that
 repeat count as places of their own; rows with a null or repeated id are told apart by their text;
@@ -37,7 +38,9 @@ from .words import Words, slices
 
 #: Words of an anchor; about 2 in (length - ANCHOR + 2) positions become anchors.
 ANCHOR = 12
-#: Occurrences from which an anchor with unequal segments is counted by fingerprints.
+#: Bytes of a word's hash in a shard, where only segments of one anchor are compared with each other.
+SYMBOL = 5
+#: Unequal segments from which an anchor is counted by fingerprints.
 HOT = 20_000
 
 _SEGMENTS = "h long, c long, id long, k long, at long"
@@ -109,7 +112,8 @@ def _content_mapper(length: int):
                 cold = np.flatnonzero(~hot[lo:hi])
                 _, once = np.unique(c[lo:hi][cold], return_index=True)
                 pick = cold[once]
-                words = [w.hashes[s : s + m + length - 1].tobytes() for s, m in zip(start[pick].tolist(), n[pick].tolist(), strict=True)]
+                short = w.hashes.view(np.uint8).reshape(-1, 8)[:, :SYMBOL].copy()
+                words = [short[s : s + m + length - 1].tobytes() for s, m in zip(start[pick].tolist(), n[pick].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(h[lo:hi][pick]), pa.array(c[lo:hi][pick]), pa.array(words, pa.binary()), pa.array([None] * len(pick), pa.int64()), pa.array([None] * len(pick), pa.int64()), pa.array([None] * len(pick), pa.int64())], names=["h", "c", "words", "id", "k", "at"])
                 warm = np.flatnonzero(hot[lo:hi])
                 if len(warm):
@@ -136,8 +140,11 @@ def _shard_search(length: int):
         once = np.sort(order[np.append(True, (h[order][1:] != h[order][:-1]) | (c[order][1:] != c[order][:-1]))])
         h, c = h[once], c[once]
         words = table["words"].chunk(0).take(pa.array(once))
-        ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1] // 8
-        values = np.frombuffer(words.buffers()[2], np.uint64)[ends[0] : ends[-1]]
+        ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1] // SYMBOL
+        packed = np.frombuffer(words.buffers()[2], np.uint8)[ends[0] * SYMBOL : ends[-1] * SYMBOL].reshape(-1, SYMBOL)
+        wide = np.zeros((len(packed), 8), np.uint8)
+        wide[:, :SYMBOL] = packed
+        values = wide.reshape(-1).view(np.uint64)
         lengths = np.diff(ends).astype(np.int64)
         runs = FMIndex(values, lengths).repeated_windows(lengths - length + 1, length)
         yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), pa.array(runs, pa.list_(pa.int64()))], names=["h", "c", "runs"])
@@ -145,14 +152,24 @@ def _shard_search(length: int):
     return run
 
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, k and text; k is short, as it only has to tell texts of one id apart."""
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.pmod(text_key(text_col), F.lit(1 << 24)).alias("k"), F.col(text_col).alias("text"))
+
+
 def repeated_spans(docs: DataFrame, length: int = 35, id_col: str = "doc_id", text_col: str = "text", anchor: int = ANCHOR, hot: int = HOT) -> DataFrame:
     """(id, k, span) of stretches of windows that repeat: k tells rows of one id apart, span = first word << 32 | word after the last. Stretches may overlap."""
     small_batches(docs.sparkSession)
     anchor = min(anchor, length)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_key(text_col).alias("k"), F.col(text_col).alias("text")).where("text is not null")
+    texts = _keyed(docs, id_col, text_col)
     segments = texts.mapInArrow(_segment_mapper(length, anchor), _SEGMENTS)
     counts = segments.groupBy("h").agg(F.count("*").alias("places"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("places > 1")
-    repeated = stored(segments.join(counts.select("h", (F.col("c0") != F.col("c1")).alias("several"), (F.col("places") > hot).alias("hot")), "h"))
+    # stored, so that the join below is of two plain exchanges and a frequent anchor can be split over tasks
+    counts = stored(counts.select("h", (F.col("c0") != F.col("c1")).alias("several"), (F.col("places") > hot).alias("hot")))
+    repeated = stored(segments.join(counts, "h"))
+    wide = stored(repeated.where("several and hot").select("h", "c").distinct().groupBy("h").agg(F.count("*").alias("kinds")).where(F.col("kinds") > hot).select("h", F.lit(True).alias("wide")))
+    any_hot = not wide.isEmpty()
+    repeated = repeated.drop("hot").join(wide, "h", "left").select("h", "c", "id", "k", "at", "several", F.coalesce("wide", F.lit(False)).alias("hot")) if any_hot else repeated.withColumn("hot", F.lit(False))
 
     def spans(df: DataFrame, first, last) -> DataFrame:
         return df.select("id", "k", (F.shiftleft(first.cast("long"), 32) + last + F.lit(length)).alias("span"))
@@ -166,14 +183,14 @@ def repeated_spans(docs: DataFrame, length: int = 35, id_col: str = "doc_id", te
     content = joined.mapInArrow(_content_mapper(length), "h long, c long, words binary, id long, k long, at long")
     multiplicity = several.where("not hot").groupBy("h", "c").agg(F.count("*").alias("copies"))
     shards = content.where("words is not null").select("h", "c", "words").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "h")
-    found = stored(shards.mapInArrow(_shard_search(length), "h long, c long, runs array<bigint>"))
+    found = shards.mapInArrow(_shard_search(length), "h long, c long, runs array<bigint>")
     judged = multiplicity.join(found, ["h", "c"]).where("copies > 1 or size(runs) > 0").select("h", "c", "copies", "runs")
     matched = several.where("not hot").join(judged, ["h", "c"])
     runs = F.when(F.col("copies") > 1, F.array(F.lit(0).cast("long"), F.col("at") % _PACK - 1)).otherwise(F.col("runs"))
     pairs = matched.select("id", "k", "at", F.explode(_pairs(runs)).alias("run"))
     searched = spans(pairs, start + F.col("run.a"), start + F.col("run.b"))
     windows = content.where("words is null").drop("words")
-    if several.where("hot").isEmpty():
+    if not any_hot:
         return plain.unionAll(searched)
     twice = windows.groupBy("h", "c").agg(F.count("*").alias("places")).where("places > 1").select("h", "c")
     printed = spans(windows.join(twice, ["h", "c"]), F.col("at"), F.col("at"))
@@ -215,6 +232,6 @@ def remove_repeats(docs: DataFrame, length: int = 35, id_col: str = "doc_id", te
     """One row per row of docs: id, n_words, n_removed, kept_sha256, kept (the words left, joined by one space; null if with_text is off)."""
     spans = repeated_spans(docs, length, id_col, text_col, **how)
     lists = spans.groupBy("id", "k").agg(F.collect_set("span").alias("spans")).alias("s")
-    t = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_key(text_col), F.lit(0)).alias("k"), F.col(text_col).alias("text")).alias("t")
+    t = _keyed(docs, id_col, text_col).alias("t")
     joined = t.join(lists, F.col("t.id").eqNullSafe(F.col("s.id")) & (F.col("t.k") == F.col("s.k")), "left").select("t.id", "t.text", "s.spans")
     return joined.mapInArrow(_removal(with_text), "id long, n_words long, n_removed long, kept_sha256 string, kept string")
