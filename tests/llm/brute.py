@@ -98,3 +98,29 @@ def quality_measures(rows):
         lines = [x for x in t.split("\n") if WORD.search(x)]
         out.append((d, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(repeat), len(w) < 50 or 100 * len(repeat) > 50 * len(w)))
     return out
+
+
+def pii_base(rows):
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256), straight from the contract's patterns."""
+    kinds = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+        "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+        "card": r"[0-9]([\x20-]?[0-9])+",
+        "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    }
+
+    def good(kind, x):
+        digits = re.sub("[^0-9]", "", x)
+        if kind == "ip":
+            return all(int(p) <= 255 for p in x.split("."))
+        if kind == "card":
+            twice = [int(d) * (1 + i % 2) for i, d in enumerate(reversed(digits))]
+            return 12 <= len(digits) <= 19 and sum(x if x < 10 else x - 9 for x in twice) % 10 == 0
+        return kind == "email" or 9 <= len(digits) <= 15
+
+    out = []
+    for d, t in rows:
+        spans = [(m.start(), i, k, m.end()) for i, (k, p) in enumerate(kinds.items()) for m in re.finditer(p, t or "") if good(k, m[0])]
+        n = Counter(k for _, _, k, _ in spans)
+        out.append((d, *[n[k] for k in kinds], sha(",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(spans)))))
+    return out
