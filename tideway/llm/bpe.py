@@ -16,12 +16,14 @@ from __future__ import annotations
 
 import hashlib
 import json
+import sys
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from operator import itemgetter
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from .frames import small_batches
 
 #: Pieces, and pairs of tokens, in one generation of a cache.
-GENERATION = 1 << 17
+GENERATION = 1 << 18
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
@@ -117,6 +119,10 @@ class Encoder:
 
     def encode_piece(self, piece: str) -> list[int]:
         text = piece.encode().decode("latin-1")
+        whole = self.matches.get(text, None)
+        if whole is not None and self.own[whole[0]]:
+            return [whole[0]]
+        own, fits = self.own, self.fits
         last: list[int] = [-1] * (len(text) + 1)
         before: list[int] = [0] * (len(text) + 1)
         for end, (token, size) in self.matches.iter(text):
@@ -124,10 +130,7 @@ class Encoder:
             if last[end] >= 0:
                 continue
             start = end - size
-            if start == 0:
-                if not self.own[token]:
-                    continue
-            elif last[start] < 0 or not self.own[token] or not self.fits[last[start] << 32 | token]:
+            if not own[token] or start and (last[start] < 0 or not fits[last[start] << 32 | token]):
                 continue
             last[end], before[end] = token, start
         out, end = [], len(text)
@@ -166,28 +169,24 @@ def encoder(path: str) -> Encoder:
 
 def _run(path: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import sys
-
         e = encoder(path)
         for batch in batches:
-            count, ids_sha, text_sha, lists = [], [], [], []
+            count, ids_sha, text_sha, parts = [], [], [], []
             for text in batch.column(1):
                 ids = e.encode(text.as_py() or "")
                 decoded = e.decode(ids)
-                if sys.byteorder == "big" or with_ids:
-                    numbers = array("I")
-                    numbers.frombytes(ids)
-                    lists.append(numbers.tolist() if with_ids else None)
-                    if sys.byteorder == "big":
-                        numbers.byteswap()
-                        ids = numbers.tobytes()
+                if sys.byteorder == "big":
+                    ids = np.frombuffer(ids, np.uint32).astype("<u4").tobytes()
                 count.append(len(ids) // 4)
                 ids_sha.append(hashlib.sha256(ids).hexdigest())
                 text_sha.append(hashlib.sha256(decoded.encode()).hexdigest())
+                if with_ids:
+                    parts.append(ids)
             columns = [batch.column(0), pa.array(count, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
             names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
-                columns.append(pa.array(lists, pa.list_(pa.int32())))
+                values = np.frombuffer(b"".join(parts), "<u4").astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(values)))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 

@@ -7,12 +7,15 @@ probability (1 - (1 - s**R)**m)**2; `sub_keys` picks m so that it misses less th
 
 1. Documents with equal sets form a class; only one of each class goes on.
 2. Classes that share a table key are candidates. In a key of at most SMALL classes all pairs are
-   candidates; in a larger one each class is first tried against the class it shares most keys with
-   among the keys' smallest ones, so a group of g copies makes g candidates and not g * g / 2.
+   candidates. In a larger one the class whose sub-keys are most common is the centre, and each class is
+   first tried against the centre it shares most keys with: a group of g copies makes g candidates and
+   not g * g / 2.
 3. Candidates are verified on their full sets: members are dealt to their centre's text, large stars
    are dealt over several tasks.
-4. Components of the links. Where a large key still holds several components, the pairs between
-   different components, which no link joins yet, are verified too, so no link is lost to step 2.
+4. Components of the links. Where a large key still holds several components, pairs between different
+   components are verified too, so no link is lost to step 2. Most of them need no look: shingles of a
+   class that no other class of these keys has bound what it can share with any of them, and a pair is
+   taken up only if the bounds and sizes of both allow the threshold.
 
 Defined cases: null and blank texts have empty sets, link with nothing and form components of
 themselves; fewer than k words make one shingle; rows with equal sets are always linked, whatever
@@ -30,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .frames import checkpointed, small_batches, text_key
+from .frames import checkpointed, small_batches, stored, text_key
 from .words import Words, slices
 
 #: Minimum hashes of a sub-key, two of which make a table key.
@@ -160,18 +163,47 @@ def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, k: int, pe
     return sorted_.mapInArrow(_compare(k, percent), "a long, b long")
 
 
+def _tokens(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, texts = batch.column(0), batch.column(1)
+            for a, b, data, offsets in slices(texts):
+                values, bounds = shingle_sets(Words(data, offsets, lower=True), k)
+                row = np.repeat(np.arange(a, b), np.diff(bounds))
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(row)), pa.array(values.view(np.int64))], names=["c", "token"])
+
+    return run
+
+
+def _unshared(members: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """members (c, id, k) to (c, own): how many shingles of c no other member has; members without any are left out."""
+    if members.count() <= BROADCAST_ROWS:
+        members = F.broadcast(members)
+    t, w = texts.alias("t"), members.alias("w")
+    held = t.join(w, F.col("t.id").eqNullSafe(F.col("w.id")) & (F.col("t.k") == F.col("w.k"))).select("w.c", "t.text")
+    tokens = held.mapInArrow(_tokens(k), "c long, token long")
+    alone = tokens.groupBy("token").agg(F.min("c").alias("c"), F.max("c").alias("last")).where("c = last")
+    return alone.groupBy("c").agg(F.count("*").alias("own"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id, k (tells rows of one id apart), n_shingles, component_id (smallest id reachable by links of 100 * intersection >= percent * union), class_id."""
+    """One row per row of docs: id, k (tells rows of one id apart), n_shingles, component_id (smallest id reachable by links of 100 * intersection >= percent * union), component (a number of the component, null for an empty set)."""
     small_batches(docs.sparkSession)
     threshold = percent / 100
     m = sub_keys(threshold)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_key(text_col), F.lit(0)).alias("k"), F.col(text_col).alias("text"))
-    signed = checkpointed(source.mapInArrow(_signatures(shingle, m), "id long, k long, n long, c long, c2 long, subs array<bigint>"))
+    signed = stored(source.mapInArrow(_signatures(shingle, m), "id long, k long, n long, c long, c2 long, subs array<bigint>"))
     classes = signed.where("n > 0").groupBy("c", "c2").agg(F.min(F.struct("id", "k")).alias("r"), F.first("n").alias("n"), F.first("subs").alias("subs")).select("c", "c2", "r.id", "r.k", "n", "subs")
-    classes = checkpointed(classes)
+    classes = stored(classes)
+    single = classes.select("c", F.posexplode("subs").alias("place", "sub"))
+    common = single.groupBy("place", "sub").agg(F.count("*").alias("often")).where("often > 1")
+    central = single.join(common, ["place", "sub"]).groupBy("c").agg(F.sum("often").alias("common"))
+    classes = stored(classes.join(central, "c", "left").withColumn("common", F.coalesce("common", F.lit(0))))
     pair_keys = F.flatten(F.transform(F.slice("subs", 1, m), lambda x: F.transform(F.slice("subs", m + 1, m), lambda y: F.xxhash64(x, y))))
-    keyed = classes.select("c", F.explode(pair_keys).alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("c").alias("least"), F.max("c").alias("most")).where("size > 1")
+    keyed = classes.where("common > 0").select("c", "common", F.explode(pair_keys).alias("key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("size"), F.max(F.struct("common", "c")).alias("top"), F.min("c").alias("least"), F.max("c").alias("most")).where("size > 1")
+    shared = shared.select("key", "size", F.col("top.c").alias("centre"), "least", "most")
+    keyed = keyed.select("c", "key")
     rows = keyed.join(shared, "key")
     light = classes.select("c", "n", "subs")
     need = least_matches(threshold, m)
@@ -185,28 +217,47 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, id_col
     pairs_of_two = shared.where("size = 2").select(F.col("least").alias("a"), F.col("most").alias("b")).distinct()
     few = rows.where(f"size > 2 and size <= {SMALL}").groupBy("key").agg(F.array_sort(F.collect_list("c")).alias("cs"))
     few = few.select(F.explode(F.flatten(F.transform("cs", lambda x: F.transform(F.filter("cs", lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p")).select("p.a", "p.b")
-    large = rows.where(f"size > {SMALL}").select("key", "c", "least")
-    large = checkpointed(large)
-    best = large.where("c <> least").groupBy("c", "least").agg(F.count("*").alias("shares")).groupBy("c").agg(F.max_by("least", F.struct("shares", F.negate("least"))).alias("least"))
-    stars = best.select(F.least("c", "least").alias("a"), F.greatest("c", "least").alias("b"))
+    large = stored(rows.where(f"size > {SMALL}").select("key", "c", "centre"))
+    best = large.where("c <> centre").groupBy("c", "centre").agg(F.count("*").alias("shares")).groupBy("c").agg(F.max_by("centre", F.struct("shares", "centre")).alias("centre"))
+    stars = best.select(F.least("c", "centre").alias("a"), F.greatest("c", "centre").alias("b"))
     tried = checkpointed(plausible(pairs_of_two.unionAll(few).unionAll(stars)))
     links = checkpointed(_verified(tried, source, classes, shingle, percent))
     comps = connected_components(links)
     left = large.select("key", "c").join(comps.select(F.col("v").alias("c"), "component"), "c", "left").select("key", "c", F.coalesce("component", "c").alias("component"))
     mixed = left.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    left = checkpointed(left.join(mixed, "key"))
-    more = left.alias("l").join(left.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.component") < F.col("r.component"))).select(F.least("l.c", "r.c").alias("a"), F.greatest("l.c", "r.c").alias("b"))
-    again = checkpointed(plausible(more).join(tried, ["a", "b"], "left_anti"))
-    if not again.isEmpty():
-        links = links.unionAll(_verified(again, source, classes, shingle, percent))
-        comps = connected_components(links)
+    left = stored(left.join(mixed, "key"))
+    open_ = left.select("c").distinct()
+    if not open_.isEmpty():
+        own = _unshared(open_.join(classes, "c").select("c", "id", "k"), source, shingle)
+        bound = open_.join(light.select("c", "n"), "c").join(own, "c", "left").select("c", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("most"))
+        able = stored(left.join(bound.where(f"100 * most >= {percent} * n"), "c"))
+        meet = F.least("l.most", "r.most")
+        fits = F.lit(100) * meet >= F.lit(percent) * (F.col("l.n") + F.col("r.n") - meet)
+        more = able.alias("l").join(able.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.component") < F.col("r.component")) & fits).select(F.least("l.c", "r.c").alias("a"), F.greatest("l.c", "r.c").alias("b"))
+        again = checkpointed(plausible(more).join(tried, ["a", "b"], "left_anti"))
+        if not again.isEmpty():
+            links = links.unionAll(_verified(again, source, classes, shingle, percent))
+            comps = connected_components(links)
     named = signed.select("id", "k", "n", "c").join(comps.select(F.col("v").alias("c"), "component"), "c", "left")
     named = named.select("id", "k", "n", "c", F.coalesce("component", "c").alias("component"))
     least = named.where("n > 0").groupBy("component").agg(F.min("id").alias("component_id"))
-    full = named.where("n > 0").join(least, "component").select("id", "k", F.col("n").alias("n_shingles"), "component_id", F.col("c").alias("class_id"))
-    blank = named.where("n = 0").select("id", "k", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), F.lit(None).cast("long").alias("class_id"))
+    full = named.where("n > 0").join(least, "component").select("id", "k", F.col("n").alias("n_shingles"), "component_id", "component")
+    blank = named.where("n = 0").select("id", "k", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), F.lit(None).cast("long").alias("component"))
     return full.unionAll(blank)
 
 
 def _equal(x: str, y: str) -> Column:
     return F.size(F.filter(F.arrays_zip(F.col(x).alias("u"), F.col(y).alias("v")), lambda p: p["u"] == p["v"]))
+
+
+def keep_one(docs: DataFrame, percent: int = 80, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs less all but one of each component: the row of the smallest id stays (null ids come last). Rows with empty sets stay."""
+    found = stored(near_duplicates(docs, percent, shingle, id_col, text_col).select("id", "k", "component"))
+    first = found.where("component is not null").groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "k")).alias("r"))
+    stay = first.select("r.id", "r.k").unionAll(found.where("component is null").select("id", "k").distinct())
+    named = docs.withColumn("_k", F.coalesce(text_key(text_col), F.lit(0)))
+    kept = named.alias("d").join(stay.alias("s"), F.col(f"d.{id_col}").cast("long").eqNullSafe(F.col("s.id")) & (F.col("d._k") == F.col("s.k")), "left_semi")
+    twice = found.where("component is not null").groupBy("id", "k").agg(F.count("*").alias("n")).where("n > 1")
+    if not twice.isEmpty():  # the same row more than once: one stays
+        kept = kept.dropDuplicates([id_col, "_k"])
+    return kept.drop("_k")

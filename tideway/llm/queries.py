@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontamination, minhash, pii, quality_rules, substring_dedup, url_filter
+from . import bpe, chat, decontamination, minhash, pii, quality_model, quality_rules, substring_dedup, toxicity, url_filter
 from .frames import table
+from .labelled import fold
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +22,13 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("kept.doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"), "toxic")
+    found = toxicity.score(docs, model).select("kept.doc_id", "score")
+    return found.select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 URL_RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 
 
@@ -34,6 +42,13 @@ def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    model = quality_model.fit(docs, table(spark, sf_dir, "labels", "doc_id", "quality"), "quality")
+    found = quality_model.score(docs, model).select("kept.doc_id", "score")
+    return found.select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = quality_rules.apply_policy(quality_rules.ledger(table(spark, sf_dir, "documents", "doc_id", "text")), "v2")
     return book.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
@@ -66,8 +81,10 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_pii": op2_pii,
+    "op3_toxicity": op3_toxicity,
     "op4_url_filter": op4_url_filter,
     "op5_minhash_dedup": op5_minhash_dedup,
+    "op6_quality_model": op6_quality_model,
     "op7_quality_rules": op7_quality_rules,
     "op8_bpe": op8_bpe,
     "op9_decontamination": op9_decontamination,

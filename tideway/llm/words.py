@@ -93,6 +93,10 @@ class Words:
         self.first = np.searchsorted(self.starts, offsets)
         self.hashes = spans_hash(_byte_table()[data], self.starts, self.ends, _ROOT)
 
+    def prefix_hash(self, which: np.ndarray, size: int) -> np.ndarray:
+        """Of the first bytes of some words that have more; it differs from the hash of such a word."""
+        return mix(spans_hash(_byte_table()[self.data], self.starts[which], self.starts[which] + size, _ROOT) + np.uint64(size))
+
     def grams(self, k: int) -> np.ndarray:
         """The hash of words i..i+k-1, for each i that has so many words after it in the slice (of any text)."""
         n = max(0, len(self.hashes) - k + 1)
