@@ -324,7 +324,7 @@ def retrace(tree: DataFrame, leaf: int) -> DataFrame:
 def concat_route(pieces: DataFrame) -> DataFrame:
     """pieces (route, pos, node_ids) to (route, node_ids): the pieces in order, each turned so that it goes on from the one before; a gap raises."""
 
-    def join(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def join(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         ways = [list(w) for w in pdf.sort_values("pos").node_ids]
         out = ways[0]
         if len(ways) > 1 and out[-1] not in (ways[1][0], ways[1][-1]):

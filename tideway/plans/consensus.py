@@ -78,7 +78,7 @@ def candidates_of(paths: list[list], rounds: int = ROUNDS, repeats: int = REPEAT
 def candidates(sources: DataFrame, key: str, seed: int = 0) -> DataFrame:
     """sources (key, path) to (key, cand, path, share)."""
 
-    def one(k, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         found = candidates_of([list(p) for p in pdf.sort_values("path", key=lambda s: s.map(tuple)).path], seed=seed)
         total = sum(found.values())
         rows = [(k[0], i, list(p), n / total) for i, (p, n) in enumerate(sorted(found.items(), key=lambda x: (-x[1], x[0])))]
@@ -133,7 +133,7 @@ def main_cluster(sources: DataFrame, key: str, keep: float = 0.75) -> DataFrame:
     """Complete-linkage clustering by sequence similarity into a quarter as many clusters as sources; the largest stays."""
     from difflib import SequenceMatcher
 
-    def one(k, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         paths = [list(p) for p in pdf.path]
         n = len(paths)
         d = np.array([[1 - SequenceMatcher(None, a, b).ratio() for b in paths] for a in paths])

@@ -107,10 +107,10 @@ def match(groups: DataFrame, candidates: DataFrame, edges: DataFrame, nodes: Dat
     place = dict(zip(n.id.tolist(), zip(n.lat.tolist(), n.lon.tolist(), strict=True), strict=True))
     sent = spark.sparkContext.broadcast((g, {i: place[int(x)] for i, x in enumerate(g.ids)}))
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         g, pos = sent.value
         by = [list(zip(w.src, w.dst, w.dist_m, strict=True)) for _, w in pdf.sort_values(["wp", "dist_m", "src", "dst"]).groupby("wp")]
-        empty = pd.DataFrame({c: [] for c in ("run_id", "group", "match_id", "waypoints_used", "path", "geo_path", "cost")})
+        empty = pd.DataFrame({c: pd.Series([], dtype=object) for c in ("run_id", "group", "match_id", "waypoints_used", "path", "geo_path", "cost")})
         if any(min(d for _, _, d in w) > max_miss_m for w in by):
             return empty
         found = viterbi([[(g.number(int(u)), g.number(int(v)), float(d)) for u, v, d in w] for w in by], g, pos, stubborn)
