@@ -54,28 +54,26 @@ def paths(nodes: DataFrame, top: int | None = 1) -> DataFrame:
     known = nodes.select("tree", "id", "parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))
     there = known.select(F.col("id").alias("parent"), F.lit(True).alias("there"))
     step = stored(known.join(there, "parent", "left").select("tree", "id", F.when(F.col("there"), F.col("parent")).alias("up"), "score", F.lit(1).cast("long").alias("steps")))
-    n, jumps = None, []
-    while True:
-        jumps.append(step)
-        open_ = step.where("up is not null")
-        left = open_.count()
-        if not left:
-            break
-        n = n or step.count()
-        if 1 << len(jumps) > 2 * n:
+    done, going, jumps = step.where("up is null"), step.where("up is not null"), []
+    n = step.count()
+    while not going.isEmpty():
+        jumps.append(going)
+        if 1 << (len(jumps) - 1) > 2 * n:
             raise ValueError("the messages' parents form a cycle")
-        above = step.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("score").alias("score2"), F.col("steps").alias("steps2"))
-        joined = step.join(above, "up", "left")
-        step = stored(joined.select("tree", "id", F.col("up2").alias("up"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps")))
+        above = done.unionAll(going).select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("score").alias("score2"), F.col("steps").alias("steps2"))
+        # only what has not met its root yet is joined on
+        further = stored(going.join(above, "up").select("tree", "id", F.col("up2").alias("up"), (F.col("score") + F.col("score2")).alias("score"), (F.col("steps") + F.col("steps2")).alias("steps")))
+        done, going = done.unionAll(further.where("up is null")), further.where("up is not null")
+    step = done
     # now score and steps are of the whole path; leaves are no one's parent
-    parents = jumps[0].where("up is not null").select(F.col("up").alias("id")).distinct()
+    parents = known.select(F.col("parent").alias("id")).where("id is not null").distinct()
     leaves = step.join(parents, "id", "left_anti")
     best = W.partitionBy("tree").orderBy(F.desc("score"), "id")
     ranked = leaves.withColumn("rank", F.row_number().over(best))
     chosen = ranked if top is None else ranked.where(F.col("rank") <= top)
     found = chosen.select("tree", F.col("id").alias("leaf"), "rank", "id", (F.col("steps") - 1).alias("depth"))
     for k in range(len(jumps) - 1, -1, -1):
-        hop = jumps[k].where("up is not null").select("id", "up")
+        hop = jumps[k].select("id", "up")
         found = stored(found.unionAll(found.join(hop, "id").select("tree", "leaf", "rank", F.col("up").alias("id"), (F.col("depth") - (1 << k)).alias("depth"))))
     return found
 
