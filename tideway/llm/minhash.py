@@ -13,9 +13,10 @@ probability (1 - (1 - s**R)**m)**2; `sub_keys` picks m so that it misses less th
 3. Candidates are verified on their full sets: members are dealt to their centre's text, large stars
    are dealt over several tasks.
 4. Components of the links. Where a large key still holds several components, pairs between different
-   components are verified too, so no link is lost to step 2. Most of them need no look: shingles of a
-   class that no other class of these keys has bound what it can share with any of them, and a pair is
-   taken up only if the bounds and sizes of both allow the threshold.
+   components are verified too, so no link is lost to step 2. Most of them need no look: of the shingles
+   that at most RARE classes of these keys have, two alike classes that share any share one among the
+   rarest few of each (prefix filter); classes that share none are bounded in what they can have in
+   common, and are taken up only if the bound and their sizes allow the threshold.
 
 Defined cases: null and blank texts have empty sets, link with nothing and form components of
 themselves; fewer than k words make one shingle; rows with equal sets are always linked, whatever
@@ -30,10 +31,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .frames import checkpointed, small_batches, stored, text_key
+from .frames import small_batches, stored, text_key
 from .words import Words, slices
 
 #: Minimum hashes of a sub-key, two of which make a table key.
@@ -42,6 +44,8 @@ R = 2
 MISS = 1e-4
 #: Classes in a key up to which all its pairs are candidates at once.
 SMALL = 6
+#: Classes that may have a shingle that counts as rare.
+RARE = 40
 #: Members of a star that one task compares.
 STAR = 512
 #: Rows of (id, key, centres) up to which they are broadcast to the texts; above, both sides are shuffled.
@@ -152,7 +156,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, k: int, pe
     members = stars.select(F.col("member").alias("v"), "centre", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int").alias("salt"), "member")
     centres = sizes.select(F.col("centre").alias("v"), "centre", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(None).cast("long").alias("member"))
     wanted = members.unionAll(centres).join(classes.select(F.col("c").alias("v"), "id", "k"), "v")
-    lists = checkpointed(wanted.groupBy("id", "k").agg(F.collect_list(F.struct("centre", "salt", "member")).alias("roles")))
+    lists = stored(wanted.groupBy("id", "k").agg(F.collect_list(F.struct("centre", "salt", "member")).alias("roles")))
     if lists.count() <= BROADCAST_ROWS:
         lists = F.broadcast(lists)
     t, w = texts.alias("t"), lists.alias("w")
@@ -175,15 +179,27 @@ def _tokens(k: int):
     return run
 
 
-def _unshared(members: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """members (c, id, k) to (c, own): how many shingles of c no other member has; members without any are left out."""
+def _rare(members: DataFrame, texts: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """members (c, id, k, n) to (c, own): how many shingles of c at most RARE members have, and (a, b): all pairs that may be alike and share one of those. No shingle gives more than RARE * (RARE - 1) / 2 pairs."""
+    sizes = members.select("c", "n")
+    members = members.drop("n")
     if members.count() <= BROADCAST_ROWS:
         members = F.broadcast(members)
     t, w = texts.alias("t"), members.alias("w")
-    held = t.join(w, F.col("t.id").eqNullSafe(F.col("w.id")) & (F.col("t.k") == F.col("w.k"))).select("w.c", "t.text")
+    held = t.join(w, F.col("t.id").eqNullSafe(F.col("w.id")) & (F.col("t.k") == F.col("w.k"))).select("w.c", "t.text").dropDuplicates(["c"])
     tokens = held.mapInArrow(_tokens(k), "c long, token long")
-    alone = tokens.groupBy("token").agg(F.min("c").alias("c"), F.max("c").alias("last")).where("c = last")
-    return alone.groupBy("c").agg(F.count("*").alias("own"))
+    few = tokens.groupBy("token").agg(F.count("*").alias("often")).where(F.col("often") <= RARE)
+    rare = tokens.join(few, "token").join(sizes, "c")
+    place = F.row_number().over(W.partitionBy("c").orderBy("often", "token"))
+    # of a class that is alike to another, so many shingles at most are not in the other: one of the rarest so many and one is, if any rare one is
+    rare = stored(rare.withColumn("place", place).where(F.col("place") <= F.floor(F.col("n") * (100 - percent) / 100) + 1).select("c", "token", "often"))
+    own = tokens.join(few, "token").groupBy("c").agg(F.count("*").alias("own"))
+    cs = rare.where("often > 1").groupBy("token").agg(F.array_sort(F.collect_list("c")).alias("cs"))
+    return own, cs.select(F.explode(_all_pairs("cs")).alias("p")).select("p.a", "p.b").distinct()
+
+
+def _all_pairs(array: str) -> Column:
+    return F.flatten(F.transform(array, lambda x: F.transform(F.filter(array, lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b")))))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -216,25 +232,29 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, id_col
 
     pairs_of_two = shared.where("size = 2").select(F.col("least").alias("a"), F.col("most").alias("b")).distinct()
     few = rows.where(f"size > 2 and size <= {SMALL}").groupBy("key").agg(F.array_sort(F.collect_list("c")).alias("cs"))
-    few = few.select(F.explode(F.flatten(F.transform("cs", lambda x: F.transform(F.filter("cs", lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p")).select("p.a", "p.b")
+    few = few.select(F.explode(_all_pairs("cs")).alias("p")).select("p.a", "p.b")
     large = stored(rows.where(f"size > {SMALL}").select("key", "c", "centre"))
     best = large.where("c <> centre").groupBy("c", "centre").agg(F.count("*").alias("shares")).groupBy("c").agg(F.max_by("centre", F.struct("shares", "centre")).alias("centre"))
     stars = best.select(F.least("c", "centre").alias("a"), F.greatest("c", "centre").alias("b"))
-    tried = checkpointed(plausible(pairs_of_two.unionAll(few).unionAll(stars)))
-    links = checkpointed(_verified(tried, source, classes, shingle, percent))
+    tried = stored(plausible(pairs_of_two.unionAll(few).unionAll(stars)))
+    links = stored(_verified(tried, source, classes, shingle, percent))
     comps = connected_components(links)
     left = large.select("key", "c").join(comps.select(F.col("v").alias("c"), "component"), "c", "left").select("key", "c", F.coalesce("component", "c").alias("component"))
     mixed = left.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
     left = stored(left.join(mixed, "key"))
     open_ = left.select("c").distinct()
     if not open_.isEmpty():
-        own = _unshared(open_.join(classes, "c").select("c", "id", "k"), source, shingle)
-        bound = open_.join(light.select("c", "n"), "c").join(own, "c", "left").select("c", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("most"))
-        able = stored(left.join(bound.where(f"100 * most >= {percent} * n"), "c"))
+        own, common = _rare(open_.join(classes, "c").select("c", "id", "k", "n"), source, shingle, percent)
+        bound = stored(open_.join(light.select("c", "n"), "c").join(own, "c", "left").select("c", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("most")))
+        # classes that share a table key share a sub-key of the first collection, and those are fewer
+        alone = bound.where(f"100 * most >= {percent} * n").join(comps.select(F.col("v").alias("c"), "component"), "c", "left").withColumn("component", F.coalesce("component", "c"))
+        able = stored(alone.join(classes.select("c", F.posexplode(F.slice("subs", 1, m)).alias("place", "sub")), "c"))
         meet = F.least("l.most", "r.most")
         fits = F.lit(100) * meet >= F.lit(percent) * (F.col("l.n") + F.col("r.n") - meet)
-        more = able.alias("l").join(able.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.component") < F.col("r.component")) & fits).select(F.least("l.c", "r.c").alias("a"), F.greatest("l.c", "r.c").alias("b"))
-        again = checkpointed(plausible(more).join(tried, ["a", "b"], "left_anti"))
+        met = able.alias("l").join(able.alias("r"), (F.col("l.place") == F.col("r.place")) & (F.col("l.sub") == F.col("r.sub")) & (F.col("l.component") < F.col("r.component")) & fits).select(F.least("l.c", "r.c").alias("a"), F.greatest("l.c", "r.c").alias("b"))
+        of = comps.select("v", "component")
+        apart = common.join(of.toDF("a", "ca"), "a", "left").join(of.toDF("b", "cb"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+        again = stored(plausible(met.unionAll(apart)).join(tried, ["a", "b"], "left_anti"))
         if not again.isEmpty():
             links = links.unionAll(_verified(again, source, classes, shingle, percent))
             comps = connected_components(links)
