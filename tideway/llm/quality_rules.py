@@ -73,7 +73,8 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.char_length(F.array_join("w", "")).cast("long").alias("word_chars"),
         _count(F.col("text"), r"[^#*$%&|<>]+").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        covered.alias("n_repeat_words"),
+        # rand() is never below 0: it only keeps a filter on the result from being pushed into, and so repeated within, the functions above
+        F.when(F.rand(0) >= 0, covered).alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_lines"),
         _count(F.col("text"), r"[^A-Z]+").alias("n_capitals"),
         _count(F.col("text"), r"[^0-9]+").alias("n_digits"),
