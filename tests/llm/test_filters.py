@@ -93,6 +93,21 @@ def test_pii_bootstrap(spark):
     assert pii.extract(docs.limit(0)).collect() == []
 
 
+def test_pii_bootstrap_hops(spark):
+    """Identifiers of another shape in a seeded context are found; those shared with contexts that have no seed make patterns of these, hop by hop."""
+    rng = random.Random(4)
+    rows = [(i, f"please call me at +1-482-555-{rng.randint(1000, 9999)} today") for i in range(60)]
+    rows += [(100 + i, f"please call me at 555-01{i:02d} today") for i in range(8)]
+    rows += [(200 + i, f"the badge reads 555-01{i:02d} on it") for i in range(8)] + [(300 + i, f"the badge reads EMP-4821{i} on it") for i in range(3)]
+    rows += [(400 + i, f"desk number EMP-4821{i % 3} is free") for i in range(9)] + [(450, "desk number QX7-33-B is free")]
+    rows += [(500 + i, f"written on 2018-11-{i + 10} there") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for sent in (50_000, -1):
+        got = {r.kept.doc_id: r.redacted for r in pii.extract(docs, sent=sent).collect()}
+        assert got[100] == "please call me at <phone> today" and got[203] == got[301] == "the badge reads <phone> on it"
+        assert got[400] == got[450] == "desk number <phone> is free" and got[505] == "written on 2018-11-15 there"
+
+
 def test_toxicity_counterfactuals():
     """Group terms that only happen to stand with insults get less weight under the swap penalty."""
     rng = random.Random(3)

@@ -4,11 +4,12 @@ Base spans are those of four fixed patterns (email, ip, card, phone). They are a
 bootstrap:
 
 1. Every token that looks like an identifier (it has a digit or @ and at least MIN_CHARS characters) is
-   an instance. Its shape (letters a, digits 9, runs of over three cut) together with the words before
-   it make a lexical pattern; a pattern is counted with map-side combine, per kind of seed.
+   an instance. The one or two words before it, with its shape (letters a, digits 9, runs of over three
+   cut) or with any shape, make its lexical patterns; they are counted with map-side combine.
 2. Patterns and instances score each other in turn, in Spark: a pattern by the share of its occurrences
-   whose instance is believed, an instance by the best pattern it occurs in. Only patterns and instances
-   with support stay in the graph.
+   whose instance is believed, an instance by the best pattern it occurs in, and what an instance is
+   believed to be counts in all its patterns. So each round can admit patterns without any seed. All
+   patterns with support are in the graph.
 3. Patterns above CONFIDENCE mark those of their instances that no base span covers.
 
 Defined cases: null counts as empty; spans are code points, end exclusive; base spans stay as they are
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import checkpointed, small_batches, text_key
+from .frames import checkpointed, small_batches, stored, text_key
 
 KINDS = ("email", "ip", "card", "phone")
 MIN_CHARS = 7
@@ -113,18 +114,22 @@ def candidates(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[i
         before = [before[1], shape(raw[:40]) if _DIGIT.search(raw) else raw[:40]]
 
 
+def _patterns(context: str, form: str) -> list[str]:
+    """The patterns that a token occurs in, the most specific first: the context's last two words or one, each with the shape or with any (*)."""
+    words = context.split(" ")
+    return [" ".join(words[-d:]) + " _ " + f for d in (2, 1) if len(words) >= d and words[-1] for f in (form, "*")]
+
+
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(pattern, instance, kind, n): pattern is the context's last words and the shape, the instance a hash of the token."""
+    """(pattern, instance, kind, n): the instance is a hash of the token. A pattern of null counts the token itself, so that seeds without context are known."""
     for batch in batches:
         count: Counter = Counter()
         for text in batch.column(0):
             text = text.as_py()
             for start, end, context, form, kind in candidates(text, base_spans(text)):
                 token = hashlib.blake2b(text[start:end].lower().encode(), digest_size=12).hexdigest()
-                words = context.split(" ")
-                for depth in (1, 2):
-                    if len(words) >= depth and words[-1]:
-                        count[(" ".join(words[-depth:]) + " _ " + form, token, kind or "")] += 1
+                for pattern in (None, *_patterns(context, form)) if kind else _patterns(context, form):
+                    count[(pattern, token, kind or "")] += 1
         rows = list(count.items())
         yield pa.RecordBatch.from_arrays([pa.array([k[i] for k, _ in rows], pa.string()) for i in range(3)] + [pa.array([n for _, n in rows], pa.int64())], names=["pattern", "instance", "kind", "n"])
 
@@ -133,27 +138,30 @@ def learn_patterns(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS
     """(pattern, kind, score) of the patterns above `confidence`, of at least `support` occurrences.
 
     The graph's edges are (pattern, instance) with counts. Patterns without support are left out at
-    once, so the graph is small against the corpus.
+    once; whether a pattern has seeds of its own doesn't matter.
     """
     small_batches(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     seen = texts.mapInArrow(_occurrences, "pattern string, instance string, kind string, n long")
-    edges = seen.groupBy("pattern", "instance", "kind").agg(F.sum("n").alias("n"))
-    frequent = edges.groupBy("pattern").agg(F.sum("n").alias("total"), F.max("kind").alias("any")).where((F.col("total") >= support) & (F.col("any") != ""))
-    edges = checkpointed(edges.join(frequent.select("pattern", "total"), "pattern"))
-    kinds = edges.where("kind <> ''").select("pattern", "kind").distinct()
-    graph = edges.groupBy("pattern", "instance", "total").agg(F.sum("n").alias("n"), F.max("kind").alias("seed")).join(kinds, "pattern")
-    graph = checkpointed(graph.withColumn("belief", (F.col("seed") == F.col("kind")).cast("double")))
-    scored = None
+    counted = stored(seen.groupBy("pattern", "instance", "kind").agg(F.sum("n").alias("n")))
+    by_kind = counted.where("pattern is null").groupBy("instance", "kind").agg(F.sum("n").alias("n"))
+    # a seed is of one kind everywhere, and stays so
+    seeds = stored(by_kind.groupBy("instance").agg(F.max(F.struct("n", "kind")).alias("m")).select("instance", F.col("m.kind").alias("kind"), F.lit(1.0).alias("belief")))
+    edges = counted.where("pattern is not null").groupBy("pattern", "instance").agg(F.sum("n").alias("n"))
+    frequent = edges.groupBy("pattern").agg(F.sum("n").alias("total")).where(F.col("total") >= support)
+    graph = stored(edges.join(frequent, "pattern"))
+    others = stored(graph.join(seeds, "instance", "left_anti").select("pattern", "instance"))
+
+    def strong(beliefs: DataFrame) -> DataFrame:
+        scored = graph.join(beliefs, "instance").groupBy("pattern", "kind").agg((F.sum(F.col("n") * F.col("belief")) / F.max("total")).alias("score"))
+        return scored.where(F.col("score") >= confidence)
+
+    beliefs = seeds
     for _ in range(rounds):
-        scored = graph.groupBy("pattern", "kind").agg((F.sum(F.col("n") * F.col("belief")) / F.max("total")).alias("score"))
-        strong = scored.where(F.col("score") >= confidence)
-        lifted = graph.join(strong, ["pattern", "kind"]).groupBy("instance", "kind").agg(F.max("score").alias("score"))
-        # a seed stays a seed of its own kind; another instance is believed as far as its best pattern
-        belief = F.when(F.col("seed") != "", (F.col("seed") == F.col("kind")).cast("double")).otherwise(F.coalesce("score", F.lit(0.0)))
-        graph = checkpointed(graph.drop("belief").join(lifted, ["instance", "kind"], "left").withColumn("belief", belief).drop("score"))
-    found = graph.groupBy("pattern", "kind").agg((F.sum(F.col("n") * F.col("belief")) / F.max("total")).alias("score"))
-    return found.where(F.col("score") >= confidence).groupBy("pattern").agg(F.max_by("kind", "score").alias("kind"), F.max("score").alias("score"))
+        # an instance that is no seed is believed as far as its best pattern
+        lifted = others.join(strong(beliefs), "pattern").groupBy("instance", "kind").agg(F.max("score").alias("belief"))
+        beliefs = seeds.unionByName(stored(lifted))
+    return strong(beliefs).groupBy("pattern").agg(F.max(F.struct("score", "kind")).alias("m")).select("pattern", "m.kind", "m.score")
 
 
 def spans_text(spans: list[tuple[str, int, int]]) -> str:
@@ -172,9 +180,8 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 
 def _match(known: dict[str, str], context: str, form: str) -> str | None:
-    """The kind of the longest known pattern here."""
-    words = context.split(" ")
-    return next((k for d in (2, 1) if len(words) >= d and (k := known.get(" ".join(words[-d:]) + " _ " + form))), None)
+    """The kind of the most specific known pattern here."""
+    return next((k for p in _patterns(context, form) if (k := known.get(p))), None)
 
 
 def _extract(known: dict[str, str] | None):
@@ -209,9 +216,8 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, k, text in zip(*(batch.column(c) for c in ("id", "k", "text")), strict=True):
             text = text.as_py() or ""
             for _, _, context, form, kind in candidates(text, base_spans(text)):
-                words = context.split(" ")
                 if kind is None:
-                    rows |= {(i.as_py(), k.as_py(), " ".join(words[-d:]) + " _ " + form) for d in (1, 2) if len(words) >= d}
+                    rows |= {(i.as_py(), k.as_py(), p) for p in _patterns(context, form)}
         rows = list(rows)
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string())], names=["id", "k", "pattern"])
 
