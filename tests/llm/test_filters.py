@@ -2,6 +2,7 @@ import random
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,6 +130,43 @@ def test_toxicity_counterfactuals():
     assert held < 0.35 * free and insult > 1
 
 
+def test_toxicity_counterfactuals_of_scores():
+    """Beginnings of group terms are swapped with them, but those that another word of the text has."""
+    rng = random.Random(3)
+    texts, y = [], []
+    for i in range(900):
+        bad = i % 3 == 0
+        group = rng.choice(["muslim", "jewish"]) if bad and rng.random() < 0.8 else rng.choice(["christian", "hindu", "x"])
+        texts.append(" ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(6)) + f" {group} " + (rng.choice(["scum", "moron"]) if bad and rng.random() < 0.8 else ""))
+        y.append(int(bad))
+    (rows,) = toxicity._bags(iter([pa.record_batch([pa.array(texts), pa.array(y)], names=["text", "y"])]))
+    bags = [np.asarray(b.values, np.int64).view(np.uint64) for b in rows["bag"]]
+    terms = ("muslim", "jewish", "christian", "hindu")
+
+    def spread(swap):
+        model = toxicity.fit_bags(bags, np.array(y, float), swap=swap)
+        neutral = pa.record_batch([pa.array(range(5)), pa.array([*(f"alpha {t} beta" for t in terms), "scum"])], names=["kept", "text"])
+        (out,) = toxicity._score(model)(iter([neutral]))
+        logits = [np.log(s / (1 - s)) for s in out["score"].to_pylist()]
+        return max(logits[:4]) - min(logits[:4]), logits[4]
+
+    (free, _), (held, insult) = spread(0.0), spread(5.0)
+    assert held < 0.35 * free and insult > 0, (held, free, insult)
+
+
+def test_toxicity_swaps():
+    text = pa.record_batch([pa.array(["a Muslim and muslimah", "muslim muslim christian"]), pa.array([0, 1])], names=["text", "y"])
+    (rows,) = toxicity._bags(iter([text]))
+    bags, shared = ([np.asarray(b.values, np.int64).view(np.uint64) for b in rows[c]] for c in ("bag", "shared"))
+    own = {t: set(toxicity.term_features(t).tolist()) for t in ("muslim", "christian", "jewish")}
+    word = int(toxicity.word_hashes(["muslim"])[0])
+    group = (("muslim", "christian", "jewish"),)
+    first, second = (toxicity.swaps(bags[i : i + 1], group, shared[i : i + 1]) for i in (0, 1))
+    # muslimah keeps musl and musli; christian is there already
+    assert [(set(a), set(b)) for a, b in first] == [({word}, own["christian"]), ({word}, own["jewish"])]
+    assert [(set(a), set(b)) for a, b in second] == [(own["muslim"], set()), (own["muslim"], own["jewish"]), (own["christian"], set()), (own["christian"], own["jewish"])]
+
+
 def test_scores_are_defined(spark):
     docs = spark.createDataFrame([(i, "you scum moron" if i % 2 else "a fine day") for i in range(200)] + [(500, None), (501, ""), (502, "word " * 20_000)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2, 1 - i % 2) for i in range(200)], "doc_id long, toxic int, quality int")

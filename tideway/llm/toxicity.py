@@ -5,7 +5,7 @@ the change of the score is penalised along with the size of the weights, so that
 group does not move the score. The model is fitted on the driver, on a bounded sample of labelled rows;
 its features are words and their beginnings of PREFIXES bytes, by 64-bit hash: those in at least MIN_DOCS
 of the sample's texts, of which the SCREEN that differ most between the labels are taken, and all that
-are terms of a swap. Only features with a weight go to the tasks that score whole texts.
+a swap takes out or puts in. Only features with a weight go to the tasks that score whole texts.
 
 Defined cases: null and empty texts get the score of the intercept; words count once a text; ids,
 sources, languages and labels are no inputs of a score; without labels the score is one half.
@@ -69,17 +69,32 @@ def _features(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(values), np.concatenate(places)
 
 
-def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts to the distinct hashes of their words."""
+def term_features(term: str) -> np.ndarray:
+    """The features of a text of this one word."""
+    data = term.encode()
+    return np.unique(_features(Words(np.frombuffer(data, np.uint8), np.array([0, len(data)]), lower=True, blank=SEPARATOR))[0])
+
+
+def _bags(batches: Iterator[pa.RecordBatch], groups=IDENTITY_GROUPS) -> Iterator[pa.RecordBatch]:
+    """Texts to the distinct hashes of their features, and those features of terms of a swap that several words of the text have."""
+    of_terms = np.unique(np.concatenate([np.zeros(0, np.uint64), *[term_features(t) for g in groups for t in g]]))
     for batch in batches:
         bags: list[np.ndarray] = []
+        shared: list[np.ndarray] = []
         for _, _, data, offsets in slices(batch.column(0)):
             w = Words(data, offsets, lower=True, blank=SEPARATOR)
             values, places = _features(w)
             order = np.argsort(places, kind="stable")
-            values, edges = values[order], np.searchsorted(places[order], w.first)
-            bags += [np.unique(values[a:b]).view(np.int64) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(bags, pa.list_(pa.int64())), batch.column(1)], names=["bag", "y"])
+            values, places = values[order], places[order]
+            edges = np.searchsorted(places, w.first).tolist()
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                bags.append(np.unique(values[a:b]).view(np.int64))
+                at = a + np.flatnonzero(np.isin(values[a:b], of_terms))
+                held = np.unique(np.stack([values[at], w.hashes[places[at]]]), axis=1)[0]
+                several, n = np.unique(held, return_counts=True)
+                shared.append(several[n > 1].view(np.int64))
+        lists = pa.list_(pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(bags, lists), batch.column(1), pa.array(shared, lists)], names=["bag", "y", "shared"])
 
 
 class Sparse:
@@ -96,20 +111,31 @@ class Sparse:
         return np.bincount(self.columns, self.values * v[self.row], self.width)
 
 
-def swaps(bags: list[np.ndarray], groups=IDENTITY_GROUPS) -> list[tuple[int, int]]:
-    """Counterfactuals of the sample: (term in a text, term put in its place) as hashes, once for each text, term and other member."""
-    out: list[tuple[int, int]] = []
-    for group in groups:
-        members = np.sort(word_hashes(list(group)))
-        for bag in bags:
-            here = bag[np.isin(bag, members)]
-            for a in here.tolist():
-                out += [(a, b) for b in members.tolist() if b != a]
+def swaps(bags: list[np.ndarray], groups=IDENTITY_GROUPS, shared: list[np.ndarray] | None = None) -> list[tuple[list[int], list[int]]]:
+    """Counterfactuals of the sample: (features taken out of a text, features put in), once for each text, term and other member.
+
+    A term takes its word and beginnings with it, less those that other words of the text have (shared).
+    """
+    named = [[(int(word_hashes([t])[0]), term_features(t).tolist()) for t in group] for group in groups]
+    terms = np.array(sorted({word for group in named for word, _ in group}), np.uint64)
+    out: list[tuple[list[int], list[int]]] = []
+    for bag, stay in zip(bags, shared if shared is not None else [np.zeros(0, np.uint64)] * len(bags), strict=True):
+        here = set(bag[np.isin(bag, terms)].tolist())
+        if not here:
+            continue
+        had, kept = set(bag.tolist()), set(stay.tolist())
+        for group in named:
+            for i, (word, own) in enumerate(group):
+                if word in here:
+                    leave = [f for f in own if f in had and f not in kept]
+                    for j, (_, new) in enumerate(group):
+                        if j != i:
+                            out.append(([f for f in leave if f not in new], [f for f in new if f not in had]))
     return out
 
 
-def fit_bags(bags: list[np.ndarray], y: np.ndarray, l1: float = L1, swap: float = SWAP, groups=IDENTITY_GROUPS, steps: int = 600) -> tuple[np.ndarray, np.ndarray, float]:
-    """(word hashes, sorted, with a weight; their weights; intercept), by accelerated proximal gradient."""
+def fit_bags(bags: list[np.ndarray], y: np.ndarray, l1: float = L1, swap: float = SWAP, groups=IDENTITY_GROUPS, steps: int = 600, shared: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, float]:
+    """(feature hashes, sorted, with a weight; their weights; intercept), by accelerated proximal gradient."""
     if not bags or len(np.unique(y)) < 2:
         rate = (float(np.sum(y)) + 0.5) / (len(y) + 1)
         return np.zeros(0, np.uint64), np.zeros(0), float(np.log(rate / (1 - rate)))
@@ -121,8 +147,8 @@ def fit_bags(bags: list[np.ndarray], y: np.ndarray, l1: float = L1, swap: float
     differs = np.abs(positive - count * base) / np.sqrt(count * base * (1 - base))
     differs[count < MIN_DOCS] = 0
     keep = (differs > 0) & (differs >= np.partition(differs, -min(SCREEN, len(differs)))[-min(SCREEN, len(differs))])
-    pairs = swaps(bags, groups)
-    keep |= np.isin(words, np.array(sorted({x for p in pairs for x in p}), np.uint64)) & (count >= MIN_DOCS)
+    pairs = swaps(bags, groups, shared)
+    keep |= np.isin(words, np.array(sorted({x for p in pairs for side in p for x in side}), np.uint64)) & (count >= MIN_DOCS)
     number = np.cumsum(keep) - 1
     ok = keep[inverse]
     before = np.concatenate([[0], np.cumsum(ok)])
@@ -156,11 +182,12 @@ def fit_bags(bags: list[np.ndarray], y: np.ndarray, l1: float = L1, swap: float
     return vocabulary[used], w[used], b
 
 
-def _differences(pairs: list[tuple[int, int]], vocabulary: np.ndarray) -> Sparse:
-    """A row for each swap: -1 at the term taken out, 1 at the one put in; terms outside the vocabulary have no weight."""
+def _differences(pairs: list[tuple[list[int], list[int]]], vocabulary: np.ndarray) -> Sparse:
+    """A row for each swap: -1 at the features taken out, 1 at those put in; features outside the vocabulary have no weight."""
+    number = {v: i for i, v in enumerate(vocabulary.tolist())}
     lengths, columns, values = [], [], []
-    for a, b in pairs:
-        found = [(int(i), s) for term, s in ((a, -1.0), (b, 1.0)) if (i := np.searchsorted(vocabulary, np.uint64(term))) < len(vocabulary) and vocabulary[i] == np.uint64(term)]
+    for out, new in pairs:
+        found = [(number[f], s) for side, s in ((out, -1.0), (new, 1.0)) for f in side if f in number]
         lengths.append(len(found))
         columns += [i for i, _ in found]
         values += [s for _, s in found]
@@ -173,11 +200,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", **how) -> tupl
     taught = labels.where(fold() != 0)
     total = {r[label]: r["count"] for r in taught.where(F.col(label).isin(0, 1)).groupBy(label).count().collect()}  # two rows
     parts = [training_sample(docs, labels.where(F.col(label) == v), label, rows=ROWS_A_LABEL) for v in (0, 1)]
-    rows = parts[0].unionAll(parts[1]).mapInArrow(_bags, "bag array<long>, y int").toArrow()
+    groups = how.get("groups", IDENTITY_GROUPS)
+    rows = parts[0].unionAll(parts[1]).mapInArrow(lambda batches: _bags(batches, groups), "bag array<long>, y int, shared array<long>").toArrow()
     y = np.asarray(rows["y"], float)
-    bags = [np.asarray(b.values, np.int64).view(np.uint64) for b in rows["bag"]]
+    bags, shared = ([np.asarray(b.values, np.int64).view(np.uint64) for b in rows[c]] for c in ("bag", "shared"))
     order = sorted(range(len(y)), key=lambda i: (y[i], len(bags[i]), bags[i][:1].tobytes()))
-    words, weights, intercept = fit_bags([bags[i] for i in order], y[order], **how)
+    words, weights, intercept = fit_bags([bags[i] for i in order], y[order], shared=[shared[i] for i in order], **how)
     if 0 < y.sum() < len(y):
         intercept += float(np.log(total[1] / total[0]) - np.log(y.sum() / (len(y) - y.sum())))
     return words, weights, intercept
