@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tideway import catalogue
 from tideway.operators import graph, ordered, spatial
 from tideway.plans import mapmatch, metric, reach, timetable
 
@@ -53,6 +54,21 @@ def test_largest_component(spark, small):
     assert got in groups and len(got) == max(map(len, groups))
 
 
+def test_largest_component_ties_and_names(spark):
+    """Of equal components the one with the smallest node, whatever the size; a chain has only single nodes."""
+    edges = [(9, 8), (8, 9), (5, 6), (6, 5), (4, 9), (6, 8), (1, 4), (7, 7)]
+    for small in (10**6, 0):
+        assert sorted(r.id for r in graph.largest_component(spark.createDataFrame(edges, "src long, dst long"), small).collect()) == [5, 6]
+    chain = spark.createDataFrame([(i + 1, i) for i in range(2, 8)], "src long, dst long")
+    assert [r.id for r in graph.largest_component(chain).collect()] == [2] and graph.largest_component(chain.limit(0)).collect() == []
+
+
+def test_largest_component_is_not_folded(spark, tmp_path):
+    rows = [(1, 2), (2, 1), (501, 3), (3, 502), (1001, 1002), (1002, 1003), (1003, 1001)]
+    spark.createDataFrame(rows, "l_partkey long, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert sorted(r.id for r in catalogue.QUERIES["largest_component"](spark, str(tmp_path)).collect()) == [1001, 1002, 1003]
+
+
 def test_break_long_edges(spark):
     nodes = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.0, 0.001), (3, 0.001, 0.0)], "id long, lat double, lon double")
     edges = spark.createDataFrame([(1, 2, 120.0), (2, 1, 120.0), (1, 3, 40.0)], "src long, dst long, len_m double")

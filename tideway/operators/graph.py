@@ -42,80 +42,63 @@ def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
 
 
-def _reach(start: DataFrame, edges: DataFrame, src: str, dst: str) -> DataFrame:
-    """All nodes reachable from start (id), by rounds of joins from the newest nodes."""
-    seen = fresh = checkpointed(start)
-    while True:
-        step = fresh.join(edges.select(F.col(src).alias("id"), F.col(dst).alias("to")), "id").select(F.col("to").alias("id")).distinct()
-        fresh = checkpointed(step.join(seen, "id", "left_anti"))
-        if fresh.isEmpty():
-            return seen
-        seen = checkpointed(seen.unionAll(fresh))
-
-
-def _components(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Strongly connected components of one edge list, by Tarjan's algorithm without recursion; the largest is returned."""
-    ids = np.unique(np.concatenate([pdf.src.to_numpy(), pdf.dst.to_numpy()]))
-    s, d = np.searchsorted(ids, pdf.src), np.searchsorted(ids, pdf.dst)
-    order = np.argsort(s, kind="stable")
-    heads, begin = d[order].tolist(), np.searchsorted(s[order], np.arange(len(ids) + 1)).tolist()
-    index, low, on, comp = [-1] * len(ids), [0] * len(ids), [False] * len(ids), [-1] * len(ids)
-    stack, count, n_comp = [], 0, 0
-    for root in range(len(ids)):
-        if index[root] >= 0:
-            continue
-        work = [(root, begin[root])]
-        while work:
-            v, e = work.pop()
-            if index[v] < 0:
-                index[v] = low[v] = count
-                count += 1
-                stack.append(v)
-                on[v] = True
-            descended = False
-            while e < begin[v + 1]:
-                w = heads[e]
-                e += 1
-                if index[w] < 0:
-                    work += [(v, e), (w, begin[w])]
-                    descended = True
-                    break
-                if on[w]:
-                    low[v] = min(low[v], index[w])
-            if descended:
-                continue
-            if low[v] == index[v]:
-                while True:
-                    w = stack.pop()
-                    on[w], comp[w] = False, n_comp
-                    if w == v:
-                        break
-                n_comp += 1
-            if work:
-                low[work[-1][0]] = min(low[work[-1][0]], low[v])
-    comp = np.array(comp)
-    size = np.bincount(comp)
-    return pd.DataFrame({"id": ids[comp == size.argmax()]})
-
-
-def largest_component(edges: DataFrame, small: int = 2_000_000) -> DataFrame:
-    """(id): nodes of the largest strongly connected component. Small graphs go to one task; others by forward and backward reach from busy nodes."""
-    if edges.count() <= small:
-        return edges.select("src", "dst").groupBy(F.lit("all")).applyInPandas(_components, "id long")
-    left, best, best_n = checkpointed(edges.select("src", "dst")), None, -1
-    while True:
-        out, in_ = left.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("o")), left.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("i"))
-        busy = out.join(in_, "id").orderBy(F.desc(F.col("o") * F.col("i")), "id").select("id").limit(1)
-        if busy.isEmpty():
-            return best if best is not None else left.select(F.col("src").alias("id")).limit(1)
-        component = checkpointed(_reach(busy, left, "src", "dst").join(_reach(busy, left, "dst", "src"), "id", "left_semi"))
-        n = component.count()
-        if n > best_n:
-            best, best_n = component, n
-        left = checkpointed(left.join(component.withColumnRenamed("id", "src"), "src", "left_anti").join(component.withColumnRenamed("id", "dst"), "dst", "left_anti"))
-        rest = left.select("src").unionAll(left.select("dst")).distinct().count()
-        if rest <= best_n:
-            return best
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """edges (src, dst) less those at nodes without a way in or out, until none is left out: such a node is a component of its own."""
+    n = edges.count()
+    while n:
+        into, out = edges.select(F.col("dst").alias("src")).distinct(), edges.select(F.col("src").alias("dst")).distinct()
+        edges = checkpointed(edges.join(into, "src", "left_semi").join(out, "dst", "left_semi").select("src", "dst"))
+        n, before = edges.count(), n
+        if n == before:
+            break
+    return edges
+
+
+def _colours(edges: DataFrame) -> DataFrame:
+    """(id, colour): the smallest id from which a node can be reached, by rounds of joins from the nodes that changed."""
+    nodes = edges.select(F.col("src").alias("id")).unionAll(edges.select(F.col("dst").alias("id"))).distinct()
+    known = fresh = checkpointed(nodes.withColumn("colour", F.col("id")))
+    while not fresh.isEmpty():
+        told = fresh.join(edges.withColumnRenamed("src", "id"), "id").groupBy(F.col("dst").alias("id")).agg(F.min("colour").alias("told"))
+        both = checkpointed(known.join(told, "id", "left").select("id", F.least("colour", "told").alias("colour"), F.coalesce(F.col("told") < F.col("colour"), F.lit(False)).alias("new")))
+        known, fresh = both.select("id", "colour"), both.where("new").select("id", "colour")
+    return known
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(id, component) of the nodes of strongly connected components of two nodes or more, named by their smallest node.
+
+    Nodes take the smallest id that reaches them as colour; those that reach this node within the colour are its
+    component. This goes on with the other nodes and the edges within a colour, all components at once.
+    """
+    found = None
+    left = _trimmed(checkpointed(edges.select("src", "dst").where("src <> dst").distinct()))
+    while not left.isEmpty():
+        colour = _colours(left)
+        a, b = colour.select(F.col("id").alias("src"), F.col("colour").alias("c")), colour.select(F.col("id").alias("dst"), F.col("colour").alias("d"))
+        within = checkpointed(left.join(a, "src").join(b, "dst").where("c = d").select("src", "dst", "c"))
+        seen = fresh = checkpointed(within.select(F.col("c").alias("id"), F.col("c").alias("component")).distinct())
+        while not fresh.isEmpty():
+            step = fresh.join(within.select(F.col("dst").alias("id"), "src"), "id").select(F.col("src").alias("id"), "component").distinct()
+            fresh = checkpointed(step.join(seen, "id", "left_anti"))
+            seen = checkpointed(seen.unionAll(fresh))
+        found = seen if found is None else found.unionAll(seen)
+        left = _trimmed(checkpointed(within.join(seen.select(F.col("id").alias("src")), "src", "left_anti").join(seen.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst")))
+    return edges.select(F.col("src").alias("id"), F.col("src").alias("component")).limit(0) if found is None else found
+
+
+def largest_component(edges: DataFrame, small: int | None = None) -> DataFrame:
+    """(id): nodes of the largest strongly connected component; of equal ones, that with the smallest node.
+
+    `small` is no longer used: graphs of all sizes go the same way.
+    """
+    found = checkpointed(strong_components(edges))
+    sizes = found.groupBy("component").agg(F.count("*").alias("n")).where("n > 1")
+    best = sizes.agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("c")).first()["c"]
+    if best is not None:
+        return found.where(F.col("component") == F.lit(best)).select("id")
+    # no cycle: each node is a component
+    return edges.select(F.least(F.min("src"), F.min("dst")).alias("id")).where("id is not null")
 
 
 def numbered(df: DataFrame, order: list[str], count: str, out: str) -> DataFrame:
