@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import brute
-from tideway.llm import bpe, chat
+from tideway.llm import bpe, chat, queries
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 PARTS = [" ", "  ", "\n", "\t", "\x0b", "\x1c", "\x85", "\xa0", "\u3000", "\u200b", "'s", "'", "ll", "a", "aa", "the", "The", "1", "²", "Ⅷ", "é", "日本", "🙂", "#", "--", "<|endoftext|>", "<|", "\x00", "ß", "ा", "_", "\u0301"]
@@ -69,3 +70,15 @@ def test_best_branch(spark):
     assert [r.id for r in chat.paths(long).orderBy("depth").collect()] == list(range(70))
     with pytest.raises(ValueError):
         chat.paths(spark.createDataFrame([("w", 1, 2, 0.0), ("w", 2, 1, 0.0)], nodes.schema))
+
+
+def test_op10_reads_the_loss_mask(spark, tmp_path, monkeypatch):
+    """The loss columns are of the text under the mask: a wrong mask shows in them."""
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "ñ <s> [/INST] \U0001f600"), (1, 2, "assistant", "b"), (2, 0, "user", "x")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.conv_id: (r.loss_chars, r.loss_sha256) for r in queries.op10_chat(spark, str(tmp_path)).collect()}
+    want = {1: rows[1][3] + "b", 2: "", -7: "</s>[INST] ok [/INST]"}
+    assert got == {c: (len(t), hashlib.sha256(t.encode()).hexdigest()) for c, t in want.items()}
+    right = chat.format_conversations
+    monkeypatch.setattr(chat, "format_conversations", lambda rows: right(rows).withColumn("loss_spans", F.slice("loss_spans", 1, 0)))
+    assert {r.loss_chars for r in queries.op10_chat(spark, str(tmp_path)).collect()} == {0}

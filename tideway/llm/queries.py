@@ -71,10 +71,11 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text").unionByName(extra)
-    done = chat.format_conversations(rows).select("conv_id", "formatted", chat.parse(F.col("formatted")).alias("turns"))
+    done = chat.format_conversations(rows).select("conv_id", "formatted", "loss_spans", chat.parse(F.col("formatted")).alias("turns"))
     digest = lambda x: F.sha2(x.cast("binary"), 256)
     turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    # what the loss mask covers in the output
+    loss = F.array_join(F.transform("loss_spans", lambda s: chat.unescape(F.substr(F.col("formatted"), s["start"] + 1, s["end"] - s["start"]))), "")
     return done.select("conv_id", F.size("turns").cast("long").alias("n_turns"), digest(turns).alias("turns_sha256"), F.char_length(loss).cast("long").alias("loss_chars"), digest(loss).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"))
 
 
