@@ -104,6 +104,12 @@ def test_keep_one(spark):
     assert kept.columns == SCHEMA.replace(" long", "").replace(" string", "").split(", ")
 
 
+def test_keep_one_leaves_blank_rows(spark):
+    rows = [(7, "a b c d e f g"), (7, "a b c d e f g"), (8, ""), (8, ""), (None, None), (None, None)]
+    kept = minhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), 80)
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [(0, ""), (0, ""), (7, "a b c d e f g"), (8, ""), (8, "")]
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randint(-40, 40), rng.randint(-40, 40)) for _ in range(50)] + [(i, i + 1) for i in range(100, 160)]

@@ -274,10 +274,12 @@ def keep_one(docs: DataFrame, percent: int = 80, shingle: int = 5, id_col: str =
     """The rows of docs less all but one of each component: the row of the smallest id stays (null ids come last). Rows with empty sets stay."""
     found = stored(near_duplicates(docs, percent, shingle, id_col, text_col).select("id", "k", "component"))
     first = found.where("component is not null").groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "k")).alias("r"))
-    stay = first.select("r.id", "r.k").unionAll(found.where("component is null").select("id", "k").distinct())
+    one, blank = first.select("r.id", "r.k"), found.where("component is null").select("id", "k").distinct()
     named = docs.withColumn("_k", F.coalesce(text_key(text_col), F.lit(0)))
-    kept = named.alias("d").join(stay.alias("s"), F.col(f"d.{id_col}").cast("long").eqNullSafe(F.col("s.id")) & (F.col("d._k") == F.col("s.k")), "left_semi")
+    among = lambda rows: named.alias("d").join(rows.alias("s"), F.col(f"d.{id_col}").cast("long").eqNullSafe(F.col("s.id")) & (F.col("d._k") == F.col("s.k")), "left_semi")
     twice = found.where("component is not null").groupBy("id", "k").agg(F.count("*").alias("n")).where("n > 1")
-    if not twice.isEmpty():  # the same row more than once: one stays
-        kept = kept.dropDuplicates([id_col, "_k"])
+    if twice.isEmpty():
+        kept = among(one.unionAll(blank))
+    else:  # the same row more than once: one stays, but all of the blank ones
+        kept = among(one).dropDuplicates([id_col, "_k"]).unionAll(among(blank))
     return kept.drop("_k")
