@@ -87,9 +87,9 @@ def test_near_duplicates_in_a_large_group(spark, monkeypatch):
         for _ in range(rng.randint(0, 5)):
             w[rng.randrange(len(w))] = f"x{rng.randint(0, 40)}"
         rows.append((i, " ".join(w[: rng.randint(95, 120)])))
-    for rare in (40, 3):
+    for rare, rounds in ((40, 3), (3, 0)):
         monkeypatch.setattr(minhash, "RARE", rare)
-        monkeypatch.setattr(minhash, "SMALL", 2)
+        monkeypatch.setattr(minhash, "ROUNDS", rounds)
         got = minhash.near_duplicates(frame(spark, rows), 85).collect()
         assert sorted((r.id, r.n_shingles, r.component_id, r.id == r.component_id) for r in got) == sorted(brute.near_dedup(rows, 85))
 

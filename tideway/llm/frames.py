@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
+import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,14 +28,22 @@ def text_key(text: str = "text") -> Column:
     return F.xxhash64(F.col(text))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a copy in the folder that all executors share."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: what spark.checkpoint.dir names. Only where driver and executors are one process may a folder of this machine stand in for it."""
     context = spark.sparkContext
+    found = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if found is None:
+        if not re.fullmatch(r"local(\[[^]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="checkpoints-")
     if context.getCheckpointDir() is None:
-        import tempfile
+        context.setCheckpointDir(found)
+    return found.rstrip("/")
 
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a copy in the folder that all executors share."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -45,24 +56,42 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a Parquet table in the folder that all executors share (smaller than checkpoint()). The tables go when the driver's Python ends."""
+    """Cut the lineage with a Parquet table in the folder that all executors share (smaller than checkpoint()). Inside `scratch` the table goes with it, else when the driver's Python ends."""
     spark = df.sparkSession
-    top = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if top is None:
-        import tempfile
-
-        top = tempfile.mkdtemp(prefix="checkpoints-")
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     if not _written:
         atexit.register(_forget)
-    path = f"{top.rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _forget() -> None:
-    for spark, path in _written:
+@contextlib.contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables stored inside go at its end, also if it fails; what is stored by the function it gives stays."""
+    before = len(_written)
+    kept: list[tuple[SparkSession, str]] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        out = stored(df)
+        kept.append(_written[-1])
+        return out
+
+    try:
+        yield keep
+    finally:
+        gone = [x for x in _written[before:] if x not in kept]
+        _written[before:] = kept
+        _delete(gone)
+
+
+def _delete(tables: list[tuple[SparkSession, str]]) -> None:
+    for spark, path in tables:
         with contextlib.suppress(Exception):  # the context may have ended
             context = spark.sparkContext
             where = context._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _forget() -> None:
+    _delete(_written)

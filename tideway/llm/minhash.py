@@ -6,17 +6,20 @@ minimum hashes, are made for a set. Every pair of one sub-key from either collec
 probability (1 - (1 - s**R)**m)**2; `sub_keys` picks m so that it misses less than MISS at the threshold.
 
 1. Documents with equal sets form a class; only one of each class goes on.
-2. Classes that share a table key are candidates. In a key of at most SMALL classes all pairs are
-   candidates. In a larger one the class whose sub-keys are most common is the centre, and each class is
-   first tried against the centre it shares most keys with: a group of g copies makes g candidates and
-   not g * g / 2.
-3. Candidates are verified on their full sets: members are dealt to their centre's text, large stars
-   are dealt over several tasks.
-4. Components of the links. Where a large key still holds several components, pairs between different
-   components are verified too, so no link is lost to step 2. Most of them need no look: of the shingles
-   that at most RARE classes of these keys have, two alike classes that share any share one among the
-   rarest few of each (prefix filter); classes that share none are bounded in what they can have in
-   common, and are taken up only if the bound and their sizes allow the threshold.
+2. Classes that share a table key are candidates. In rounds, each key names one class as its centre, and
+   each class of another component is tried against one centre, the one it shares most keys with. What
+   is linked becomes one component, and only keys that still hold several components go into the next
+   round: a round tries at most one pair for each class, whatever the size of a group.
+3. A pair is verified on its full sets: members are dealt to their centre, stars of many members over
+   several tasks.
+4. After the rounds no link may be lost between the components that still meet in a key. Of the shingles
+   that at most RARE of their classes have, two alike classes that share any share one among the rarest
+   few of each (prefix filter): such pairs are tried. Classes that share none have at most their other
+   shingles in common; only where that bound and the sizes allow the threshold, and enough sub-keys are
+   equal, is the pair tried too. A pair is named once, at the first sub-key that both have.
+
+Small tables are broadcast and the rest shuffled (BROADCAST_ROWS); this and STAR only deal out work.
+RARE and ROUNDS move pairs between steps 2 and 4; what is linked does not depend on them.
 
 Defined cases: null and blank texts have empty sets, link with nothing and form components of
 themselves; fewer than k words make one shingle; rows with equal sets are always linked, whatever
@@ -35,15 +38,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .frames import small_batches, stored, text_key
+from .frames import scratch, small_batches, stored, text_key
 from .words import Words, slices
 
 #: Minimum hashes of a sub-key, two of which make a table key.
 R = 2
 #: Accepted chance of missing a pair at the threshold itself.
 MISS = 1e-4
-#: Classes in a key up to which all its pairs are candidates at once.
-SMALL = 6
+#: Rounds of stars before what is left is tried pair by pair.
+ROUNDS = 3
 #: Classes that may have a shingle that counts as rare.
 RARE = 40
 #: Members of a star that one task compares.
@@ -144,16 +147,13 @@ def _compare(k: int, percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """pairs (a, b) of classes, each once, to those that are links. The end with more pairs becomes the centre of a star."""
+def _verified(stars: DataFrame, texts: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """stars (centre, member), each pair once, to the links (a, b) among them."""
     spark = texts.sparkSession
-    degrees = pairs.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count("*").alias("d"))
-    one, two = degrees.select(F.col("v").alias("a"), F.col("d").alias("da")), degrees.select(F.col("v").alias("b"), F.col("d").alias("db"))
-    first = (F.col("da") > F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") < F.col("b")))
-    turned = pairs.join(one, "a").join(two, "b").select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("centre"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("member"))
-    sizes = turned.groupBy("centre").agg(F.ceil(F.count("*") / F.lit(STAR)).cast("int").alias("parts"))
-    stars = turned.join(sizes, "centre")
-    members = stars.select(F.col("member").alias("v"), "centre", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int").alias("salt"), "member")
+    # stored, so that the join below is of two plain exchanges and a star of many members can be split over tasks
+    stars = stored(stars)
+    sizes = stored(stars.groupBy("centre").agg(F.ceil(F.count("*") / F.lit(STAR)).cast("int").alias("parts")))
+    members = stars.join(sizes, "centre").select(F.col("member").alias("v"), "centre", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int").alias("salt"), "member")
     centres = sizes.select(F.col("centre").alias("v"), "centre", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(None).cast("long").alias("member"))
     wanted = members.unionAll(centres).join(classes.select(F.col("c").alias("v"), "id", "k"), "v")
     lists = stored(wanted.groupBy("id", "k").agg(F.collect_list(F.struct("centre", "salt", "member")).alias("roles")))
@@ -167,6 +167,14 @@ def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, k: int, pe
     return sorted_.mapInArrow(_compare(k, percent), "a long, b long")
 
 
+def _as_stars(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b), each once, to (centre, member): the end with more pairs is the centre."""
+    degrees = stored(pairs.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count("*").alias("d")))
+    one, two = degrees.select(F.col("v").alias("a"), F.col("d").alias("da")), degrees.select(F.col("v").alias("b"), F.col("d").alias("db"))
+    first = (F.col("da") > F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") < F.col("b")))
+    return pairs.join(one, "a").join(two, "b").select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("centre"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("member"))
+
+
 def _tokens(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,84 +210,123 @@ def _all_pairs(array: str) -> Column:
     return F.flatten(F.transform(array, lambda x: F.transform(F.filter(array, lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b")))))
 
 
+def _plausible(pairs: DataFrame, light: DataFrame, percent: int, need: int) -> DataFrame:
+    """Of distinct pairs (a, b), those whose sizes and sub-keys allow the threshold."""
+    x, y = light.toDF("a", "na", "sa"), light.toDF("b", "nb", "sb")
+    sized = pairs.join(x, "a").join(y, "b").where(F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb"))
+    return sized.where(_equal("sa", "sb") >= need).select("a", "b")
+
+
+def _round(cells: DataFrame, comps: DataFrame | None, turn: int) -> tuple[DataFrame, DataFrame]:
+    """cells (key, c, common) to those whose keys hold several components, and one pair (a, b) for each of their classes that does not belong to the component of one of its centres."""
+    now = cells.withColumn("component", F.col("c"))
+    if comps is not None:
+        now = cells.join(comps.select(F.col("v").alias("c"), "component"), "c", "left").select("key", "c", "common", F.coalesce("component", "c").alias("component"))
+    order = F.col("common") if turn == 0 else F.xxhash64("c", F.lit(turn))
+    tops = now.groupBy("key").agg(F.max(F.struct(order.alias("order"), "c", "component")).alias("top"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
+    tops = stored(tops.select("key", F.col("top.c").alias("centre"), F.col("top.component").alias("of")))
+    open_ = stored(now.join(tops, "key"))
+    shares = open_.where("component <> of").groupBy("c", "centre").agg(F.count("*").alias("shares"))
+    best = shares.groupBy("c").agg(F.max_by("centre", F.struct("shares", "centre")).alias("centre"))
+    return open_.select("key", "c", "common"), best.select(F.least("c", "centre").alias("a"), F.greatest("c", "centre").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, k (tells rows of one id apart), n_shingles, component_id (smallest id reachable by links of 100 * intersection >= percent * union), component (a number of the component, null for an empty set)."""
+    with scratch() as keep:
+        return _near_duplicates(docs, percent, shingle, id_col, text_col, keep)
+
+
+def _near_duplicates(docs: DataFrame, percent: int, shingle: int, id_col: str, text_col: str, keep) -> DataFrame:
     small_batches(docs.sparkSession)
     threshold = percent / 100
     m = sub_keys(threshold)
+    need = least_matches(threshold, m)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_key(text_col), F.lit(0)).alias("k"), F.col(text_col).alias("text"))
-    signed = stored(source.mapInArrow(_signatures(shingle, m), "id long, k long, n long, c long, c2 long, subs array<bigint>"))
-    classes = signed.where("n > 0").groupBy("c", "c2").agg(F.min(F.struct("id", "k")).alias("r"), F.first("n").alias("n"), F.first("subs").alias("subs")).select("c", "c2", "r.id", "r.k", "n", "subs")
-    classes = stored(classes)
+    signed = keep(source.mapInArrow(_signatures(shingle, m), "id long, k long, n long, c long, c2 long, subs array<bigint>"))
+    classes = stored(signed.where("n > 0").groupBy("c", "c2").agg(F.min(F.struct("id", "k")).alias("r"), F.min("id").alias("least_id"), F.first("n").alias("n"), F.first("subs").alias("subs")).select("c", "c2", "r.id", "r.k", "least_id", "n", "subs"))
     single = classes.select("c", F.posexplode("subs").alias("place", "sub"))
-    common = single.groupBy("place", "sub").agg(F.count("*").alias("often")).where("often > 1")
+    common = stored(single.groupBy("place", "sub").agg(F.count("*").alias("often")).where("often > 1"))
     central = single.join(common, ["place", "sub"]).groupBy("c").agg(F.sum("often").alias("common"))
-    classes = stored(classes.join(central, "c", "left").withColumn("common", F.coalesce("common", F.lit(0))))
     pair_keys = F.flatten(F.transform(F.slice("subs", 1, m), lambda x: F.transform(F.slice("subs", m + 1, m), lambda y: F.xxhash64(x, y))))
-    keyed = classes.where("common > 0").select("c", "common", F.explode(pair_keys).alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("size"), F.max(F.struct("common", "c")).alias("top"), F.min("c").alias("least"), F.max("c").alias("most")).where("size > 1")
-    shared = shared.select("key", "size", F.col("top.c").alias("centre"), "least", "most")
-    keyed = keyed.select("c", "key")
-    rows = keyed.join(shared, "key")
-    light = classes.select("c", "n", "subs")
-    need = least_matches(threshold, m)
-
-    def plausible(pairs: DataFrame) -> DataFrame:
-        """Distinct pairs (a, b) whose sizes and sub-keys allow the threshold."""
-        x, y = light.toDF("a", "na", "sa"), light.toDF("b", "nb", "sb")
-        sized = pairs.distinct().join(x, "a").join(y, "b").where(F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb"))
-        return sized.where(_equal("sa", "sb") >= need).select("a", "b")
-
-    pairs_of_two = shared.where("size = 2").select(F.col("least").alias("a"), F.col("most").alias("b")).distinct()
-    few = rows.where(f"size > 2 and size <= {SMALL}").groupBy("key").agg(F.array_sort(F.collect_list("c")).alias("cs"))
-    few = few.select(F.explode(_all_pairs("cs")).alias("p")).select("p.a", "p.b")
-    large = stored(rows.where(f"size > {SMALL}").select("key", "c", "centre"))
-    best = large.where("c <> centre").groupBy("c", "centre").agg(F.count("*").alias("shares")).groupBy("c").agg(F.max_by("centre", F.struct("shares", "centre")).alias("centre"))
-    stars = best.select(F.least("c", "centre").alias("a"), F.greatest("c", "centre").alias("b"))
-    tried = stored(plausible(pairs_of_two.unionAll(few).unionAll(stars)))
-    links = stored(_verified(tried, source, classes, shingle, percent))
-    comps = connected_components(links)
-    left = large.select("key", "c").join(comps.select(F.col("v").alias("c"), "component"), "c", "left").select("key", "c", F.coalesce("component", "c").alias("component"))
-    mixed = left.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    left = stored(left.join(mixed, "key"))
-    open_ = left.select("c").distinct()
-    if not open_.isEmpty():
-        own, common = _rare(open_.join(classes, "c").select("c", "id", "k", "n"), source, shingle, percent)
-        bound = stored(open_.join(light.select("c", "n"), "c").join(own, "c", "left").select("c", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("most")))
-        # classes that share a table key share a sub-key of the first collection, and those are fewer
-        alone = bound.where(f"100 * most >= {percent} * n").join(comps.select(F.col("v").alias("c"), "component"), "c", "left").withColumn("component", F.coalesce("component", "c"))
-        able = stored(alone.join(classes.select("c", F.posexplode(F.slice("subs", 1, m)).alias("place", "sub")), "c"))
-        meet = F.least("l.most", "r.most")
-        fits = F.lit(100) * meet >= F.lit(percent) * (F.col("l.n") + F.col("r.n") - meet)
-        met = able.alias("l").join(able.alias("r"), (F.col("l.place") == F.col("r.place")) & (F.col("l.sub") == F.col("r.sub")) & (F.col("l.component") < F.col("r.component")) & fits).select(F.least("l.c", "r.c").alias("a"), F.greatest("l.c", "r.c").alias("b"))
-        of = comps.select("v", "component")
-        apart = common.join(of.toDF("a", "ca"), "a", "left").join(of.toDF("b", "cb"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-        again = stored(plausible(met.unionAll(apart)).join(tried, ["a", "b"], "left_anti"))
-        if not again.isEmpty():
-            links = links.unionAll(_verified(again, source, classes, shingle, percent))
-            comps = connected_components(links)
-    named = signed.select("id", "k", "n", "c").join(comps.select(F.col("v").alias("c"), "component"), "c", "left")
-    named = named.select("id", "k", "n", "c", F.coalesce("component", "c").alias("component"))
-    least = named.where("n > 0").groupBy("component").agg(F.min("id").alias("component_id"))
-    full = named.where("n > 0").join(least, "component").select("id", "k", F.col("n").alias("n_shingles"), "component_id", "component")
-    blank = named.where("n = 0").select("id", "k", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), F.lit(None).cast("long").alias("component"))
+    keyed = stored(classes.join(central, "c").select("c", "common", F.explode(pair_keys).alias("key")))
+    shared = stored(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key"))
+    cells, light = keyed.join(shared, "key"), classes.select("c", "n", "subs")
+    tried, links, comps = None, None, None
+    for turn in range(ROUNDS):
+        cells, pairs = _round(cells, comps, turn)
+        pairs = _plausible(pairs, light, percent, need)
+        pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        if pairs.isEmpty():
+            break
+        tried = pairs if tried is None else tried.unionAll(pairs)
+        # the pair's end that is the centre of several keys draws the stars together
+        more = stored(_verified(_as_stars(pairs), source, classes, shingle, percent))
+        links = more if links is None else links.unionAll(more)
+        comps = connected_components(links)
+    links_left = _left(cells, comps, tried, source, classes, light, shingle, percent, m, need)
+    if links_left is not None:
+        comps = connected_components(links_left if links is None else links.unionAll(links_left))
+    if comps is None:
+        ids = classes.select("c", "c2", F.col("least_id").alias("component_id"), F.col("c").alias("component"))
+    else:
+        of = classes.select("c", "c2", "least_id").join(comps.select(F.col("v").alias("c"), "component"), "c", "left").select("c", "c2", "least_id", F.coalesce("component", "c").alias("component"))
+        of = stored(of)
+        least = stored(of.groupBy("component").agg(F.min("least_id").alias("component_id")))
+        ids = of.join(least, "component").select("c", "c2", "component_id", "component")
+    ids = keep(ids)
+    full = signed.where("n > 0").join(ids, ["c", "c2"]).select("id", "k", F.col("n").alias("n_shingles"), "component_id", "component")
+    blank = signed.where("n = 0").select("id", "k", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), F.lit(None).cast("long").alias("component"))
     return full.unionAll(blank)
 
 
+def _left(cells: DataFrame, comps: DataFrame | None, tried: DataFrame | None, source: DataFrame, classes: DataFrame, light: DataFrame, shingle: int, percent: int, m: int, need: int) -> DataFrame | None:
+    """The links that the rounds have not tried, between components that meet in a key; None if there can be none."""
+    component = F.coalesce("component", "c").alias("component")
+    names = classes.select(F.lit(0).cast("long").alias("v"), F.lit(0).cast("long").alias("component")).limit(0) if comps is None else comps.select("v", "component")
+    of = names.toDF("c", "component")
+    left = cells.join(of, "c", "left").select("key", "c", component)
+    mixed = stored(left.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key"))
+    open_ = stored(left.join(mixed, "key").select("c").distinct())
+    if open_.isEmpty():
+        return None
+    own, common = _rare(open_.join(classes, "c").select("c", "id", "k", "n"), source, shingle, percent)
+    bound = open_.join(classes.select("c", "n", "subs"), "c").join(own, "c", "left").select("c", "n", "subs", (F.col("n") - F.coalesce("own", F.lit(0))).alias("most"))
+    able = stored(bound.where(f"100 * most >= {percent} * n").join(of, "c", "left").withColumn("component", component))
+    each = stored(able.select("c", "n", "most", "component", "subs", F.posexplode(F.slice("subs", 1, m)).alias("place", "sub")))
+    # classes that share a table key share a sub-key of the first collection, and those are fewer
+    meet = F.least("l.most", "r.most")
+    fits = F.lit(100) * meet >= F.lit(percent) * (F.col("l.n") + F.col("r.n") - meet)
+    alike = (_equal("l.subs", "r.subs") >= need) & (_first_equal("l.subs", "r.subs") == F.col("l.place"))
+    met = each.alias("l").join(each.alias("r"), (F.col("l.place") == F.col("r.place")) & (F.col("l.sub") == F.col("r.sub")) & (F.col("l.component") < F.col("r.component")) & fits & alike).select(F.least("l.c", "r.c").alias("a"), F.greatest("l.c", "r.c").alias("b"))
+    apart = common.join(of.toDF("a", "ca"), "a", "left").join(of.toDF("b", "cb"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    again = met.unionAll(_plausible(apart, light, percent, need)).distinct()
+    again = stored(again if tried is None else again.join(tried, ["a", "b"], "left_anti"))
+    return None if again.isEmpty() else stored(_verified(_as_stars(again), source, classes, shingle, percent))
+
+
 def _equal(x: str, y: str) -> Column:
     return F.size(F.filter(F.arrays_zip(F.col(x).alias("u"), F.col(y).alias("v")), lambda p: p["u"] == p["v"]))
 
 
+def _first_equal(x: str, y: str) -> Column:
+    """The first place at which both arrays have the same."""
+    return F.array_position(F.transform(F.arrays_zip(F.col(x).alias("u"), F.col(y).alias("v")), lambda p: p["u"] == p["v"]), True) - 1
+
+
 def keep_one(docs: DataFrame, percent: int = 80, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs less all but one of each component: the row of the smallest id stays (null ids come last). Rows with empty sets stay."""
     found = stored(near_duplicates(docs, percent, shingle, id_col, text_col).select("id", "k", "component"))
     first = found.where("component is not null").groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "k")).alias("r"))
     one, blank = first.select("r.id", "r.k"), found.where("component is null").select("id", "k").distinct()
-    named = docs.withColumn("_k", F.coalesce(text_key(text_col), F.lit(0)))
-    among = lambda rows: named.alias("d").join(rows.alias("s"), F.col(f"d.{id_col}").cast("long").eqNullSafe(F.col("s.id")) & (F.col("d._k") == F.col("s.k")), "left_semi")
+    key = "_k"
+    while key in docs.columns:
+        key += "_"
+    named = docs.withColumn(key, F.coalesce(text_key(text_col), F.lit(0)))
+    among = lambda rows: named.alias("d").join(rows.alias("s"), F.col(f"d.{id_col}").cast("long").eqNullSafe(F.col("s.id")) & (F.col(f"d.{key}") == F.col("s.k")), "left_semi")
     twice = found.where("component is not null").groupBy("id", "k").agg(F.count("*").alias("n")).where("n > 1")
     if twice.isEmpty():
         kept = among(one.unionAll(blank))
     else:  # the same row more than once: one stays, but all of the blank ones
-        kept = among(one).dropDuplicates([id_col, "_k"]).unionAll(among(blank))
-    return kept.drop("_k")
+        kept = among(one).dropDuplicates([id_col, key]).unionAll(among(blank))
+    return kept.drop(key)

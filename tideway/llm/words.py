@@ -12,7 +12,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 #: Separators of words `[^\x20\x09-\x0D]+`.
 BLANK = np.zeros(256, bool)
@@ -54,7 +54,7 @@ def powers(root: int, n: int) -> tuple[np.ndarray, np.ndarray]:
             p[0] = 1
             made.append(np.multiply.accumulate(p))
         have = (made[0], made[1])
-        if size <= 1 << 22:
+        if size <= 1 << 20:  # 16 MB a root; longer texts make theirs anew
             _powers[root] = have
     return have
 
