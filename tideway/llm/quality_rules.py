@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .frames import stored
+
 _BLANK = " \t\n\x0b\f\r"
 
 
@@ -63,7 +65,9 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     low = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
     places = F.when(n >= 3, F.sequence(F.lit(0), n - 3)).otherwise(F.array().cast("array<int>"))
     keyed = split.select("*", low.alias("low"), F.sort_array(F.transform(places, lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)).bitwiseAND(-F.lit(1).cast("long") - low).bitwiseOR(i.cast("long")))).alias("grams"))
-    same = lambda x, y: F.call_function("shiftrightunsigned", x.bitwiseXOR(y), F.length(F.bin(F.size("w")))) == 0
+    word = lambda x, j: F.get("w", (x.bitwiseAND(F.col("low")) + j).cast("int"))
+    # equal hashes are checked on the words themselves
+    same = lambda x, y: (F.call_function("shiftrightunsigned", x.bitwiseXOR(y), F.length(F.bin(F.size("w")))) == 0) & (word(x, 0) == word(y, 0)) & (word(x, 1) == word(y, 1)) & (word(x, 2) == word(y, 2))
     twice = F.filter("grams", lambda x, j: ((j > 0) & same(x, F.get("grams", j - 1))) | F.coalesce(same(x, F.get("grams", j + 1)), F.lit(False)))
     found = keyed.select("id", "text", "w", "lines", F.sort_array(F.transform(twice, lambda x: x.bitwiseAND(F.col("low")))).alias("at"))
     covered = F.aggregate("at", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to")), lambda a, x: F.struct((a["n"] + x + 3 - F.greatest(a["to"], x)).alias("n"), (x + 3).alias("to")), lambda a: a["n"])
@@ -73,8 +77,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.char_length(F.array_join("w", "")).cast("long").alias("word_chars"),
         _count(F.col("text"), r"[^#*$%&|<>]+").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        # rand() is never below 0: it only keeps a filter on the result from being pushed into, and so repeated within, the functions above
-        F.when(F.rand(0) >= 0, covered).alias("n_repeat_words"),
+        covered.alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_lines"),
         _count(F.col("text"), r"[^A-Z]+").alias("n_capitals"),
         _count(F.col("text"), r"[^0-9]+").alias("n_digits"),
@@ -82,11 +85,11 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Measurements and `failed`, the bits of the rules that a document fails."""
+    """Measurements and `failed`, the bits of the rules that a document fails, as a stored table: each text is looked at once, whatever policies and filters follow."""
     bits = F.lit(0).cast("long")
     for i, rule in enumerate(RULES):
         bits = bits.bitwiseOR(F.when(F.expr(rule.failed), F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))
-    return measured(docs, id_col, text_col).withColumn("failed", bits)
+    return stored(measured(docs, id_col, text_col).withColumn("failed", bits))
 
 
 def apply_policy(book: DataFrame, version: str) -> DataFrame:
