@@ -5,7 +5,8 @@ shingles of five words. A document contains a window only if it contains the win
 so that one shingle is the whole prefix to join on:
 
 1. Occurrences of benchmark shingles in the documents, each with the words around it, are found in one
-   pass and stored; with them goes one row a document for its number of words.
+   pass for all shingle sizes and stored; with them goes one row a document for its number of words. What
+   is found is named by the document's id and the hash of its text, so equal rows share it.
 2. Shingles are ordered by their number of occurrences in all documents (ties by hash). A window's
    prefix is its rarest shingle, with its place in the window.
 3. An occurrence of a prefix is a candidate for the windows that start there. It must leave room for the
@@ -62,46 +63,43 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, id_col: s
     windows = stored(benchmark_windows(items, window, item_col, item_text_col))
     sizes = sorted(r[0] for r in windows.select(F.least("size", F.lit(SHINGLE))).distinct().collect())  # at most SHINGLE values
     shingled = [windows.where(F.least("size", F.lit(SHINGLE)) == s).select("words", "size", "items", F.posexplode(_hashes(F.col("words"), s)).alias("offset", "h")).withColumn("s", F.lit(s)) for s in sizes]
-    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.struct(*keep).alias("kept") if keep else F.lit(None).cast("string").alias("kept"), words_of(F.col(text_col)).alias("w"))
-    found = None
-    for k, s in enumerate(sizes or [SHINGLE]):
-        tokens = shingled[k].select("h").distinct() if sizes else windows.select(F.lit(0).cast("long").alias("h")).limit(0)
-        marked = tokens.unionAll(tokens.sparkSession.range(1).select(F.lit(-1).cast("long").alias("h"))).distinct()
-        if marked.count() <= BROADCAST_ROWS:
-            marked = F.broadcast(marked)
-        # place 0 is a mark, so that every document gets a row
-        places = source.select("row", "id", "kept", "w", F.posexplode(F.concat(F.array(F.lit(-1).cast("long")), _hashes(F.col("w"), s))).alias("p", "h"))
-        hits = places.join(marked, "h").where("h <> -1 or p = 0")
-        reach = max(0, window - s)
-        around = F.when(F.col("p") > 0, F.slice("w", F.greatest(F.lit(1), F.col("p") - reach), F.lit(2 * reach + s)))
-        hits = hits.select("row", "id", F.when(F.col("p") == 0, F.col("kept")).alias("kept"), F.size("w").alias("n"), "p", "h", around.alias("around"), F.lit(s).alias("s"), F.lit(reach).alias("reach"))
-        hits = hits if k == 0 else hits.where("p > 0")
-        found = hits if found is None else found.unionAll(hits)
-    found = stored(found)
-    result = found.where("p = 0").select("row", "id", "kept", "n")
-    if not sizes:
-        matched = found.where("p < 0").select("row", F.col("p").alias("start"), F.col("p").alias("end"), F.array(F.lit("")).alias("items"))
-    else:
-        rarity = found.where("p > 0").groupBy("s", "h").agg(F.count("*").alias("often"))
-        every = shingled[0]
-        for more in shingled[1:]:
-            every = every.unionAll(more)
-        # a shingle that no document has gives a window that none has: the inner join drops only those
-        counted = every.join(rarity, ["s", "h"], "left").withColumn("often", F.coalesce("often", F.lit(0)))
-        prefix = counted.groupBy("words", "size", "s").agg(F.min(F.struct("often", "h", "offset")).alias("r"), F.first("items").alias("items")).where("r.often > 0")
-        prefix = prefix.select("words", "size", "s", "items", F.col("r.h").alias("h"), F.col("r.offset").alias("offset"))
-        start = F.col("p") - 1 - F.col("offset")
-        from_ = start - F.greatest(F.lit(0), F.col("p") - 1 - F.col("reach"))
-        candidates = found.where("p > 0").join(prefix, ["s", "h"]).where((start >= 0) & (start + F.col("size") <= F.col("n")))
-        matched = candidates.where(F.slice("around", from_ + 1, F.col("size")) == F.col("words")).select("row", start.alias("start"), (start + F.col("size")).alias("end"), "items")
-    spans = matched.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    every = shingled[0] if sizes else windows.select("words", "size", "items", F.lit(0).alias("offset"), F.lit(0).cast("long").alias("h"), F.lit(SHINGLE).alias("s")).limit(0)
+    for more in shingled[1:]:
+        every = every.unionAll(more)
+    marked = every.select("h", "s").distinct().unionAll(docs.sparkSession.range(1).select(F.lit(-1).cast("long").alias("h"), F.lit(0).alias("s")))
+    if marked.count() <= BROADCAST_ROWS:
+        marked = F.broadcast(marked)
+    text = F.col(text_col)
+    source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("k"), F.struct(*keep).alias("kept") if keep else F.lit(None).cast("string").alias("kept"), words_of(text).alias("w"))
+    # place 0 is a mark, so that every document gets a row; then come the shingles of each size
+    places = source.select("id", "k", "kept", "w", F.posexplode(F.concat(F.array(F.lit(-1).cast("long")), *[_hashes(F.col("w"), s) for s in sizes])).alias("p", "h"))
+    n, before, first = F.size("w"), F.lit(0), {}
+    for s in sizes:
+        first[s] = before
+        before = before + F.greatest(F.lit(0), n - (s - 1))
+    at = F.col("p") - (F.coalesce(*[F.when(F.col("s") == s, first[s]) for s in sizes], F.lit(0)) if len(sizes) > 1 else F.lit(0))
+    reach = F.lit(window) - F.col("s")
+    hits = places.join(marked, "h").where("(s = 0) = (p = 0)").select("id", "k", F.when(F.col("p") == 0, F.col("kept")).alias("kept"), n.alias("n"), at.alias("p"), "h", "s", reach.alias("reach"), "w")
+    around = F.when(F.col("p") > 0, F.slice("w", F.greatest(F.lit(1), F.col("p") - F.col("reach")), 2 * F.col("reach") + F.col("s")))
+    found = stored(hits.select("id", "k", "kept", "n", "p", "h", around.alias("around"), "s", "reach"))
+    result = found.where("p = 0").select("id", "k", "kept", "n")
+    rarity = found.where("p > 0").groupBy("s", "h").agg(F.count("*").alias("often"))
+    # a shingle that no document has gives a window that none has
+    counted = every.join(rarity, ["s", "h"], "left").withColumn("often", F.coalesce("often", F.lit(0)))
+    prefix = counted.groupBy("words", "size", "s").agg(F.min(F.struct("often", "h", "offset")).alias("r"), F.first("items").alias("items")).where("r.often > 0")
+    prefix = prefix.select("words", "size", "s", "items", F.col("r.h").alias("h"), F.col("r.offset").alias("offset"))
+    start = F.col("p") - 1 - F.col("offset")
+    from_ = start - F.greatest(F.lit(0), F.col("p") - 1 - F.col("reach"))
+    candidates = found.where("p > 0").join(prefix, ["s", "h"]).where((start >= 0) & (start + F.col("size") <= F.col("n")))
+    matched = candidates.where(F.slice("around", from_ + 1, F.col("size")) == F.col("words")).select("id", "k", start.alias("start"), (start + F.col("size")).alias("end"), "items")
+    spans = matched.groupBy("id", "k").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     covered = F.aggregate(
         "spans",
         F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")),
         lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0), x["end"] - F.greatest(a["to"], x["start"]))).alias("n"), F.greatest(a["to"], x["end"]).alias("to")),
         lambda a: a["n"].cast("long"),
     )
-    hit = spans.select("row", covered.alias("n_hit"), "items")
-    joined = result.join(hit, "row", "left")
+    hit = stored(spans.select("id", "k", covered.alias("n_hit"), "items")).alias("h")
+    joined = result.alias("r").join(hit, F.col("r.id").eqNullSafe(F.col("h.id")) & (F.col("r.k") == F.col("h.k")), "left").select("r.id", "r.kept", "r.n", "h.n_hit", "h.items")
     n_words, n_hit = F.col("n").cast("long"), F.coalesce("n_hit", F.lit(0).cast("long"))
     return joined.select("id", n_words.alias("n_words"), n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), ((n_hit > 0) & (n_hit * 20 >= n_words)).alias("contaminated"), "kept")
