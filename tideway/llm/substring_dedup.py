@@ -40,6 +40,8 @@ from .words import Words, slices
 ANCHOR = 12
 #: Bytes of a word's hash in a shard, where only segments of one anchor are compared with each other.
 SYMBOL = 5
+#: Places of segments that a shard is made for.
+SHARD = 200_000
 #: Unequal segments from which an anchor is counted by fingerprints.
 HOT = 20_000
 
@@ -153,14 +155,16 @@ def _shard_search(length: int):
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, k and text; k is short, as it only has to tell texts of one id apart."""
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.pmod(text_key(text_col), F.lit(1 << 24)).alias("k"), F.col(text_col).alias("text"))
+    """id, k and text; k tells texts of one id apart."""
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_key(text_col), F.lit(0)).alias("k"), F.col(text_col).alias("text"))
 
 
 def repeated_spans(docs: DataFrame, length: int = 35, id_col: str = "doc_id", text_col: str = "text", anchor: int = ANCHOR, hot: int = HOT) -> DataFrame:
     """(id, k, span) of stretches of windows that repeat: k tells rows of one id apart, span = first word << 32 | word after the last. Stretches may overlap."""
     small_batches(docs.sparkSession)
     anchor = min(anchor, length)
+    if length - anchor + 2 > _PACK:
+        raise ValueError(f"a window may have up to {_PACK + anchor - 2} words")
     texts = _keyed(docs, id_col, text_col)
     segments = texts.mapInArrow(_segment_mapper(length, anchor), _SEGMENTS)
     counts = segments.groupBy("h").agg(F.count("*").alias("places"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("places > 1")
@@ -182,9 +186,12 @@ def repeated_spans(docs: DataFrame, length: int = 35, id_col: str = "doc_id", te
     joined = t.join(s, F.col("t.id").eqNullSafe(F.col("s.id")) & (F.col("t.k") == F.col("s.k"))).select("t.id", "t.k", "t.text", "s.segments")
     content = joined.mapInArrow(_content_mapper(length), "h long, c long, words binary, id long, k long, at long")
     multiplicity = several.where("not hot").groupBy("h", "c").agg(F.count("*").alias("copies"))
-    shards = content.where("words is not null").select("h", "c", "words").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "h")
+    # a shard holds SHARD segments or so, so that its index fits a task whatever the corpus
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), several.count() // SHARD + 1)
+    shards = content.where("words is not null").select("h", "c", "words").repartition(parts, "h")
     found = shards.mapInArrow(_shard_search(length), "h long, c long, runs array<bigint>")
-    judged = multiplicity.join(found, ["h", "c"]).where("copies > 1 or size(runs) > 0").select("h", "c", "copies", "runs")
+    # stored, so that the join below is of two plain exchanges and a segment of many copies can be split over tasks
+    judged = stored(multiplicity.join(found, ["h", "c"]).where("copies > 1 or size(runs) > 0").select("h", "c", "copies", "runs"))
     matched = several.where("not hot").join(judged, ["h", "c"])
     runs = F.when(F.col("copies") > 1, F.array(F.lit(0).cast("long"), F.col("at") % _PACK - 1)).otherwise(F.col("runs"))
     pairs = matched.select("id", "k", "at", F.explode(_pairs(runs)).alias("run"))
