@@ -58,7 +58,8 @@ def test_url_filter(spark, monkeypatch):
     host = lambda: ".".join(rng.choice(["www", "example", "a", "com", "net", "b"]) for _ in range(rng.randint(1, 4)))
     urls = [f"{rng.choice(['http', 'HTTPS'])}://{host().title()}{rng.choice(['', '/', '/en/', '/en/x?y=/es/', '/es/1#z', '/fr/', '?q', '#'])}" for _ in range(300)]
     urls += [None, "", "no scheme", "http://", "x://://com/", "http://com/\n/en/", urls[0], urls[0]]
-    pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, host string")
+    urls += ["http://www.example.com/en/" + "x" * 50_000]
+    pages = spark.createDataFrame([(i, u, "h", "v") for i, u in enumerate(urls)], "page_id long, url string, host string, u string")
     got = {r.page_id: r for r in url_filter.judge(pages, spark.createDataFrame(rules, "host string, path string, verdict string")).collect()}
     assert len(got) == len(urls)
     for i, u in enumerate(urls):
@@ -68,6 +69,7 @@ def test_url_filter(spark, monkeypatch):
         fit = [(len(a + b), len(a), a + b, v) for a, b, v in rules if (h == a or h.endswith("." + a)) and p.startswith(b)]
         rule, verdict = max(fit)[2:] if fit else (None, "allow")
         assert (got[i].host, got[i].path, got[i].rule, got[i].verdict) == (h, p, rule, verdict), u
+    assert {r.u for r in got.values()} == {"v"} and url_filter.judge(pages.limit(0), spark.createDataFrame(rules, "host string, path string, verdict string")).count() == 0
     none = url_filter.judge(pages, spark.createDataFrame([], "host string, path string, verdict string"))
     assert none.where("verdict = 'allow' and rule is null").count() == len(urls)
 
@@ -89,8 +91,8 @@ def test_pii_bootstrap(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("spans", F.lit(1))
     for sent in (50_000, -1):
         got = {r.kept.doc_id: r for r in pii.extract(docs, keep=("spans",), sent=sent).collect()}
-        assert len(got) == len(rows) and got[100].spans == "phone:24:32" and got[100].n_phone == 0 and got[101].spans == got[102].spans == ""
-        assert got[100].redacted == "please call me at (321) <phone> today" and got[0].redacted == "please call me at <phone> today"
+        assert len(got) == len(rows) and got[100].spans == "phone:18:32" and got[100].n_phone == 0 and got[100].n_spans == 1 and got[101].spans == got[102].spans == ""
+        assert got[100].redacted == "please call me at <phone> today" and got[0].redacted == "please call me at <phone> today"
     assert pii.extract(docs.limit(0)).collect() == []
 
 

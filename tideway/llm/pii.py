@@ -1,19 +1,23 @@
 """Personal data: fixed patterns, and identifiers found by bootstrapped context patterns.
 
-Base spans are those of four fixed patterns (email, ip, card, phone). They are also the seeds of the
-bootstrap:
+Base spans are those of four fixed patterns (email, ip, card, phone). They are the seeds of the bootstrap,
+with one more kind that texts hold, `secret`: a token of SECRET_CHARS or more letters and digits mixed.
 
-1. Every token that looks like an identifier (it has a digit or @ and at least MIN_CHARS characters) is
-   an instance. The one or two words before it, with its shape (letters a, digits 9, runs of over three
-   cut) or with any shape, make its lexical patterns; they are counted with map-side combine.
+1. Instances are stretches of text: each base span as a whole, each run of tokens of digits and their
+   punctuation, and each other token that has a digit or @; of MIN_CHARS characters at least. The one or
+   two words before an instance, outside of it, with its shape (letters a, digits 9, longer runs cut) or
+   with any shape, make its lexical patterns; they are counted with map-side combine.
 2. Patterns and instances score each other in turn, in Spark: a pattern by the share of its occurrences
    whose instance is believed, an instance by the best pattern it occurs in, and what an instance is
    believed to be counts in all its patterns. So each round can admit patterns without any seed. All
    patterns with support are in the graph.
-3. Patterns above CONFIDENCE mark those of their instances that no base span covers.
+3. Patterns above CONFIDENCE mark those of their instances that no base span covers; seeds of kind
+   `secret` are marked wherever they stand.
 
-Defined cases: null counts as empty; spans are code points, end exclusive; base spans stay as they are
-and an added span never overlaps one; each row is judged by itself.
+Defined cases: null and empty texts have no spans; spans are code points, end exclusive; base spans stay
+as they are and an added span never overlaps one; a tie between kinds goes to the one that comes last in
+the alphabet; each row is judged by itself, repeated rows get equal results; patterns are learnt from all
+rows; an empty table gives an empty one; ids may be of any type while the patterns are sent (see `extract`).
 """
 
 from __future__ import annotations
@@ -31,6 +35,8 @@ from .frames import checkpointed, small_batches, stored, text_key
 
 KINDS = ("email", "ip", "card", "phone")
 MIN_CHARS = 7
+#: Characters of a token that is a secret by its look.
+SECRET_CHARS = 20
 #: Occurrences that a pattern needs, and its score.
 SUPPORT, CONFIDENCE = 5, 0.5
 ROUNDS = 3
@@ -46,6 +52,8 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
+_NUMERIC = re.compile(r"[0-9()+./-]*[0-9][0-9()+./-]*[,;:!?]*\Z")
+_SECRET = re.compile(r"(?=[A-Za-z0-9_+/=-]*[A-Za-z])(?=(?:[A-Za-z_+/=-]*[0-9]){4})[A-Za-z0-9_+/=-]+\Z")
 _EDGE = "\"'`.,;:!?()[]{}<>|*#$%&"
 
 
@@ -87,31 +95,74 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def _named(word: str) -> str:
+    """The word, or a name for one of over 60 characters."""
+    return word if len(word) <= 60 else "#" + hashlib.blake2b(word.encode(), digest_size=8).hexdigest()
+
+
 def shape(token: str) -> str:
     """Letters to a, digits to 9, others as they are; runs of over three of one kind are cut to three and a plus."""
     out = re.sub("[0-9]", "9", token)
     out = re.sub(r"[^\W\d_]", "a", out)
-    return re.sub(r"a{4,}", "aaa+", re.sub(r"9{4,}", "999+", out))[:60]
+    return _named(re.sub(r"a{4,}", "aaa+", re.sub(r"9{4,}", "999+", out)))
+
+
+def _units(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[int, int, str | None]]:
+    """(start, end, kind) of what stands between white space: base spans whole (overlapping ones: the first), runs of numeric tokens as one, other tokens one by one."""
+    spans = sorted((a, b, k) for k, a, b in spans)
+    at, done = 0, 0  # done: the end of the base span given last
+    run: tuple[int, int] | None = None
+    for m in _TOKEN.finditer(text):
+        start, end = m.span()
+        while at < len(spans) and (spans[at][1] <= start or spans[at][0] < done):
+            at += 1
+        if at < len(spans) and spans[at][0] < end:
+            if run:
+                yield *run, None
+                run = None
+            yield spans[at]
+            done = spans[at][1]
+        elif start < done:
+            continue
+        elif _NUMERIC.match(m[0]):
+            run = (run[0], end) if run and start == run[1] + 1 else run or (start, end)
+            if run[1] != end:
+                yield *run, None
+                run = (start, end)
+            if m[0][-1] in ",;:!?":
+                yield *run, None
+                run = None
+        else:
+            if run:
+                yield *run, None
+                run = None
+            yield start, end, None
+    if run:
+        yield *run, None
 
 
 def candidates(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[int, int, str, str, str | None]]:
-    """(start, end, context, shape, kind of the base span that covers the token, if any) of tokens that look like identifiers."""
+    """(start, end, context, shape, kind of the base span that it is, if any) of what looks like an identifier."""
     if not _DIGIT.search(text) and "@" not in text:
         return
     before = ["", ""]
-    spans = sorted((a, b, k) for k, a, b in spans)
-    at = 0
-    for m in _TOKEN.finditer(text):
-        raw = m[0]
-        token = raw.strip(_EDGE)
-        if len(token) >= MIN_CHARS and (_DIGIT.search(token) or "@" in token):
-            start = m.start() + raw.index(token)
-            end = start + len(token)
-            while at < len(spans) and spans[at][1] <= start:
-                at += 1
-            kind = spans[at][2] if at < len(spans) and spans[at][0] < end else None
-            yield start, end, " ".join(before).strip().lower(), shape(token), kind
-        before = [before[1], shape(raw[:40]) if _DIGIT.search(raw) else raw[:40]]
+    for start, end, kind in _units(text, spans):
+        raw = text[start:end]
+        has = _DIGIT.search(raw) is not None
+        if kind:
+            yield start, end, " ".join(before).strip().lower(), shape(raw), kind
+            before = [before[1], f"<{kind}>"]
+            continue
+        if has or "@" in raw:
+            token = raw.strip(_EDGE) if raw[0] != "(" or ")" not in raw[:-1] else raw.rstrip(_EDGE)
+            if len(token) >= MIN_CHARS:
+                at = start + raw.index(token)
+                yield at, at + len(token), " ".join(before).strip().lower(), shape(token), None
+        before = [before[1], shape(raw) if has else _named(raw)]
+
+
+def is_secret(token: str) -> bool:
+    return len(token) >= SECRET_CHARS and _SECRET.match(token) is not None
 
 
 def _patterns(context: str, form: str) -> list[str]:
@@ -128,6 +179,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = text.as_py()
             for start, end, context, form, kind in candidates(text, base_spans(text)):
                 token = hashlib.blake2b(text[start:end].lower().encode(), digest_size=12).hexdigest()
+                kind = kind or ("secret" if is_secret(text[start:end]) else None)
                 for pattern in (None, *_patterns(context, form)) if kind else _patterns(context, form):
                     count[(pattern, token, kind or "")] += 1
         rows = list(count.items())
@@ -195,16 +247,15 @@ def _extract(known: dict[str, str] | None):
                 base = base_spans(text)
                 here = known if known is not None else {p["pattern"]: p["kind"] for p in learnt.as_py() or ()}
                 added = []
-                if here:
-                    for start, end, context, form, kind in candidates(text, base):
-                        if kind is None and (hit := _match(here, context, form)):
-                            added.append((hit, start, end))
+                for start, end, context, form, kind in candidates(text, base):
+                    if kind is None and (hit := "secret" if is_secret(text[start:end]) else _match(here, context, form)):
+                        added.append((hit, start, end))
                 count = Counter(k for k, _, _ in base)
                 found = spans_text(base)
-                rows.append((*[count[k] for k in KINDS], hashlib.sha256(found.encode()).hexdigest(), spans_text(base + added) if added else found, redact(text, base + added) if base or added else text))
-            names = [f"n_{k}" for k in KINDS] + ["base_sha256", "spans", "redacted"]
-            kinds = [pa.int64()] * 4 + [pa.string()] * 3
-            yield pa.RecordBatch.from_arrays([batch.column("kept"), *[pa.array([r[i] for r in rows], kinds[i]) for i in range(7)]], names=["kept", *names])
+                rows.append((*[count[k] for k in KINDS], len(base) + len(added), hashlib.sha256(found.encode()).hexdigest(), spans_text(base + added) if added else found, redact(text, base + added) if base or added else text))
+            names = [f"n_{k}" for k in KINDS] + ["n_spans", "base_sha256", "spans", "redacted"]
+            kinds = [pa.int64()] * 5 + [pa.string()] * 3
+            yield pa.RecordBatch.from_arrays([batch.column("kept"), *[pa.array([r[i] for r in rows], kinds[i]) for i in range(8)]], names=["kept", *names])
 
     return run
 
@@ -223,7 +274,7 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def extract(docs: DataFrame, patterns: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), with_text: bool = True, sent: int = SENT) -> DataFrame:
-    """One row per row of docs: kept (a struct of the columns in keep and the id), n_email, n_ip, n_card, n_phone, base_sha256, spans, redacted.
+    """One row per row of docs: kept (a struct of the columns in keep and the id), n_email, n_ip, n_card, n_phone, n_spans (base and added), base_sha256, spans, redacted.
 
     patterns: from learn_patterns; learnt from docs if not given. Up to `sent` patterns go to the tasks
     with the code; more are joined to the texts that may hold them.
@@ -239,9 +290,9 @@ def extract(docs: DataFrame, patterns: DataFrame | None = None, id_col: str = "d
         known = None
         texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_key(text_col), F.lit(0)).alias("k"), F.col(text_col).alias("text"))
         held = texts.mapInArrow(_asked, "id long, k long, pattern string").join(patterns, "pattern").groupBy("id", "k").agg(F.collect_set(F.struct("pattern", "kind")).alias("patterns")).alias("h")
-        full = docs.withColumn("_k", F.coalesce(text_key(text_col), F.lit(0))).alias("d")
-        joined = full.join(held, F.col(f"d.{id_col}").cast("long").eqNullSafe(F.col("h.id")) & (F.col("d._k") == F.col("h.k")), "left")
-        rows = joined.select(F.struct(*[F.col(f"d.{c}") for c in dict.fromkeys((*keep, id_col))]).alias("kept"), F.col(f"d.{text_col}").alias("text"), F.col("h.patterns").alias("patterns"))
-    schema = f"kept {rows.schema['kept'].dataType.simpleString()}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, redacted string"
+        full = docs.select(kept, F.col(text_col).alias("text"), F.coalesce(text_key(text_col), F.lit(0)).alias("k")).alias("d")
+        joined = full.join(held, F.col(f"d.kept.{id_col}").cast("long").eqNullSafe(F.col("h.id")) & (F.col("d.k") == F.col("h.k")), "left")
+        rows = joined.select("d.kept", "d.text", "h.patterns")
+    schema = f"kept {rows.schema['kept'].dataType.simpleString()}, n_email long, n_ip long, n_card long, n_phone long, n_spans long, base_sha256 string, spans string, redacted string"
     out = rows.mapInArrow(_extract(known), schema)
     return out if with_text else out.drop("redacted")

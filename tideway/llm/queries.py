@@ -19,7 +19,7 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.extract(table(spark, sf_dir, "documents", "doc_id", "text"), with_text=False)
-    return found.select("kept.doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+    return found.select("kept.doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
