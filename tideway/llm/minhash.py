@@ -12,7 +12,8 @@ probability (1 - (1 - s**R)**m)**2; `sub_keys` picks m so that it misses less th
    round: a round tries at most one pair for each class, whatever the size of a group.
 3. A pair is verified on its full sets: members are dealt to their centre, stars of many members over
    several tasks.
-4. After the rounds no link may be lost between the components that still meet in a key. Of the shingles
+4. After the rounds no link may be lost between the components that still meet in a key. Where a key has
+   two classes, they are tried. Of the other keys' classes: of the shingles
    that at most RARE of their classes have, two alike classes that share any share one among the rarest
    few of each (prefix filter): such pairs are tried. Classes that share none have at most their other
    shingles in common; only where that bound and the sizes allow the threshold, and enough sub-keys are
@@ -286,10 +287,19 @@ def _left(cells: DataFrame, comps: DataFrame | None, tried: DataFrame | None, so
     names = classes.select(F.lit(0).cast("long").alias("v"), F.lit(0).cast("long").alias("component")).limit(0) if comps is None else comps.select("v", "component")
     of = names.toDF("c", "component")
     left = cells.join(of, "c", "left").select("key", "c", component)
-    mixed = stored(left.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key"))
-    open_ = stored(left.join(mixed, "key").select("c").distinct())
-    if open_.isEmpty():
-        return None
+    mixed = left.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("x"), F.max("component").alias("y"), F.min("c").alias("a"), F.max("c").alias("b")).where("x <> y")
+    mixed = stored(mixed.select("key", "size", "a", "b"))
+    # a key of two classes says the pair itself
+    of_two = _plausible(mixed.where("size = 2").select("a", "b").distinct(), light, percent, need)
+    open_ = stored(left.join(mixed.where("size > 2").select("key"), "key").select("c").distinct())
+    again = of_two if open_.isEmpty() else of_two.unionAll(_of_larger_keys(open_, of, source, classes, light, shingle, percent, m, need)).distinct()
+    again = stored(again if tried is None else again.join(tried, ["a", "b"], "left_anti"))
+    return None if again.isEmpty() else stored(_verified(_as_stars(again), source, classes, shingle, percent))
+
+
+def _of_larger_keys(open_: DataFrame, of: DataFrame, source: DataFrame, classes: DataFrame, light: DataFrame, shingle: int, percent: int, m: int, need: int) -> DataFrame:
+    """Pairs (a, b) of the classes open_ in different components (of: c, component) that may be alike, by their rare shingles or the bound without those."""
+    component = F.coalesce("component", "c").alias("component")
     own, common = _rare(open_.join(classes, "c").select("c", "id", "k", "n"), source, shingle, percent)
     bound = open_.join(classes.select("c", "n", "subs"), "c").join(own, "c", "left").select("c", "n", "subs", (F.col("n") - F.coalesce("own", F.lit(0))).alias("most"))
     able = stored(bound.where(f"100 * most >= {percent} * n").join(of, "c", "left").withColumn("component", component))
@@ -300,9 +310,7 @@ def _left(cells: DataFrame, comps: DataFrame | None, tried: DataFrame | None, so
     alike = (_equal("l.subs", "r.subs") >= need) & (_first_equal("l.subs", "r.subs") == F.col("l.place"))
     met = each.alias("l").join(each.alias("r"), (F.col("l.place") == F.col("r.place")) & (F.col("l.sub") == F.col("r.sub")) & (F.col("l.component") < F.col("r.component")) & fits & alike).select(F.least("l.c", "r.c").alias("a"), F.greatest("l.c", "r.c").alias("b"))
     apart = common.join(of.toDF("a", "ca"), "a", "left").join(of.toDF("b", "cb"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    again = met.unionAll(_plausible(apart, light, percent, need)).distinct()
-    again = stored(again if tried is None else again.join(tried, ["a", "b"], "left_anti"))
-    return None if again.isEmpty() else stored(_verified(_as_stars(again), source, classes, shingle, percent))
+    return met.unionAll(_plausible(apart, light, percent, need))
 
 
 def _equal(x: str, y: str) -> Column:
