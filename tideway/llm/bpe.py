@@ -6,10 +6,14 @@ prefix exactly if it is its own encoding and is compatible with the last token o
 Two tokens are compatible if undoing their merges, newest first, never meets a pair that would have been
 merged across their border earlier. Back-pointers from the end then give the ids.
 
-Pieces are cached in two generations of bounded size; a text is held one at a time.
+Tokens that end at a position are found by a keyword automaton with suffix links (the same matches as a suffix
+automaton of the text would give, without one for each piece). Pieces of up to CACHED characters are cached in
+two generations of bounded size, and the older one goes after each partition; a text is held one at a time.
 
 Defined cases: null counts as an empty text and has no ids; the text of a special token becomes its id,
-as in the library; pieces of any length are encoded whole.
+as in the library; pieces of any length are encoded whole; equal rows give equal results and an empty table an
+empty one; ids that are no numbers raise an error under ANSI mode; other columns are not looked at. A file
+with another kind of model, normaliser, pre-tokeniser or decoder than byte-level BPE is refused.
 """
 
 from __future__ import annotations
@@ -32,7 +36,9 @@ from pyspark.sql import functions as F
 from .frames import small_batches
 
 #: Pieces, and pairs of tokens, in one generation of a cache.
-GENERATION = 1 << 18
+GENERATION = 1 << 17
+#: Characters of the longest piece that is cached: a generation of pieces then holds some 60 MB at the very most.
+CACHED = 64
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
@@ -46,14 +52,16 @@ def byte_chars() -> list[str]:
 class _Generations(dict):
     """A cache of two generations: what is asked for again survives."""
 
-    def __init__(self, make):
+    def __init__(self, make, longest: int = 0):
         super().__init__()
-        self.make, self.old = make, {}
+        self.make, self.old, self.longest = make, {}, longest
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
+            if self.longest and len(key) > self.longest:
+                return value
         if len(self) >= GENERATION:
             self.old = dict(self)
             self.clear()
@@ -61,10 +69,22 @@ class _Generations(dict):
         return value
 
 
+def check_spec(spec: dict) -> None:
+    """Refuse what the encoder would not encode as the library does."""
+    model, first, last = spec["model"], spec.get("pre_tokenizer") or {}, spec.get("decoder") or {}
+    flags = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
+    plain = model.get("type", "BPE") == "BPE" and not any(model.get(f) for f in flags) and spec.get("normalizer") is None
+    bytewise = first.get("type") == "ByteLevel" and not first.get("add_prefix_space") and first.get("use_regex", True) and last.get("type") == "ByteLevel"
+    added = not any(t.get(f) for t in spec["added_tokens"] for f in ("single_word", "lstrip", "rstrip"))
+    if not (plain and bytewise and added):
+        raise ValueError("only plain byte-level BPE is encoded here")
+
+
 class Encoder:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        check_spec(spec)
         model = spec["model"]
         chars = byte_chars()
         latin = {c: chr(b) for b, c in enumerate(chars)}
@@ -92,7 +112,7 @@ class Encoder:
         self.matches.make_automaton()
         self.own = _Generations(self._is_own)
         self.fits = _Generations(self._compatible)
-        self.cache = _Generations(lambda piece: array("I", self.encode_piece(piece)).tobytes())
+        self.cache = _Generations(lambda piece: array("I", self.encode_piece(piece)).tobytes(), longest=CACHED)
 
     def _is_own(self, token: int) -> bool:
         """Is the token the encoding of its own bytes?"""
@@ -189,6 +209,8 @@ def _run(path: str, with_ids: bool):
                 columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(values)))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        for cache in (e.cache, e.fits, e.own):
+            cache.old = {}
 
     return run
 
