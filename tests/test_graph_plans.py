@@ -79,8 +79,17 @@ def test_break_long_edges(spark):
 
 
 def test_grid_is_strongly_connected(spark):
-    nodes, edges = graph.king_grid(spark, 6, 5)
-    assert graph.largest_component(edges).count() == nodes.count() == 30
+    nodes, edges = graph.king_grid(spark, 6, 4)
+    assert graph.largest_component(edges).count() == nodes.count() == 24
+
+
+def test_grid_has_one_way_rows_and_columns(spark):
+    nodes, edges = graph.king_grid(spark, 4, 4, 2.0)
+    place = {r.id: (r.lon / 2, r.lat / 2) for r in nodes.collect()}
+    got = {(place[r.src], place[r.dst]) for r in edges.collect()}
+    up = {((x, y), (x, y + 1)) if x % 2 == 0 else ((x, y + 1), (x, y)) for x in range(4) for y in range(3)}
+    right = {((x, y), (x + 1, y)) if y % 2 else ((x + 1, y), (x, y)) for x in range(3) for y in range(4)}
+    assert got == up | right and len(got) == 24
 
 
 def test_concat_route_and_retrace(spark):

@@ -136,10 +136,10 @@ def speed_fd_histogram(spark, sf_dir):
 
 
 @query("""SELECT o_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_quantity * 1609.34, 3) AS distance_m, CAST(date_diff('day', o_orderdate, l_shipdate) AS BIGINT) AS days FROM orders JOIN lineitem ON o_orderkey = l_orderkey
-WHERE l_shipdate > o_orderdate AND l_quantity >= 0.1 AND l_quantity <= 30""")
+WHERE l_shipdate > o_orderdate AND l_quantity >= 0.1 AND l_quantity <= 30 AND l_linenumber % 5 <> 0 AND l_suppkey % 7 <> 0""")
 def trip_clean(spark, sf_dir):
     tr = _trips(spark, sf_dir)
-    raw = tr.select("o_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("o_orderdate").alias(" Trep_Pickup_Datetime "), F.col("l_shipdate").alias("Trep_Dropoff_Datetime"), F.col("l_quantity").alias("Trip_Distance"), *[F.lit(1.0).alias(f"{e}_{c}") for e in ("Pickup", "Dropoff") for c in ("Latitude", "Longitude")])
+    raw = tr.select("o_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("o_orderdate").alias(" Trep_Pickup_Datetime "), F.col("l_shipdate").alias("Trep_Dropoff_Datetime"), F.col("l_quantity").alias("Trip_Distance"), *[F.expr(x).cast("double").alias(f"{e}_{c}") for e, x in (("Pickup", "l_linenumber % 5"), ("Dropoff", "l_suppkey % 7")) for c in ("Latitude", "Longitude")])
     return trips.clean(raw).select("o_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round("distance_m", 3).alias("distance_m"), F.round(F.col("duration_s") / DAY).cast("long").alias("days"))
 
 
@@ -199,9 +199,9 @@ def routes_through_stops(spark, sf_dir):
     return out.select(F.col("l_linestatus").alias("direction"), F.size("routes").cast("long").alias("n_routes"), F.get("routes", 0).alias("first_route"))
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def unknown_routes(spark, sf_dir):
-    c, o = _t(spark, sf_dir, "customer"), _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    c, o = _t(spark, sf_dir, "customer"), _t(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
     return joins.with_and_without(c, o, ["c_custkey"])[1].select("c_custkey")
 
 
@@ -329,11 +329,11 @@ def grid_radius_join(spark, sf_dir):
     return spatial.planar_radius_join(p.withColumnRenamed("vec_id", "a_id"), p.withColumnRenamed("vec_id", "b_id"), 0.05).select("a_id", "b_id")
 
 
-@query(f"SELECT vec_id AS a_id, (SELECT round(min(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))), 6) FROM {_PTS} b WHERE b.vec_id % 10 = 0 AND sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 0.1) AS dist FROM {_PTS} a")
+@query(f"SELECT vec_id AS a_id, (SELECT round(min(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))), 6) FROM {_PTS} b WHERE b.vec_id <> a.vec_id AND sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 0.1) AS dist FROM {_PTS} a")
 def nearest_point_distance(spark, sf_dir):
     p = _points(spark, sf_dir)
-    near = spatial.planar_radius_join(p.withColumnRenamed("vec_id", "a_id"), p.where("vec_id % 10 = 0").withColumnRenamed("vec_id", "b_id"), 0.1)
-    least = near.groupBy("a_id").agg(F.round(F.min("dist"), 6).alias("dist"))
+    near = spatial.planar_radius_join(p.withColumnRenamed("vec_id", "a_id"), p.withColumnRenamed("vec_id", "b_id"), 0.1)
+    least = near.where("a_id <> b_id").groupBy("a_id").agg(F.round(F.min("dist"), 6).alias("dist"))
     return p.select(F.col("vec_id").alias("a_id")).join(least, "a_id", "left")
 
 

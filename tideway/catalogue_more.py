@@ -1,0 +1,459 @@
+"""More queries on the driver's tables, one for each operator that the first catalogue does not reach, with their SQL.
+
+Places: a customer or supplier stands at (lat, lon) = (account balance / 200, key % 170), an embedding at its
+first two components in degrees. A way is an order with the parts of its lines as nodes.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import geo, text
+from .operators import graph, grouping, joins, ordered, segments, spatial
+from .plans import consensus, network, reach, trips
+from .sources import readers
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str):
+    def add(f):
+        QUERIES[f.__name__], SQL[f.__name__] = f, sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _hav(a: str, o: str, b: str, p: str, radius: float = geo.SPHERE_M) -> str:
+    return f"(2 * {radius} * asin(least(1, sqrt(pow(sin(radians(({b}) - ({a})) / 2), 2) + cos(radians({a})) * cos(radians({b})) * pow(sin(radians(({p}) - ({o})) / 2), 2)))))"
+
+
+def _bearing(a: str, o: str, b: str, p: str) -> str:
+    d = f"radians(({p}) - ({o}))"
+    return f"degrees(atan2(sin({d}) * cos(radians({b})), cos(radians({a})) * sin(radians({b})) - sin(radians({a})) * cos(radians({b})) * cos({d})))"
+
+
+def _turn(first: str, second: str) -> str:
+    t = f"((({second}) - ({first}) + 540) % 360 - 180)"
+    return f"(CASE WHEN abs(abs({t}) - 180) < 1e-6 THEN -180 ELSE {t} END)"
+
+
+def _customers(spark, sf_dir) -> DataFrame:
+    return _t(spark, sf_dir, "customer").select("*", (F.col("c_acctbal") / 200).alias("lat"), (F.col("c_custkey") % 170).cast("double").alias("lon"))
+
+
+_CUST = "(SELECT *, c_acctbal / 200 AS lat, CAST(c_custkey % 170 AS DOUBLE) AS lon FROM customer)"
+
+
+def _point(lat: str, lon: str):
+    return F.struct(F.expr(lat).cast("double").alias("lat"), F.expr(lon).cast("double").alias("lon"))
+
+
+@query(f"SELECT c_custkey, round({_hav('lat', 'lon', 'c_custkey % 80', 'c_acctbal / 100', geo.INDEX_SPHERE_M)}, 3) AS metres FROM {_CUST}")
+def haversine_index(spark, sf_dir):
+    return _customers(spark, sf_dir).select("c_custkey", F.round(geo.haversine("lat", "lon", F.col("c_custkey") % 80, F.col("c_acctbal") / 100), 3).alias("metres"))
+
+
+@query(f"SELECT c_custkey, round(sqrt(pow((c_custkey % 80 - lat) * 111000, 2) + pow((c_acctbal / 100 - lon) * 84000, 2)), 3) AS metres FROM {_CUST}")
+def planar_metric(spark, sf_dir):
+    return _customers(spark, sf_dir).select("c_custkey", F.round(geo.planar("lat", "lon", F.col("c_custkey") % 80, F.col("c_acctbal") / 100, 111000, 84000), 3).alias("metres"))
+
+
+@query(f"SELECT c_custkey, round({_turn(_bearing('lat', 'lon', 'c_custkey % 80', 'c_custkey % 60'), _bearing('c_custkey % 80', 'c_custkey % 60', 'c_custkey % 33 + 0.5', 'c_custkey % 90'))}, 5) AS degrees FROM {_CUST}")
+def turn_angles(spark, sf_dir):
+    turned = geo.turn_angle(_point("lat", "lon"), _point("c_custkey % 80", "c_custkey % 60"), _point("c_custkey % 33 + 0.5", "c_custkey % 90"))
+    return _customers(spark, sf_dir).select("c_custkey", F.round(turned, 5).alias("degrees"))
+
+
+@query(f"""WITH d AS (SELECT c_custkey, {_hav("lat", "lon", "10.5", "20")} AS xa, {_hav("lat", "lon", "30.25", "90")} AS xb, {_hav("10.5", "20", "30.25", "90")} AS ab FROM {_CUST}), p AS (SELECT *, (xa * xa + ab * ab - xb * xb) / (2 * ab) AS along FROM d)
+SELECT c_custkey, round(CASE WHEN along <= 0 THEN xa WHEN along >= ab THEN xb ELSE sqrt(greatest(0, xa * xa - along * along)) END, 2) AS dist_m, round(CASE WHEN along <= 0 THEN 0 WHEN along >= ab THEN 1 ELSE along / ab END, 6) AS t FROM p""")
+def segment_distances(spark, sf_dir):
+    d = geo.segment_distance(_point("lat", "lon"), _point("10.5", "20"), _point("30.25", "90"))
+    return _customers(spark, sf_dir).select("c_custkey", d.alias("d")).select("c_custkey", F.round("d.dist_m", 2).alias("dist_m"), F.round("d.t", 6).alias("t"))
+
+
+def _lines(spark, sf_dir) -> DataFrame:
+    """A line of points for each nation, in order of customers."""
+    p = _customers(spark, sf_dir).groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct("c_custkey", "lat", "lon"))).alias("points"))
+    return p.withColumn("points", F.transform("points", lambda x: F.struct(x["lat"].alias("lat"), x["lon"].alias("lon"))))
+
+
+_LAG = f"(SELECT *, lag(lat) OVER w AS plat, lag(lon) OVER w AS plon, lag(lat, 2) OVER w AS olat, lag(lon, 2) OVER w AS olon FROM {_CUST} WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_custkey))"
+
+
+@query(f"SELECT c_nationkey, round(coalesce(sum({_hav('plat', 'plon', 'lat', 'lon')}) FILTER (plat IS NOT NULL), 0), 1) AS metres FROM {_LAG} GROUP BY 1")
+def path_lengths(spark, sf_dir):
+    return _lines(spark, sf_dir).select("c_nationkey", F.round(geo.path_length(F.col("points")), 1).alias("metres"))
+
+
+@query(f"SELECT c_nationkey, round(coalesce(sum(abs({_turn(_bearing('olat', 'olon', 'plat', 'plon'), _bearing('plat', 'plon', 'lat', 'lon'))})), 0), 3) AS degrees FROM {_LAG} GROUP BY 1")
+def total_turns(spark, sf_dir):
+    return _lines(spark, sf_dir).select("c_nationkey", F.round(geo.total_turn(F.col("points")), 3).alias("degrees"))
+
+
+@query(f"SELECT c_nationkey, round(min(lon), 6) AS \"left\", round(min(lat), 6) AS bottom, round(max(lon), 6) AS \"right\", round(max(lat), 6) AS top FROM {_CUST} GROUP BY 1")
+def bounding_boxes(spark, sf_dir):
+    return _lines(spark, sf_dir).select("c_nationkey", geo.bbox(F.col("points")).alias("b")).select("c_nationkey", *[F.round(f"b.{c}", 6).alias(c) for c in ("left", "bottom", "right", "top")])
+
+
+@query("SELECT c_custkey, round(a - (b - a) * 0.01, 6) AS low, round(b + (b - a) * 0.01, 6) AS high FROM (SELECT c_custkey, c_acctbal AS a, c_acctbal + c_custkey AS b FROM customer)")
+def padded_limits(spark, sf_dir):
+    p = geo.padded("c_acctbal", F.col("c_acctbal") + F.col("c_custkey"))
+    return _t(spark, sf_dir, "customer").select("c_custkey", F.round(p["low"], 6).alias("low"), F.round(p["high"], 6).alias("high"))
+
+
+@query("""WITH b AS (SELECT c_custkey, c_acctbal / 200 AS bottom, c_acctbal / 200 + c_custkey % 7 + 1 AS top, c_custkey % 50 AS l, c_custkey % 50 + c_custkey % 11 + 1 AS r FROM customer),
+s AS (SELECT *, (r - l) * 1.1 AS w, (top - bottom) * 1.1 AS h, (1 + sqrt(5)) / 2 AS phi FROM b), z AS (SELECT *, greatest(w, h / phi) AS w2, greatest(h, w / phi) AS h2 FROM s)
+SELECT c_custkey, round((l + r) / 2 - w2 / 2, 6) AS x0, round((l + r) / 2 + w2 / 2, 6) AS x1, round((bottom + top) / 2 - h2 / 2, 6) AS y0, round((bottom + top) / 2 + h2 / 2, 6) AS y1 FROM z""")
+def nice_axes(spark, sf_dir):
+    k, low = F.col("c_custkey"), F.col("c_acctbal") / 200
+    b = geo.nice_axis((k % 50).cast("double"), (k % 50 + k % 11 + 1).cast("double"), low, low + k % 7 + 1)
+    return _t(spark, sf_dir, "customer").select("c_custkey", *[F.round(b[c], 6).alias(n) for c, n in (("left", "x0"), ("right", "x1"), ("bottom", "y0"), ("top", "y1"))])
+
+
+@query("SELECT c_custkey, round(degrees(2 * atan(exp(pi() - (c_custkey * 97 % 131072) * (2 * pi()) / 131072)) - pi() / 2), 6) AS lat, round((c_custkey * 31 % 131072) / 131072 * 360 - 180, 6) AS lon FROM customer")
+def pixels_to_degrees(spark, sf_dir):
+    k = F.col("c_custkey")
+    p = geo.pixels_to_degrees((k * 31 % 131072).cast("double"), (k * 97 % 131072).cast("double"), 8)
+    return _t(spark, sf_dir, "customer").select("c_custkey", F.round(p["lat"], 6).alias("lat"), F.round(p["lon"], 6).alias("lon"))
+
+
+_WORLD = "ln(tan(pi() / 4 + radians({}) / 2))"
+
+
+@query(f"""WITH b AS (SELECT c_custkey, c_acctbal / 200 AS s, c_acctbal / 200 + 0.001 * (c_custkey % 1000 + 1) AS n, 0.003 * (c_custkey % 700 + 1) AS w FROM customer), z AS (SELECT b.*, unnest(range(1, 17)) AS z FROM b)
+SELECT c_custkey, CAST(coalesce(max(z) FILTER (512 * pow(2, z) * w / 360 <= 1024 AND 512 * pow(2, z) / (2 * pi()) * ({_WORLD.format("n")} - {_WORLD.format("s")}) <= 1024), 1) AS BIGINT) AS zoom FROM z GROUP BY 1""")
+def covering_zooms(spark, sf_dir):
+    k, s = F.col("c_custkey"), F.col("c_acctbal") / 200
+    z = geo.covering_zoom(F.lit(0.0), s, F.lit(0.003) * (k % 700 + 1), s + F.lit(0.001) * (k % 1000 + 1))
+    return _t(spark, sf_dir, "customer").select("c_custkey", z.cast("long").alias("zoom"))
+
+
+@query("SELECT c_custkey, round(round(c_acctbal / st) * st, 6) + 0.0 AS x FROM (SELECT *, pow(2, floor(log2((c_custkey % 900 + 1) / 4.0))) AS st FROM customer)")
+def dyadic_snaps(spark, sf_dir):
+    return _t(spark, sf_dir, "customer").select("c_custkey", (F.round(geo.snap_dyadic("c_acctbal", F.lit(0.0), (F.col("c_custkey") % 900 + 1).cast("double")), 6) + 0.0).alias("x"))
+
+
+@query("SELECT c_custkey, CAST(2 AS BIGINT) AS n, CAST(c_custkey % 80 AS DOUBLE) AS first_lat, CAST(c_custkey AS DOUBLE) AS last_lon FROM customer")
+def parsed_linestrings(spark, sf_dir):
+    k = F.col("c_custkey")
+    line = F.format_string("LINESTRING(%d.5 %d, %d %d.25)", k % 170, k % 80, k, k % 33)
+    return _t(spark, sf_dir, "customer").select("c_custkey", text.parse_linestring(line).alias("p")).select("c_custkey", F.size("p").cast("long").alias("n"), F.col("p")[0]["lat"].alias("first_lat"), F.col("p")[1]["lon"].alias("last_lon"))
+
+
+@query("SELECT c_custkey, split_part(c_name, '#', 2) AS number, 'No. ' || split_part(c_name, '#', 2) || ' (' || split_part(c_name, '#', 1) || ')' AS other FROM customer")
+def reformatted_names(spark, sf_dir):
+    parts = text.unformat("{kind}#{number}", F.col("c_name"))
+    return _t(spark, sf_dir, "customer").select("c_custkey", parts["number"].alias("number"), text.reformat("{kind}#{number}", "No. {number} ({kind})", F.col("c_name")).alias("other"))
+
+
+@query("SELECT p_partkey, trim(p_name) AS name FROM part")
+def stripped_brackets(spark, sf_dir):
+    return _t(spark, sf_dir, "part").select("p_partkey", text.strip_brackets(F.concat("p_name", F.lit(" ("), "p_brand", F.lit(")"))).alias("name"))
+
+
+_NOW = "2018-11-05 21:15:00"
+
+
+@query(f"""WITH x AS (SELECT c_custkey, CAST(c_custkey % 24 AS BIGINT) AS h, CAST(c_custkey % 60 AS BIGINT) AS m, TIMESTAMP '{_NOW}' AS now FROM customer), y AS (SELECT *, date_trunc('day', now) + to_hours(h) + to_minutes(m) AS due FROM x)
+SELECT c_custkey, strftime(CASE c_custkey % 3 WHEN 0 THEN CASE WHEN due < now - INTERVAL 12 HOUR THEN due + INTERVAL 1 DAY ELSE due END WHEN 1 THEN now + to_minutes(m) END, '%Y-%m-%d %H:%M') AS eta FROM y""")
+def arrival_times(spark, sf_dir):
+    k = F.col("c_custkey")
+    said = F.when(k % 3 == 0, F.format_string("%02d:%02d", k % 24, k % 60)).when(k % 3 == 1, F.format_string("%d分鐘", k % 60)).otherwise("末班已過")
+    return _t(spark, sf_dir, "customer").select("c_custkey", F.date_format(text.arrival_time(said, F.lit(_NOW).cast("timestamp")), "yyyy-MM-dd HH:mm").alias("eta"))
+
+
+@query(f"SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN '?' ELSE strftime(TIMESTAMP '{_NOW}' + to_microseconds(CAST(round(c_acctbal * 1000000) AS BIGINT)), '%H:%M') END AS clock FROM customer")
+def eta_clocks(spark, sf_dir):
+    return network.eta_texts(_t(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").alias("eta_s")), _NOW).select("c_custkey", "clock")
+
+
+@query("SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) - 28800 AS seconds FROM events")
+def iso_times(spark, sf_dir):
+    said = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+08:00"))
+    return _t(spark, sf_dir, "events").select("event_id", F.unix_seconds(text.iso_time(said)).alias("seconds"))
+
+
+@query("SELECT page_id, sha256(url) AS key, replace(replace(base64(encode(url)), '+', '-'), '/', '_') AS key64 FROM pages")
+def cache_keys(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", text.cache_key(F.col("url")).alias("key"), F.regexp_replace(text.cache_key_base64(F.col("url")), r"\s", "").alias("key64"))
+
+
+@query("SELECT event_id, '{\"user\": ' || user_id || ', \"id\": [' || event_id || ', 1]}' AS value FROM events")
+def envelopes(spark, sf_dir):
+    plain = F.format_string('{"user": %d, "id": [%d, 1]}', "user_id", "event_id")
+    return _t(spark, sf_dir, "events").select("event_id", text.unzip_json_text(text.zip_json_text(plain)).alias("value"))
+
+
+_TRIANGLE = [[[(0.0, 0.0), (150.0, 3.0), (70.0, 45.0)]], [[(1.0, 1.0), (2.0, 1.0), (1.0, 2.0)]]]
+_IN = "(150 * {la} - 3 * {lo} > 0 AND (70 - 150) * ({la} - 3) - (45 - 3) * ({lo} - 150) > 0 AND -70 * ({la} - 45) + 45 * ({lo} - 70) > 0)"
+
+
+@query(f"SELECT c_custkey FROM {_CUST} WHERE {_IN.format(la='lat', lo='lon')} AND {_IN.format(la='(lat + 1)', lo='(lon + 1)')}")
+def trips_inside(spark, sf_dir):
+    tr = _customers(spark, sf_dir).select("c_custkey", F.col("lat").alias("pickup_lat"), F.col("lon").alias("pickup_lon"), (F.col("lat") + 1).alias("dropoff_lat"), (F.col("lon") + 1).alias("dropoff_lon"))
+    return trips.inside(tr, _TRIANGLE).select("c_custkey")
+
+
+def _runs(spark, sf_dir) -> DataFrame:
+    e = _t(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts", (F.col("value") / 20000).alias("lat"), ((F.col("event_id") % 7) / 10000).alias("lon"))
+    r = e.groupBy("user_id", "event_type").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "lat", "lon"))).alias("pts"))
+    status = F.when(F.col("user_id") % 5 == 0, "98").when(F.col("user_id") % 3 == 0, "0")
+    judged = r.select("user_id", "event_type", "pts", segments.quality(F.col("pts"), status).alias("quality"))
+    return judged.withColumns({"run_id": F.concat_ws("-", "user_id", "event_type"), "route_uid": F.col("user_id") % 10, "direction": F.col("event_type")})
+
+
+_QUAL = f"""(SELECT user_id, event_type, CASE WHEN count(*) >= 4 AND user_id % 5 <> 0 AND greatest({_hav("min(lat)", "min(lon)", "max(lat)", "max(lon)")}, {_hav("max(lat)", "min(lon)", "min(lat)", "max(lon)")}) >= 300 THEN '+' ELSE '-' END AS quality, min(lat) AS s, max(lat) AS n, min(lon) AS w, max(lon) AS e
+FROM (SELECT *, value / 20000 AS lat, (event_id % 7) / 10000 AS lon FROM events) GROUP BY user_id, event_type)"""
+
+
+@query(f"SELECT user_id, event_type, quality FROM {_QUAL}")
+def judged_runs(spark, sf_dir):
+    return _runs(spark, sf_dir).select("user_id", "event_type", "quality")
+
+
+@query(f"SELECT user_id % 10 AS route, event_type AS direction, quality, string_agg(user_id || '-' || event_type, ',' ORDER BY user_id || '-' || event_type) AS runs FROM {_QUAL} GROUP BY 1, 2, 3")
+def judged_runs_by_route(spark, sf_dir):
+    return segments.runs_by_quality(_runs(spark, sf_dir)).select(F.col("route_uid").alias("route"), "direction", "quality", F.array_join("run_ids", ",").alias("runs"))
+
+
+@query(f"SELECT user_id, event_type FROM {_QUAL} WHERE quality = '+' AND s > 0.00001 AND n < 0.02 AND w > -1 AND e < 1")
+def runs_within(spark, sf_dir):
+    return segments.within(_runs(spark, sf_dir), -1, 0.00001, 1, 0.02).select("user_id", "event_type")
+
+
+def _cloud(spark, sf_dir, id_: str) -> DataFrame:
+    return _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias(id_), F.col("embedding")[0].cast("double").alias("lat"), F.col("embedding")[1].cast("double").alias("lon"))
+
+
+_CLOUD = "(SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS lat, CAST(embedding[2] AS DOUBLE) AS lon FROM embeddings)"
+_PAIR = f"(SELECT a.vec_id AS a_id, b.vec_id AS b_id, {{}} AS d FROM {_CLOUD} a JOIN {_CLOUD} b ON abs(a.lat - b.lat) < {{}} AND abs(a.lon - b.lon) < {{}})"
+_GC_PAIR = _hav("a.lat", "a.lon", "b.lat", "b.lon")
+
+
+@query(f"SELECT a_id, b_id, round(d, 2) AS dist_m FROM {_PAIR.format(_GC_PAIR, 0.05, 0.05)} WHERE d <= 3000")
+def radius_pairs(spark, sf_dir):
+    return spatial.radius_join(_cloud(spark, sf_dir, "a_id"), _cloud(spark, sf_dir, "b_id"), 3000.0).select("a_id", "b_id", F.round("dist_m", 2).alias("dist_m"))
+
+
+@query(f"SELECT a_id, arg_min(b_id, (d, b_id)) AS b_id, round(min(d), 2) AS dist_m FROM {_PAIR.format(_hav('a.lat', 'a.lon', 'b.lat', 'b.lon', geo.INDEX_SPHERE_M), 0.2, 0.2)} WHERE d <= 9000 AND a_id <> b_id AND b_id % 2 = 1 AND a_id % 2 = 0 GROUP BY 1")
+def nearest_points(spark, sf_dir):
+    a, b = _cloud(spark, sf_dir, "a_id").where("a_id % 2 = 0"), _cloud(spark, sf_dir, "b_id").where("b_id % 2 = 1")
+    return spatial.nearest_within(a, b, 9000.0).select("a_id", "b_id", F.round("dist_m", 2).alias("dist_m"))
+
+
+@query(f"SELECT a_id, b_id, round(d, 2) AS dist_m, rank FROM (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY d, b_id) AS rank FROM (SELECT a.vec_id AS a_id, b.vec_id AS b_id, {_GC_PAIR} AS d FROM {_CLOUD} a, {_CLOUD} b WHERE a.vec_id % 100 = 0)) WHERE rank <= 5")
+def k_nearest_points(spark, sf_dir):
+    a = _cloud(spark, sf_dir, "a_id").where("a_id % 100 = 0")
+    return spatial.k_nearest(a, _cloud(spark, sf_dir, "b_id"), 5, 2000.0).select("a_id", "b_id", F.round("dist_m", 2).alias("dist_m"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"SELECT c.vec_id AS a_id, round(min(p.d), 2) AS dist_m FROM {_CLOUD} c LEFT JOIN (SELECT * FROM {_PAIR.format(_GC_PAIR, 0.05, 0.05)} WHERE d <= 2000) p ON p.a_id = c.vec_id AND p.b_id <> p.a_id AND p.a_id % 3 <> p.b_id % 3 AND p.b_id % 3 = 0 WHERE c.vec_id % 3 <> 0 GROUP BY 1")
+def cloud_distances(spark, sf_dir):
+    points, cloud = _cloud(spark, sf_dir, "a_id").where("a_id % 3 <> 0"), _cloud(spark, sf_dir, "b_id").where("b_id % 3 = 0")
+    return spatial.distance_to_cloud(points, cloud, 2000.0).select("a_id", F.round("dist_m", 2).alias("dist_m"))
+
+
+@query(f"""WITH n AS (SELECT a.vec_id AS id, a.lat, a.lon, b.vec_id AS node, {_hav("a.lat", "a.lon", "b.lat", "b.lon", geo.INDEX_SPHERE_M)} AS d FROM {_CLOUD} a JOIN {_CLOUD} b ON b.vec_id % 4 = 0 AND abs(a.lat - b.lat) < 0.2 AND abs(a.lon - b.lon) < 0.2),
+u AS (SELECT id, arg_min(node, (d, node)) AS node FROM n WHERE d <= 5000 GROUP BY id) SELECT e.vec_id AS trip_id, p.node AS u, q.node AS v FROM {_CLOUD} e JOIN u p ON p.id = e.vec_id JOIN u q ON q.id = e.vec_id + 1""")
+def snapped_trips(spark, sf_dir):
+    c = _cloud(spark, sf_dir, "id")
+    after = c.select((F.col("id") - 1).alias("id"), F.col("lat").alias("dropoff_lat"), F.col("lon").alias("dropoff_lon"))
+    tr = c.join(after, "id").select(F.col("id").alias("trip_id"), F.col("lat").alias("pickup_lat"), F.col("lon").alias("pickup_lon"), "dropoff_lat", "dropoff_lon")
+    return spatial.snap_trips(tr, c.where("id % 4 = 0"), 5000.0).select("trip_id", "u", "v")
+
+
+@query(f"SELECT a_id AS a, b_id AS b, round(d / 1.25, 2) AS seconds FROM {_PAIR.format(_GC_PAIR, 0.05, 0.05)} WHERE d <= 1500")
+def walk_legs(spark, sf_dir):
+    return reach.walk_legs(_cloud(spark, sf_dir, "id"), 1500.0, 1.25).select("a", "b", F.round("seconds", 2).alias("seconds"))
+
+
+@query("""WITH s AS (SELECT l_partkey, l_linenumber || l_returnflag AS g, row_number() OVER (PARTITION BY l_partkey ORDER BY l_linenumber, l_returnflag) AS r FROM (SELECT DISTINCT l_partkey, l_linenumber, l_returnflag FROM lineitem WHERE l_tax > 0.05))
+SELECT p_partkey, coalesce(string_agg(g, ',' ORDER BY r), '') AS shapes FROM part LEFT JOIN s ON p_partkey = l_partkey AND r <= 2 GROUP BY 1""")
+def routes_with_shapes(spark, sf_dir):
+    shapes = _t(spark, sf_dir, "lineitem").where("l_tax > 0.05").select(F.col("l_partkey").alias("route_uid"), F.col("l_linenumber").alias("direction"), F.col("l_returnflag").alias("geometry"))
+    got = joins.shapes_to_routes(_t(spark, sf_dir, "part").select(F.col("p_partkey").alias("route_uid")), shapes)
+    return got.select(F.col("route_uid").alias("p_partkey"), F.array_join(F.transform("shapes", lambda s: F.concat(s["direction"].cast("string"), s["geometry"])), ",").alias("shapes"))
+
+
+def _ways(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    o, li = _t(spark, sf_dir, "orders"), _t(spark, sf_dir, "lineitem")
+    nodes = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_retailprice") / 100).alias("lat"), (F.col("p_partkey") % 170).cast("double").alias("lon"))
+    listed = li.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"]).alias("node_ids"))
+    way = F.when(F.col("o_orderkey") % 4 == 0, "footway").when(F.col("o_orderkey") % 4 == 1, "residential").when(F.col("o_orderkey") % 4 == 2, "cycleway").otherwise("primary")
+    tags = F.create_map(F.lit("highway"), way, F.lit("oneway"), F.when(F.col("o_orderstatus") == "F", "Yes").otherwise("no"), F.lit("surface"), F.lit("x"))
+    return o.join(listed, o.o_orderkey == listed.l_orderkey).select(F.col("o_orderkey").alias("id"), tags.alias("tags"), "node_ids"), nodes
+
+
+_STEP = "(SELECT l_orderkey AS way, l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS b FROM lineitem)"
+_EDGE = f"""(SELECT src, dst, min(way) AS way FROM (SELECT a AS src, b AS dst, way FROM {_STEP} WHERE a <> b UNION ALL SELECT b, a, way FROM {_STEP} JOIN orders ON way = o_orderkey WHERE a <> b AND o_orderstatus <> 'F') GROUP BY 1, 2)"""
+_LEN = _hav("p.p_retailprice / 100", "p.p_partkey % 170", "q.p_retailprice / 100", "q.p_partkey % 170")
+_LONG = f"(SELECT src, dst, way, {_LEN} AS len_m FROM {_EDGE} JOIN part p ON p.p_partkey = src JOIN part q ON q.p_partkey = dst)"
+
+
+@query(f"SELECT src, dst, way AS way_id, round(len_m, 1) AS len_m FROM {_LONG}")
+def road_edges(spark, sf_dir):
+    ways, nodes = _ways(spark, sf_dir)
+    return graph.way_edges(ways, nodes).select("src", "dst", "way_id", F.round("len_m", 1).alias("len_m"))
+
+
+@query(f"SELECT least(src, dst) AS a, greatest(src, dst) AS b, round(min(len_m), 1) AS len_m FROM {_LONG} GROUP BY 1, 2")
+def undirected_edges(spark, sf_dir):
+    ways, nodes = _ways(spark, sf_dir)
+    return graph.undirected(graph.way_edges(ways, nodes)).select("a", "b", F.round("len_m", 1).alias("len_m"))
+
+
+@query(f"SELECT src, dst FROM {_EDGE} WHERE src IN (SELECT p_partkey FROM part WHERE p_size > 10) AND dst IN (SELECT p_partkey FROM part WHERE p_size > 10)")
+def induced_edges(spark, sf_dir):
+    ways, nodes = _ways(spark, sf_dir)
+    few = _t(spark, sf_dir, "part").where("p_size > 10").select(F.col("p_partkey").alias("id"))
+    return graph.induced(graph.way_edges(ways, nodes), few).select("src", "dst")
+
+
+@query(f"SELECT CAST(m AS BIGINT) AS max_len, CAST(sum(floor(len_m / m)) AS BIGINT) AS more FROM (SELECT min(len_m) AS len_m FROM {_LONG} GROUP BY least(src, dst), greatest(src, dst)), (VALUES (7000), (20000), (500000)) v(m) GROUP BY 1")
+def added_nodes(spark, sf_dir):
+    ways, nodes = _ways(spark, sf_dir)
+    return graph.edge_stats(graph.way_edges(ways, nodes), (7000, 20000, 500000)).select(F.col("max_len").cast("long").alias("max_len"), F.col("more").cast("long").alias("more"))
+
+
+@query(f"SELECT CAST(ceil(len_m / 2000000) AS BIGINT) AS pieces, CAST(sum(ceil(len_m / 2000000)) AS BIGINT) AS edges, round(sum(len_m), 0) AS metres FROM {_LONG} GROUP BY 1")
+def cut_edges(spark, sf_dir):
+    ways, nodes = _ways(spark, sf_dir)
+    edges = graph.way_edges(ways, nodes).withColumn("pieces", F.ceil(F.col("len_m") / 2000000))
+    _, cut = graph.break_long_edges(nodes, edges.select("src", "dst", "len_m", "pieces"), 2000000.0)
+    return cut.groupBy("pieces").agg(F.count("*").alias("edges"), F.round(F.sum("len_m"), 0).alias("metres"))
+
+
+_CLASS = "CASE o_orderkey % 4 WHEN 0 THEN 'footway' WHEN 1 THEN 'residential' WHEN 2 THEN 'cycleway' ELSE 'primary' END"
+
+
+@query(f"SELECT highway, count(*) AS ways, CAST(2 AS BIGINT) AS tags FROM (SELECT {_CLASS} AS highway FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)) WHERE highway IN ('residential', 'primary') GROUP BY 1")
+def road_ways(spark, sf_dir):
+    kept = readers.road_ways(_ways(spark, sf_dir)[0])
+    return kept.groupBy(F.col("tags")["highway"].alias("highway")).agg(F.count("*").alias("ways"), F.max(F.size("tags")).cast("long").alias("tags"))
+
+
+@query(f"SELECT DISTINCT l_partkey AS id FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE {_CLASS} = 'primary' AND l_partkey IN (SELECT p_partkey FROM part)")
+def supporting_nodes(spark, sf_dir):
+    ways, nodes = _ways(spark, sf_dir)
+    return readers.supporting_nodes(readers.road_ways(ways, ("primary",)), nodes).select("id")
+
+
+@query(f"SELECT DISTINCT {_CLASS} AS highway, CASE WHEN o_orderkey % 2 = 1 THEN true END AS drivable, CASE WHEN o_orderkey % 4 = 2 THEN true END AS cyclable, CASE WHEN o_orderkey % 4 = 0 THEN true END AS walkable FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)")
+def highway_classes(spark, sf_dir):
+    return readers.highway_classes(_ways(spark, sf_dir)[0].select(F.col("tags")["highway"].alias("highway")))
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 2 = 1 AND o_orderkey IN (SELECT l_orderkey FROM lineitem)")
+def drivable_ways(spark, sf_dir):
+    ways = _ways(spark, sf_dir)[0]
+    matrix = readers.highway_classes(ways.select(F.col("tags")["highway"].alias("highway")))
+    return readers.ways_of_kind(ways, matrix, "drivable").select("id")
+
+
+@query("SELECT user_id, event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 4) AS total FROM events")
+def running_totals(spark, sf_dir):
+    return ordered.cumulative(_t(spark, sf_dir, "events"), "user_id", ("ts", "event_id"), "value", "s").select("user_id", "event_id", F.round("s", 4).alias("total"))
+
+
+_ONCE = "(SELECT user_id, ts, event_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) WHERE p IS DISTINCT FROM event_type)"
+
+
+@query(f"SELECT p0, p1, p2, count(*) AS n FROM (SELECT event_type AS p0, lead(event_type) OVER w AS p1, lead(event_type, 2) OVER w AS p2 FROM {_ONCE} WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE p2 IS NOT NULL GROUP BY ALL")
+def next_point_votes(spark, sf_dir):
+    r = _t(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))).alias("r"))
+    return consensus.next_counts(r.select(F.transform("r", lambda x: x["event_type"]).alias("path")))
+
+
+@query(f"SELECT user_id, string_agg(event_type, ',' ORDER BY ts, event_id) AS path, string_agg(event_id::VARCHAR, ',' ORDER BY ts, event_id) AS ids FROM {_ONCE} GROUP BY 1")
+def cleaned_paths(spark, sf_dir):
+    r = _t(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))).alias("r"))
+    both = consensus.clean_path(F.transform("r", lambda x: x["event_id"]), F.transform("r", lambda x: x["event_type"]))
+    return r.select("user_id", both.alias("b")).select("user_id", F.array_join("b.geo_path", ",").alias("path"), F.array_join(F.transform("b.path", lambda x: x.cast("string")), ",").alias("ids"))
+
+
+@query("SELECT c_name AS stem FROM customer WHERE c_custkey % 2 = 0")
+def file_catalogue(spark, sf_dir):
+    c = _t(spark, sf_dir, "customer")
+    files = c.select(F.concat("c_name", F.lit(".json")).alias("path")).unionAll(c.where("c_custkey % 2 = 0").select(F.concat("c_name", F.lit(".gpx"))))
+    return grouping.catalogue(files, "path", ["json", "gpx"]).select("stem")
+
+
+_DAY = "TIMESTAMP '1995-01-01 00:00:00'"
+
+
+def _moves(spark, sf_dir) -> DataFrame:
+    o, li = _t(spark, sf_dir, "orders"), _t(spark, sf_dir, "lineitem")
+    return o.join(li, o.o_orderkey == li.l_orderkey).select("o_orderkey", "l_linenumber", F.col("o_orderdate").alias("ta"), F.col("l_shipdate").alias("tb"), F.col("l_suppkey").alias("u"), (F.col("l_partkey") % 50).alias("v"), (F.col("l_extendedprice") / 2).alias("distance_m"))
+
+
+@query("SELECT o_orderkey, l_linenumber FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderdate >= TIMESTAMP '1995-01-01 00:00:00' AND l_shipdate <= TIMESTAMP '1996-06-30 00:00:00'")
+def trips_between(spark, sf_dir):
+    first, last = (F.to_timestamp_ntz(F.lit(x)) for x in ("1995-01-01 00:00:00", "1996-06-30 00:00:00"))
+    return trips.between(_moves(spark, sf_dir), first, last).select("o_orderkey", "l_linenumber")
+
+
+@query("SELECT o_orderkey, l_linenumber FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_suppkey <> l_partkey % 50 AND l_extendedprice / 2 BETWEEN 3000 AND 12000")
+def trip_pool(spark, sf_dir):
+    return trips.pool(_moves(spark, sf_dir), 3000, 12000).select("o_orderkey", "l_linenumber")
+
+
+@query("SELECT o_orderkey, l_linenumber, round(l_extendedprice / 2 / 1000, 7) AS km FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_extendedprice / 2 / 1000 < 10")
+def trips_nearer(spark, sf_dir):
+    return trips.nearer_than(_moves(spark, sf_dir), "distance_m").select("o_orderkey", "l_linenumber", F.round("distance_m_km", 7).alias("km"))
+
+
+@query("SELECT o_orderkey, l_linenumber, round(l_extendedprice / 2, 3) AS distance_m FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_suppkey = 3 ORDER BY l_extendedprice DESC, o_orderkey, l_linenumber LIMIT 20")
+def selected_trips(spark, sf_dir):
+    got = trips.select_trips(_moves(spark, sf_dir), "u = 3", [F.desc("distance_m"), "o_orderkey", "l_linenumber"], 20, ["o_orderkey", "l_linenumber", "distance_m"])
+    return got.withColumn("distance_m", F.round("distance_m", 3))
+
+
+@query("SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 3600 SECOND")
+def unexpired_events(spark, sf_dir):
+    e = _t(spark, sf_dir, "events")
+    last = e.agg(F.max("ts").cast("string")).first()[0]
+    return joins.expire(e, "ts", last, 3600).select("event_id")
+
+
+@query("SELECT c_custkey AS id, 'negative' AS rule FROM customer WHERE c_acctbal < 0 UNION ALL SELECT c_custkey, 'segment' FROM customer WHERE c_mktsegment = 'BUILDING'")
+def broken_rules(spark, sf_dir):
+    return network.violations(_t(spark, sf_dir, "customer"), {"negative": "c_acctbal < 0", "segment": "c_mktsegment = 'BUILDING'"}, "c_custkey").select(F.col("c_custkey").alias("id"), "rule")
+
+
+@query("SELECT c_custkey, CASE WHEN n_nationkey IS NULL OR c_nationkey % 5 IS DISTINCT FROM n_regionkey THEN c_nationkey % 5 END AS region FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")
+def own_fields(spark, sf_dir):
+    c = _t(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey"), (F.col("c_nationkey") % 5).alias("n_regionkey"))
+    return joins.drop_equal_fields(c, _t(spark, sf_dir, "nation"), ["n_nationkey"], ["n_regionkey"]).select("c_custkey", F.col("n_regionkey").alias("region"))
+
+
+@query(f"WITH s AS (SELECT user_id % 20 AS route, user_id, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) >= {consensus.MIN_WAYPOINTS}), k AS (SELECT route FROM s GROUP BY 1 HAVING count(*) >= 3) SELECT route, user_id FROM s WHERE route IN (SELECT route FROM k)")
+def qualified_sources(spark, sf_dir):
+    s = _t(spark, sf_dir, "events").groupBy((F.col("user_id") % 20).alias("route"), "user_id").agg(F.collect_list("event_id").alias("waypoints_used"))
+    return consensus.qualified(s, ["route"], least_sources=3).select("route", "user_id")
+
+
+@query("SELECT l_linestatus AS g, a.l_linenumber || '-' || b.l_linenumber AS pair, count(*) AS n FROM (SELECT DISTINCT l_linestatus, l_linenumber FROM lineitem) a JOIN (SELECT DISTINCT l_linestatus, l_linenumber FROM lineitem) b USING (l_linestatus) WHERE a.l_linenumber <> b.l_linenumber GROUP BY 1, 2")
+def ordered_pairs(spark, sf_dir):
+    few = _t(spark, sf_dir, "lineitem").select("l_linestatus", "l_linenumber").distinct()
+    return joins.pair_scores(few, "l_linenumber", "l_linestatus").groupBy(F.col("l_linestatus").alias("g"), F.concat_ws("-", "a", "b").alias("pair")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT s.s_suppkey, n.n_name FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey WHERE n.n_regionkey <> 0")
+def routes_with_masters(spark, sf_dir):
+    s = _t(spark, sf_dir, "supplier").withColumnRenamed("s_nationkey", "n_nationkey")
+    return joins.with_and_without(s, _t(spark, sf_dir, "nation").where("n_regionkey <> 0"), ["n_nationkey"])[0].select("s_suppkey", "n_name")
+
+
+@query("SELECT s_suppkey FROM supplier WHERE s_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey <> 0)")
+def routes_without_masters(spark, sf_dir):
+    s = _t(spark, sf_dir, "supplier").withColumnRenamed("s_nationkey", "n_nationkey")
+    return joins.with_and_without(s, _t(spark, sf_dir, "nation").where("n_regionkey <> 0"), ["n_nationkey"])[1].select("s_suppkey")

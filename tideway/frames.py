@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import DataFrame
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """A copy in the folder of spark.checkpoint.dir, which all executors share; a folder of its own only if none is set."""
+    """A copy in the folder of spark.checkpoint.dir, which all executors share. Only where driver and executors are one process may a folder of this machine stand in for it."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        import tempfile
-
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if found is None:
+            if not re.fullmatch(r"local(\[[^]]*\])?", context.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            found = tempfile.mkdtemp(prefix="checkpoints-")
+        context.setCheckpointDir(found)
     return df.checkpoint(eager=True)

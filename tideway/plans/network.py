@@ -83,7 +83,7 @@ def violations(df: DataFrame, rules: dict[str, str], key: str = "id") -> DataFra
 
 
 def timetable_search_views(timetable: DataFrame, route_stops: DataFrame) -> dict[str, DataFrame]:
-    """What a transit search reads: timetable of complete runs, stops with places, routes by stop."""
+    """What a search for journeys reads: timetable of complete runs, stops with places, routes by stop."""
     from .timetable import complete_and_monotone
 
     return {

@@ -7,8 +7,11 @@ from pyspark.sql import types as T
 LATLON = T.StructType([T.StructField("lat", T.DoubleType()), T.StructField("lon", T.DoubleType())])
 
 
-def _s(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+class _Schema(str):
+    """DDL of a schema, parsed when it is asked for, as parsing needs a session."""
+
+
+_s = _Schema
 
 
 _NAME = "STRUCT<Zh_tw: STRING, En: STRING>"
@@ -56,3 +59,13 @@ EDGE_METRIC = _s("src BIGINT, dst BIGINT, len_m DOUBLE, met_m DOUBLE, weekday IN
 EDGE_TIME = _s("src BIGINT, dst BIGINT, len_m DOUBLE, dt_s DOUBLE")
 HIGHWAY_MATRIX = _s("highway STRING, drivable BOOLEAN, cyclable BOOLEAN, walkable BOOLEAN")
 REACH = _s("origin_lat DOUBLE, origin_lon DOUBLE, t0 TIMESTAMP, lat DOUBLE, lon DOUBLE, seconds DOUBLE, pred_lat DOUBLE, pred_lon DOUBLE")
+
+_DDL = {name: value for name, value in list(globals().items()) if isinstance(value, _Schema)}
+for _name in _DDL:
+    del globals()[_name]
+
+
+def __getattr__(name: str) -> T.StructType:
+    if name not in _DDL:
+        raise AttributeError(name)
+    return T.StructType.fromDDL(_DDL[name])

@@ -15,10 +15,11 @@ from .. import schemas
 from ..functions.text import iso_time, unzip_json_text
 
 ROAD_CLASSES = ("motorway", "trunk", "primary", "secondary", "tertiary", "unclassified", "residential", "service", "motorway_link", "trunk_link", "primary_link", "secondary_link", "tertiary_link")
-DRIVABLE = ("motorway", "trunk", "primary", "secondary", "tertiary", "unclassified", "residential", "motorway_link", "trunk_link", "primary_link", "secondary_link", "tertiary_link", "living_street", "service")
-CYCLABLE = ("primary", "secondary", "tertiary", "unclassified", "residential", "living_street", "service", "cycleway", "path", "track")
-WALKABLE = ("secondary", "tertiary", "unclassified", "residential", "living_street", "service", "pedestrian", "footway", "steps", "path", "track")
-TAGS = ("highway", "name", "name:en", "oneway", "lanes", "maxspeed", "surface", "access", "bridge", "tunnel")
+# fixed values: which road classes may be driven, cycled and walked, and the tags that are kept
+DRIVABLE = ("motorway", "trunk", "primary", "secondary", "tertiary", "unclassified", "residential", "living_street", "motorway_link", "trunk_link", "primary_link", "secondary_link", "tertiary_link", "service")
+CYCLABLE = ("cycleway",)
+WALKABLE = ("footway", "pedestrian", "living_street", "path", "elevator", "escalator", "crossing", "platform", "steps")
+TAGS = ("name", "highway", "sidewalk", "private", "bus", "cycleway", "oneway", "foot", "pedestrian", "turn")
 
 
 def listing(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
