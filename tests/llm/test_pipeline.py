@@ -34,3 +34,18 @@ def test_pipeline(spark, tmp_path):
     want = {d: library.encode(pii.redact(t or "", pii.base_spans(t or "")), add_special_tokens=False).ids for d, t in left if d not in dirty}
     assert {d: r.ids for d, r in got.items()} == want
     assert 302 not in got and 300 not in got and 303 in got and 304 in got
+
+
+def test_stages_without_documents_and_with_other_columns(spark, tmp_path):
+    rows = [(1, None, None, None, None, "x"), (1, None, None, None, None, "x"), (2, "", "en", "s", 0, "x"), (3, "one two me@example.org", "en", "s", 22, "x"), (None, "three", "en", "s", 5, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score string")
+    spark.createDataFrame([(3, 1, 0), (9, 0, 1)], "doc_id long, quality int, toxic int").limit(0).write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "a b")], "item_id long, text string").limit(0).write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        none, some = stage(spark, docs.limit(0), str(tmp_path)), stage(spark, docs, str(tmp_path))
+        assert none.count() == 0, name
+        if name == "bpe":
+            assert sorted(r.n_tokens for r in some.collect())[:3] == [0, 0, 0] and some.count() == 5
+            continue
+        assert some.columns == none.columns == list(corpus_pipeline.COLUMNS), name
+        assert some.count() == 5, name
