@@ -156,6 +156,40 @@ def test_reach_against_exhaustive(spark):
     assert got == pytest.approx({k: v - 1000 for k, v in best.items()})
 
 
+def test_reach_with_a_bounded_wait_is_label_setting(spark):
+    """Against a plain search that settles the earliest label first; zero walks, a place that only a missed bus leads to, two starts, a target."""
+    rng = random.Random(9)
+    runs = [(f"r{r}", 0, f"{r}-{k}", s, (r * 5 + s * (r + 2)) % 11, 1000.0 + 700 * k + 90 * s + rng.randint(0, 200)) for r in range(4) for k in range(4) for s in range(4)]
+    walks = [(0, 5, 0.0), (5, 0, 0.0), (5, 6, 130.0), (3, 4, 250.0), (2, 2, 0.0), (9, 1, 40.0)]
+    starts, wait = [(0, 1000.0), (3, 1500.0), (77, 5.0)], 300.0
+
+    def plain(origin, t0):
+        now, done = {origin: t0}, {}
+        while now:
+            p = min(now, key=lambda x: (now[x], x))
+            t = done[p] = now.pop(p)
+            ahead = [(t + s, b) for a, b, s in walks if a == p]
+            for route in {(x[0], x[3]) for x in runs if x[4] == p}:
+                legs = [(y[5], y[4]) for x in runs for y in runs if (x[0], x[3]) == route and x[4] == p and t <= x[5] <= t + wait and y[2] == x[2] and y[3] == x[3] + 1]
+                ahead += [min(legs)] if legs else []
+            for u, b in ahead:
+                if b not in done:
+                    now[b] = min(u, now.get(b, math.inf))
+        return done
+
+    tt = spark.createDataFrame(runs, "route_uid string, direction int, run_id string, seq int, stop long, eta double")
+    w = spark.createDataFrame(walks, "a long, b long, seconds double")
+    got = reach.earliest_arrival(spark.createDataFrame(starts, "origin long, t0 double"), tt, w, wait).collect()
+    want = {(o, p): t - t0 for o, t0 in starts for p, t in plain(o, t0).items()}
+    assert len(got) == len(want) and {(r.origin, r.place): r.seconds for r in got} == pytest.approx(want)
+    assert all((r.pred is None) == (r.place == r.origin) for r in got)
+    goal = max((p for o, p in want if o == 0), key=lambda p: (want[0, p], p))
+    near = min((p for o, p in want if o == 0 and want[o, p] > 0), key=lambda p: (want[0, p], p))
+    for target in (near, goal):
+        some = reach.earliest_arrival(spark.createDataFrame(starts[:1], "origin long, t0 double"), tt, w, wait, target).collect()
+        assert {r.place for r in some} == {p for o, p in want if o == 0 and want[o, p] <= want[0, target]}
+
+
 def test_cgls_solves_the_damped_problem(spark):
     rng = np.random.default_rng(2)
     a, b = rng.random((7, 4)), rng.random(7)

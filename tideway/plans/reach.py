@@ -2,19 +2,14 @@
 
 from __future__ import annotations
 
-import heapq
-from bisect import bisect_left
-from collections import defaultdict
-
-import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..frames import checkpointed
 from ..operators import spatial
 
 WALK_MPS, STOP_RADIUS_M, MAX_WAIT_S = 1.0, 50.0, 3600.0
-#: Rows of a timetable and of walks that are sent to each task.
-MAX_SENT = 20_000_000
 
 
 def walk_legs(places: DataFrame, radius_m: float = STOP_RADIUS_M, mps: float = WALK_MPS) -> DataFrame:
@@ -32,50 +27,26 @@ def graph_walk_legs(edges: DataFrame, loose: DataFrame, nodes: DataFrame, k: int
     return along.unionAll(back).unionAll(on).unionAll(on.select(F.col("b").alias("a"), F.col("a").alias("b"), "seconds")).groupBy("a", "b").agg(F.min("seconds").alias("seconds"))
 
 
-class Network:
-    """Legs by place: walks, and for each route the departures of each run at each of its stops. A loop route may visit a stop twice: stops are known by (run, seq)."""
-
-    def __init__(self, timetable: pd.DataFrame, walks: pd.DataFrame):
-        self.walks: dict = defaultdict(list)
-        for a, b, s in walks[["a", "b", "seconds"]].itertuples(index=False):
-            self.walks[a].append((b, float(s)))
-        # place -> route -> (departures sorted, [(arrival, next place, run, seq)] by departure)
-        legs: dict = defaultdict(lambda: defaultdict(list))
-        for (route, direction, run), g in timetable.sort_values("seq").groupby(["route_uid", "direction", "run_id"], sort=False):
-            stops = list(zip(g.seq.tolist(), g.stop.tolist(), g.eta.tolist(), strict=True))
-            for (q, a, t), (_, b, u) in zip(stops, stops[1:], strict=False):
-                legs[a][(route, direction, q)].append((t, u, b, run))
-        self.legs = {p: {k: (sorted(x[0] for x in v), sorted(v)) for k, v in r.items()} for p, r in legs.items()}
-
-    def search(self, origin, t0: float, target=None, max_wait: float | None = MAX_WAIT_S) -> dict:
-        """place -> (arrival, predecessor, mode, description) by label setting. Of a route's departures within max_wait the one that arrives first is taken."""
-        labels, done = {origin: (t0, None, None, None)}, set()
-        heap = [(t0, 0, origin)]
-        n = 0
-        while heap:
-            t, _, p = heapq.heappop(heap)
-            if p in done:
-                continue
-            done.add(p)
-            if p == target:
-                break
-            out = [(t + s, b, "walk", "") for b, s in self.walks.get(p, ()) if b != p]
-            for (route, direction, _), (departures, legs) in self.legs.get(p, {}).items():
-                i = bisect_left(departures, t)
-                best = None
-                for d, u, b, run in legs[i:]:
-                    if max_wait is not None and d > t + max_wait:
-                        break
-                    if best is None or u < best[0]:
-                        best = (u, b, run)
-                if best:
-                    out.append((best[0], best[1], "bus", f"{route}/{direction}/{best[2]}"))
-            for u, b, mode, what in out:
-                if b not in done and (b not in labels or u < labels[b][0]):
-                    labels[b] = (u, p, mode, what)
-                    n += 1
-                    heapq.heappush(heap, (u, n, b))
-        return {p: labels[p] for p in done}
+def _scheduled(timetable: DataFrame) -> DataFrame:
+    """(route, a, dep, arr, b, what): each run's legs from one stop to the next. A loop route may visit a stop twice: `route` names its place in the run, too."""
+    w = W.partitionBy("route_uid", "direction", "run_id").orderBy("seq")
+    legs = timetable.select("route_uid", "direction", "run_id", "seq", F.col("stop").alias("a"), F.col("eta").alias("dep"), F.lead("stop").over(w).alias("b"), F.lead("eta").over(w).alias("arr"))
+    return legs.where("b is not null").select(F.struct("route_uid", "direction", "seq").alias("route"), "a", "dep", "arr", "b", F.concat_ws("/", "route_uid", "direction", "run_id").alias("what"))
+
+
+def _onward(labels: DataFrame, legs: DataFrame, walks: DataFrame, max_wait_s: float | None) -> DataFrame:
+    """labels to those one leg on: (origin, t0, place, t, pred, mode, what). Of a route's departures within the wait the one that arrives first is taken."""
+    here = labels.select("origin", "t0", F.col("place").alias("a"), "t")
+    afoot = here.join(walks.where("a <> b"), "a").select("origin", "t0", F.col("b").alias("place"), (F.col("t") + F.col("seconds")).alias("t"), F.col("a").alias("pred"), F.lit("walk").alias("mode"), F.lit("").alias("what"))
+    if max_wait_s is None:
+        caught = here.join(legs, "a").where("dep >= t")
+    else:  # a departure within the wait is of the label's stretch of time or of the next
+        width = F.lit(max(float(max_wait_s), 1.0))
+        slot = F.floor(F.col("t") / width)
+        near = here.withColumn("slot", F.explode(F.array(slot, slot + 1)))
+        caught = near.join(legs.withColumn("slot", F.floor(F.col("dep") / width)), ["a", "slot"]).where((F.col("dep") >= F.col("t")) & (F.col("dep") <= F.col("t") + F.lit(float(max_wait_s))))
+    first = caught.groupBy("origin", "t0", "a", "route").agg(F.min(F.struct("arr", "dep", "b", "what")).alias("l"))
+    return afoot.unionAll(first.select("origin", "t0", F.col("l.b").alias("place"), F.col("l.arr").alias("t"), F.col("a").alias("pred"), F.lit("bus").alias("mode"), "l.what"))
 
 
 def earliest_arrival(starts: DataFrame, timetable: DataFrame, walks: DataFrame, max_wait_s: float | None = MAX_WAIT_S, target=None) -> DataFrame:
@@ -83,26 +54,36 @@ def earliest_arrival(starts: DataFrame, timetable: DataFrame, walks: DataFrame,
 
     timetable: (route_uid, direction, run_id, seq, stop, eta in epoch seconds) with stops and walk ends
     named alike (long). With a bound on the wait, arriving earlier may miss what a later arrival catches,
-    as bounded waiting is; with None the result is exact.
+    as bounded waiting is; with None the result is exact. With a target, labels later than its own are left out.
+
+    Labels are settled in rounds of joins, all starts at once. No label yet to come is earlier than what
+    the open labels of a start lead to by their next leg: those up to that time are final, and only
+    from final ones the search goes on. Ties go to the smaller predecessor.
     """
-    if timetable.count() > MAX_SENT or walks.count() > MAX_SENT:
-        raise ValueError("the network is too large to send to the tasks; split it by area")
-    spark = starts.sparkSession
-    net = spark.sparkContext.broadcast((timetable.toPandas(), walks.toPandas()))
-    made: list[Network] = []
-
-    def search(batches):
-        if not made:
-            made.append(Network(*net.value))
-        for pdf in batches:
-            rows = []
-            for origin, t0 in zip(pdf.origin.tolist(), pdf.t0.tolist(), strict=True):
-                found = made[0].search(origin, t0, target, max_wait_s)
-                rows += [(origin, t0, p, t - t0, pred, mode, what) for p, (t, pred, mode, what) in found.items()]
-            yield pd.DataFrame(rows, columns=["origin", "t0", "place", "seconds", "pred", "mode", "what"]).astype({"pred": "Int64"})
-
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return starts.select("origin", F.col("t0").cast("double").alias("t0")).repartition(n, "origin", "t0").mapInPandas(search, "origin long, t0 double, place long, seconds double, pred long, mode string, what string")
+    key = ["origin", "t0"]
+    walks = checkpointed(walks.groupBy("a", "b").agg(F.min(F.col("seconds").cast("double")).alias("seconds")))
+    legs = checkpointed(_scheduled(timetable))
+    blank = [F.lit(None).cast(kind).alias(name) for kind, name in (("long", "pred"), ("string", "mode"), ("string", "what"))]
+    begin = starts.select(F.col("origin").cast("long").alias("origin"), F.col("t0").cast("double").alias("t0")).distinct()
+    fresh = checkpointed(begin.select("origin", "t0", F.col("origin").alias("place"), F.col("t0").alias("t"), *blank))
+    settled, parts = fresh.limit(0), 0
+    while not fresh.isEmpty():
+        ahead = checkpointed(_onward(fresh, legs, walks, max_wait_s))
+        least = ahead.groupBy(*key).agg(F.min("t").alias("least"))
+        judged = checkpointed(fresh.join(least, key, "left").withColumn("final", F.col("least").isNull() | (F.col("t") <= F.col("least"))).drop("least"))
+        done = judged.where("final").drop("final")
+        settled, parts = settled.unionAll(done), parts + 1
+        if parts % 8 == 0:
+            settled = checkpointed(settled)
+        told = ahead.join(done.select(*key, F.col("place").alias("pred")), [*key, "pred"], "left_semi").select(fresh.columns)
+        waiting = judged.where("not final").select(fresh.columns).unionAll(told).join(settled.select(*key, "place"), [*key, "place"], "left_anti")
+        if target is not None:
+            waiting = waiting.join(done.where(F.col("place") == F.lit(target)).select(*key), key, "left_anti")
+        fresh = checkpointed(waiting.groupBy(*key, "place").agg(F.min(F.struct("t", "pred", "mode", "what")).alias("m")).select(*key, "place", "m.*"))
+    if target is not None:
+        end = settled.where(F.col("place") == F.lit(target)).select(*key, F.col("t").alias("end"))
+        settled = settled.join(end, key, "left").where("end is null or t <= end")
+    return settled.select(*key, "place", (F.col("t") - F.col("t0")).alias("seconds"), "pred", "mode", "what")
 
 
 def sweep(origins: DataFrame, first: str, last: str, every_min: int = 1) -> DataFrame:
