@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A copy in the folder of spark.checkpoint.dir, which all executors share. Only where driver and executors are one process may a folder of this machine stand in for it."""
+def _folder(df: DataFrame) -> None:
+    """Sees to it that the context has a checkpoint folder that all executors share. Only where driver and executors are one process may a folder of this machine stand in for it."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
@@ -18,4 +19,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             found = tempfile.mkdtemp(prefix="checkpoints-")
         context.setCheckpointDir(found)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """A copy in the shared checkpoint folder."""
+    _folder(df)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """A Parquet copy in the shared checkpoint folder. For loops of many rounds: plans of the next rounds know its true size and nothing of how it was made. Like checkpoints, it stays until the folder goes."""
+    _folder(df)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..frames import checkpointed
+from ..frames import written
 from ..operators import spatial
 
 WALK_MPS, STOP_RADIUS_M, MAX_WAIT_S = 1.0, 50.0, 3600.0
@@ -61,25 +61,25 @@ def earliest_arrival(starts: DataFrame, timetable: DataFrame, walks: DataFrame,
     from final ones the search goes on. Ties go to the smaller predecessor.
     """
     key = ["origin", "t0"]
-    walks = checkpointed(walks.groupBy("a", "b").agg(F.min(F.col("seconds").cast("double")).alias("seconds")))
-    legs = checkpointed(_scheduled(timetable))
+    walks = written(walks.groupBy("a", "b").agg(F.min(F.col("seconds").cast("double")).alias("seconds")))
+    legs = written(_scheduled(timetable))
     blank = [F.lit(None).cast(kind).alias(name) for kind, name in (("long", "pred"), ("string", "mode"), ("string", "what"))]
     begin = starts.select(F.col("origin").cast("long").alias("origin"), F.col("t0").cast("double").alias("t0")).distinct()
-    fresh = checkpointed(begin.select("origin", "t0", F.col("origin").alias("place"), F.col("t0").alias("t"), *blank))
+    fresh = written(begin.select("origin", "t0", F.col("origin").alias("place"), F.col("t0").alias("t"), *blank))
     settled, parts = fresh.limit(0), 0
     while not fresh.isEmpty():
-        ahead = checkpointed(_onward(fresh, legs, walks, max_wait_s))
+        ahead = written(_onward(fresh, legs, walks, max_wait_s))
         least = ahead.groupBy(*key).agg(F.min("t").alias("least"))
-        judged = checkpointed(fresh.join(least, key, "left").withColumn("final", F.col("least").isNull() | (F.col("t") <= F.col("least"))).drop("least"))
+        judged = written(fresh.join(least, key, "left").withColumn("final", F.col("least").isNull() | (F.col("t") <= F.col("least"))).drop("least"))
         done = judged.where("final").drop("final")
         settled, parts = settled.unionAll(done), parts + 1
         if parts % 8 == 0:
-            settled = checkpointed(settled)
+            settled = written(settled)
         told = ahead.join(done.select(*key, F.col("place").alias("pred")), [*key, "pred"], "left_semi").select(fresh.columns)
         waiting = judged.where("not final").select(fresh.columns).unionAll(told).join(settled.select(*key, "place"), [*key, "place"], "left_anti")
         if target is not None:
             waiting = waiting.join(done.where(F.col("place") == F.lit(target)).select(*key), key, "left_anti")
-        fresh = checkpointed(waiting.groupBy(*key, "place").agg(F.min(F.struct("t", "pred", "mode", "what")).alias("m")).select(*key, "place", "m.*"))
+        fresh = written(waiting.groupBy(*key, "place").agg(F.min(F.struct("t", "pred", "mode", "what")).alias("m")).select(*key, "place", "m.*"))
     if target is not None:
         end = settled.where(F.col("place") == F.lit(target)).select(*key, F.col("t").alias("end"))
         settled = settled.join(end, key, "left").where("end is null or t <= end")
