@@ -22,13 +22,14 @@ def _dist(edges):
     return d
 
 
-def test_shortest_paths(spark):
+@pytest.mark.parametrize("sent", [10**6, 0])
+def test_shortest_paths(spark, sent):
     rng = random.Random(5)
     edges = [(a, b, float(rng.randint(1, 9))) for a in range(12) for b in range(12) if a != b and rng.random() < 0.2]
     want = _dist(edges)
     df = spark.createDataFrame(edges, "src long, dst long, len_m double")
     pairs = spark.createDataFrame([(a, b) for a in range(12) for b in range(12)], "u long, v long")
-    got = {(r.u, r.v): (r.length, r.path) for r in graph.shortest_paths(pairs, df).collect()}
+    got = {(r.u, r.v): (r.length, r.path) for r in graph.shortest_paths(pairs, df, sent=sent).collect()}
     weight = {(a, b): w for a, b, w in edges}
     for (a, b), w in want.items():
         assert (a, b) in got if w < math.inf else (a, b) not in got
@@ -37,6 +38,15 @@ def test_shortest_paths(spark):
             assert length == w == sum(weight[e] for e in zip(path, path[1:], strict=False)) and path[0] == a and path[-1] == b
 
 
+def test_shortest_paths_off_the_graph(spark):
+    edges = spark.createDataFrame([(1, 2, 0.0), (2, 1, 0.0), (2, 3, 4.0), (2, 3, 1.5), (4, 3, 1.0)], "src long, dst long, len_m double")
+    pairs = spark.createDataFrame([(1, 3), (1, 3), (1, 4), (9, 1), (1, 9), (9, 9), (2, 2)], "u long, v long")
+    for sent in (10**6, 0):
+        got = sorted((r.u, r.v, r.path, r.length) for r in graph.shortest_paths(pairs, edges, sent=sent).collect())
+        assert got == [(1, 3, [1, 2, 3], 1.5), (2, 2, [2], 0.0)]
+        assert graph.shortest_paths(pairs.limit(0), edges, sent=sent).collect() == []
+
+
 def test_simple_paths(spark):
     edges = spark.createDataFrame([(0, 1, 1.0), (1, 2, 1.0), (0, 2, 5.0), (0, 3, 1.0), (3, 1, 1.0)], "src long, dst long, len_m double")
     got = [(r.path, r.length) for r in graph.simple_paths(spark.createDataFrame([(0, 2)], "u long, v long"), edges, 5).orderBy("rank").collect()]

@@ -11,11 +11,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..frames import checkpointed
+from ..frames import checkpointed, written
 from ..functions import geo
 
-#: Edges up to which a graph is sent to every task; a continent's roads are fewer.
-MAX_SENT_EDGES = 50_000_000
+#: Edges up to which a graph is sent to every task, as arrays of 16 bytes an edge (160 MB).
+MAX_SENT_EDGES = 10_000_000
 
 
 def way_edges(ways: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -232,9 +232,37 @@ def to_csr(edges: DataFrame, weight: str = "len_m") -> Csr:
     return Csr(t.src.to_numpy(np.int64), t.dst.to_numpy(np.int64), t[weight].to_numpy(float))
 
 
-def shortest_paths(pairs: DataFrame, edges: DataFrame, weight: str = "len_m", csr: Csr | None = None) -> DataFrame:
-    """pairs (u, v) to (u, v, path, length) for those that are connected. Distinct pairs are searched once, those of one source in one search; sources are dealt over the tasks."""
+def _paths_by_rounds(pairs: DataFrame, edges: DataFrame, weight: str) -> DataFrame:
+    """As `shortest_paths`, by rounds of joins: labels (u, node, dist, pred) go one edge on each round from the nodes that changed, and not beyond a source's farthest target once it has labels for all."""
+    goals = written(pairs.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).distinct())
+    ways = written(edges.groupBy(F.col("src").cast("long").alias("node"), F.col("dst").cast("long").alias("to")).agg(F.min(F.col(weight).cast("double")).alias("w")))
+    on_graph = ways.select("node").unionAll(ways.select(F.col("to").alias("node"))).distinct()
+    begin = goals.select("u", F.col("u").alias("node")).distinct().join(on_graph, "node", "left_semi")
+    known = fresh = written(begin.select("u", "node", F.lit(0.0).alias("dist"), F.lit(None).cast("long").alias("pred")))
+    while not fresh.isEmpty():
+        bound = goals.join(known.select("u", F.col("node").alias("v"), "dist"), ["u", "v"], "left").groupBy("u").agg(F.when(F.count("dist") == F.count("*"), F.max("dist")).alias("most"))
+        ahead = fresh.join(ways, "node").groupBy("u", F.col("to").alias("node")).agg(F.min(F.struct((F.col("dist") + F.col("w")).alias("dist"), F.col("node").alias("pred"))).alias("m")).select("u", "node", "m.dist", "m.pred")
+        better = ahead.join(known.select("u", "node", F.col("dist").alias("had")), ["u", "node"], "left").join(bound, "u").where("(had is null or dist < had) and (most is null or dist <= most)")
+        fresh = written(better.select("u", "node", "dist", "pred"))
+        known = written(known.join(fresh.select("u", "node"), ["u", "node"], "left_anti").unionAll(fresh))
+    found = None
+    back = written(goals.join(known.select("u", F.col("node").alias("v"), F.col("dist").alias("length")), ["u", "v"]).select("u", "v", "length", F.col("v").alias("node"), F.array("v").alias("path")))
+    while not back.isEmpty():
+        done = back.where("node = u").select("u", "v", "path", "length")
+        found = done if found is None else found.unionAll(done)
+        back = written(back.where("node <> u").join(known.select("u", "node", "pred"), ["u", "node"]).select("u", "v", "length", F.col("pred").alias("node"), F.concat(F.array("pred"), "path").alias("path")))
+    return back.select("u", "v", "path", "length") if found is None else found
+
+
+def shortest_paths(pairs: DataFrame, edges: DataFrame, weight: str = "len_m", csr: Csr | None = None, sent: int = MAX_SENT_EDGES) -> DataFrame:
+    """pairs (u, v) to (u, v, path, length) for those that are connected, at every size of graph. Distinct pairs are searched once.
+
+    Graphs of up to `sent` edges go to the tasks, over which the sources are dealt, those of one source in one search; larger ones
+    are searched by rounds of joins. Lengths are the same; of equally short paths either way may give another.
+    """
     spark = pairs.sparkSession
+    if csr is None and edges.count() > sent:
+        return _paths_by_rounds(pairs, edges, weight)
     graph = spark.sparkContext.broadcast(csr or to_csr(edges, weight))
     # a source's targets are split so that one source with most pairs does not make one task
     asked = pairs.select("u", "v").distinct().groupBy("u", F.pmod(F.xxhash64("v"), F.lit(16)).alias("part")).agg(F.collect_list("v").alias("vs"))

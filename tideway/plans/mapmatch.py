@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.graph import Csr
+from ..operators.graph import Csr, to_csr
 
 #: km/h by road class.
 CLASS_KPH = {
@@ -41,7 +41,7 @@ def _turn(p, q, r) -> float:
     return 120.0 if a >= 150 else 30 * a / 90 if a >= 30 else 0.0
 
 
-def viterbi(candidates: list[list[tuple[int, int, float]]], g: Csr, pos: dict[int, tuple[float, float]], stubborn: float = STUBBORN, limit_s: float = 3600.0) -> tuple[list[int], float] | None:
+def viterbi(candidates: list[list[tuple[int, int, float]]], g: Csr, pos: np.ndarray, stubborn: float = STUBBORN, limit_s: float = 3600.0) -> tuple[list[int], float] | None:
     """candidates of each waypoint (src, dst, miss) by node number: (path of nodes, cost), or None if nothing joins them."""
     seconds = {}
 
@@ -98,14 +98,16 @@ def viterbi(candidates: list[list[tuple[int, int, float]]], g: Csr, pos: dict[in
 def match(groups: DataFrame, candidates: DataFrame, edges: DataFrame, nodes: DataFrame, stubborn: float = STUBBORN, max_miss_m: float = MAX_MISS_M) -> DataFrame:
     """groups (run_id, group) and candidates (run_id, group, wp, src, dst, dist_m) to (run_id, group, match_id, waypoints_used, path, geo_path, cost).
 
-    A group with a waypoint farther than max_miss_m from every edge is dropped, as off the graph.
+    A group with a waypoint farther than max_miss_m from every edge is dropped, as off the graph. The graph
+    is sent to the tasks if it is of MAX_SENT_EDGES edges at most, and refused beyond: cut it to the area.
     """
     spark = groups.sparkSession
-    e = with_time(edges).select("src", "dst", "seconds").toPandas()
-    n = nodes.select("id", "lat", "lon").toPandas()
-    g = Csr(e.src.to_numpy(np.int64), e.dst.to_numpy(np.int64), e.seconds.to_numpy(float))
-    place = dict(zip(n.id.tolist(), zip(n.lat.tolist(), n.lon.tolist(), strict=True), strict=True))
-    sent = spark.sparkContext.broadcast((g, {i: place[int(x)] for i, x in enumerate(g.ids)}))
+    g = to_csr(with_time(edges), "seconds")
+    ends = edges.select(F.col("src").alias("id")).unionAll(edges.select(F.col("dst").alias("id"))).distinct()
+    n = nodes.join(ends, "id", "left_semi").select("id", "lat", "lon").dropDuplicates(["id"]).toPandas().sort_values("id")  # at most two a checked edge
+    if not np.array_equal(n.id.to_numpy(np.int64), g.ids):
+        raise ValueError("an edge has an end without a place")
+    sent = spark.sparkContext.broadcast((g, n[["lat", "lon"]].to_numpy(float)))
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         g, pos = sent.value
