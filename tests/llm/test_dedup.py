@@ -121,6 +121,20 @@ def test_components(spark):
     assert got == {v: c for v, c in parent.items() if any(v in e and e[0] != e[1] for e in edges)}
 
 
+def test_sketches_bound_the_difference():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, n, n, dtype=np.uint64)) for n in (1, 3, 40, 300, 5000) for _ in range(4)]
+    bounds = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    words = minhash.parity_sketches(np.concatenate(sets), bounds).reshape(len(sets), -1)
+    bits = np.unpackbits(words.view(np.uint8), axis=1)
+    for a in range(len(sets)):
+        for b in range(len(sets)):
+            apart = len(np.setxor1d(sets[a], sets[b]))
+            differ = int((bits[a] != bits[b]).sum())
+            assert differ <= apart and (apart > 40 or differ >= apart / 2)
+    assert minhash.parity_sketches(sets[0][:0], np.array([0, 0, 0])).tolist() == [0] * (2 * minhash.BITS // 64)
+
+
 def test_banding_misses_little():
     for t in (0.8, 0.85, 0.95):
         m, q = minhash.sub_keys(t), t**minhash.R

@@ -18,6 +18,9 @@ probability (1 - (1 - s**R)**m)**2; `sub_keys` picks m so that it misses less th
    few of each (prefix filter): such pairs are tried. Classes that share none have at most their other
    shingles in common; only where that bound and the sizes allow the threshold, and enough sub-keys are
    equal, is the pair tried too. A pair is named once, at the first sub-key that both have.
+5. Each class has a sketch of BITS bits, each the parity of how many of its shingles fall there. The bits in
+   which two sketches differ are at most the shingles that only one of the two has, so a pair with more of
+   them than the threshold allows is no link for certain, and is never dealt to a task.
 
 Small tables are broadcast and the rest shuffled (BROADCAST_ROWS); this and STAR only deal out work.
 RARE and ROUNDS move pairs between steps 2 and 4; what is linked does not depend on them.
@@ -31,6 +34,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +44,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .frames import scratch, small_batches, stored, text_key
-from .words import Words, slices
+from .words import Words, mix, slices
 
 #: Minimum hashes of a sub-key, two of which make a table key.
 R = 2
@@ -48,6 +52,8 @@ R = 2
 MISS = 1e-4
 #: Rounds of stars before what is left is tried pair by pair.
 ROUNDS = 3
+#: Bits of the parity sketch of a set; more tell larger sets apart, fewer lose no link.
+BITS = 1024
 #: Classes that may have a shingle that counts as rare.
 RARE = 40
 #: Members of a star that one task compares.
@@ -85,14 +91,20 @@ def shingle_sets(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(parts) if parts else values), np.concatenate([[0], np.cumsum(sizes)])
 
 
+def parity_sketches(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """For each set of hashes, BITS // 64 words of bits: whether an odd number of its hashes fall there."""
+    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    bit = (mix(values ^ np.uint64(0x3C6EF372FE94F82B)) >> np.uint64(20)).astype(np.int64) % BITS
+    odd = np.bincount(row * BITS + bit, minlength=(len(bounds) - 1) * BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _signatures(k: int, m: int):
     rng = np.random.default_rng(509)
     xor = rng.integers(0, 1 << 63, 2 * m * R, dtype=np.uint64)
     odd = rng.integers(0, 1 << 62, 2 * m * R, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .words import mix
-
         for batch in batches:
             ids, keys, texts = (batch.column(i) for i in range(3))
             for a, b, data, offsets in slices(texts):
@@ -113,7 +125,8 @@ def _signatures(k: int, m: int):
                     names[1, full] = np.add.reduceat(mix(values ^ np.uint64(0xA5A5A5A5A5A5A5A5)), at)
                 flat = pa.array(out.reshape(-1).view(np.int64))
                 parts = pa.FixedSizeListArray.from_arrays(flat, 2 * m).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), keys.slice(a, b - a), pa.array(sizes), pa.array(names[0].view(np.int64)), pa.array(names[1].view(np.int64)), parts], names=["id", "k", "n", "c", "c2", "subs"])
+                parity = pa.FixedSizeListArray.from_arrays(pa.array(parity_sketches(values, bounds)), BITS // 64).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), keys.slice(a, b - a), pa.array(sizes), pa.array(names[0].view(np.int64)), pa.array(names[1].view(np.int64)), parts, parity], names=["id", "k", "n", "c", "c2", "subs", "odd"])
 
     return run
 
@@ -212,10 +225,16 @@ def _all_pairs(array: str) -> Column:
 
 
 def _plausible(pairs: DataFrame, light: DataFrame, percent: int, need: int) -> DataFrame:
-    """Of distinct pairs (a, b), those whose sizes and sub-keys allow the threshold."""
-    x, y = light.toDF("a", "na", "sa"), light.toDF("b", "nb", "sb")
-    sized = pairs.join(x, "a").join(y, "b").where(F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb"))
-    return sized.where(_equal("sa", "sb") >= need).select("a", "b")
+    """Of distinct pairs (a, b), those whose sizes, sketches and sub-keys allow the threshold."""
+    x, y = light.toDF("a", "na", "sa", "oa"), light.toDF("b", "nb", "sb", "ob")
+    sized = F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb")
+    return pairs.join(x, "a").join(y, "b").where(sized & _near("oa", "ob", F.col("na") + F.col("nb"), percent) & (_equal("sa", "sb") >= need)).select("a", "b")
+
+
+def _near(x: str, y: str, sizes: Column, percent: int) -> Column:
+    """Whether two sketches differ in few enough bits: of two sets with d shingles that only one has, 100 * (sizes - d) >= percent * (sizes + d)."""
+    apart = reduce(Column.__add__, [F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(BITS // 64)])
+    return F.lit(100 + percent) * apart <= F.lit(100 - percent) * sizes
 
 
 def _round(cells: DataFrame, comps: DataFrame | None, turn: int) -> tuple[DataFrame, DataFrame]:
@@ -244,15 +263,15 @@ def _near_duplicates(docs: DataFrame, percent: int, shingle: int, id_col: str, t
     m = sub_keys(threshold)
     need = least_matches(threshold, m)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_key(text_col), F.lit(0)).alias("k"), F.col(text_col).alias("text"))
-    signed = keep(source.mapInArrow(_signatures(shingle, m), "id long, k long, n long, c long, c2 long, subs array<bigint>"))
-    classes = stored(signed.where("n > 0").groupBy("c", "c2").agg(F.min(F.struct("id", "k")).alias("r"), F.min("id").alias("least_id"), F.first("n").alias("n"), F.first("subs").alias("subs")).select("c", "c2", "r.id", "r.k", "least_id", "n", "subs"))
+    signed = keep(source.mapInArrow(_signatures(shingle, m), "id long, k long, n long, c long, c2 long, subs array<bigint>, odd array<bigint>"))
+    classes = stored(signed.where("n > 0").groupBy("c", "c2").agg(F.min(F.struct("id", "k")).alias("r"), F.min("id").alias("least_id"), F.first("n").alias("n"), F.first("subs").alias("subs"), F.first("odd").alias("odd")).select("c", "c2", "r.id", "r.k", "least_id", "n", "subs", "odd"))
     single = classes.select("c", F.posexplode("subs").alias("place", "sub"))
     common = stored(single.groupBy("place", "sub").agg(F.count("*").alias("often")).where("often > 1"))
     central = single.join(common, ["place", "sub"]).groupBy("c").agg(F.sum("often").alias("common"))
     pair_keys = F.flatten(F.transform(F.slice("subs", 1, m), lambda x: F.transform(F.slice("subs", m + 1, m), lambda y: F.xxhash64(x, y))))
     keyed = stored(classes.join(central, "c").select("c", "common", F.explode(pair_keys).alias("key")))
     shared = stored(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key"))
-    cells, light = keyed.join(shared, "key"), classes.select("c", "n", "subs")
+    cells, light = keyed.join(shared, "key"), classes.select("c", "n", "subs", "odd")
     tried, links, comps = None, None, None
     for turn in range(ROUNDS):
         cells, pairs = _round(cells, comps, turn)
@@ -301,12 +320,13 @@ def _of_larger_keys(open_: DataFrame, of: DataFrame, source: DataFrame, classes:
     """Pairs (a, b) of the classes open_ in different components (of: c, component) that may be alike, by their rare shingles or the bound without those."""
     component = F.coalesce("component", "c").alias("component")
     own, common = _rare(open_.join(classes, "c").select("c", "id", "k", "n"), source, shingle, percent)
-    bound = open_.join(classes.select("c", "n", "subs"), "c").join(own, "c", "left").select("c", "n", "subs", (F.col("n") - F.coalesce("own", F.lit(0))).alias("most"))
+    bound = open_.join(light, "c").join(own, "c", "left").select("c", "n", "subs", "odd", (F.col("n") - F.coalesce("own", F.lit(0))).alias("most"))
     able = stored(bound.where(f"100 * most >= {percent} * n").join(of, "c", "left").withColumn("component", component))
-    each = stored(able.select("c", "n", "most", "component", "subs", F.posexplode(F.slice("subs", 1, m)).alias("place", "sub")))
+    each = stored(able.select("c", "n", "most", "component", "subs", "odd", F.posexplode(F.slice("subs", 1, m)).alias("place", "sub")))
     # classes that share a table key share a sub-key of the first collection, and those are fewer
     meet = F.least("l.most", "r.most")
-    fits = F.lit(100) * meet >= F.lit(percent) * (F.col("l.n") + F.col("r.n") - meet)
+    sizes = F.col("l.n") + F.col("r.n")
+    fits = (F.lit(100) * meet >= F.lit(percent) * (sizes - meet)) & _near("l.odd", "r.odd", sizes, percent)
     alike = (_equal("l.subs", "r.subs") >= need) & (_first_equal("l.subs", "r.subs") == F.col("l.place"))
     met = each.alias("l").join(each.alias("r"), (F.col("l.place") == F.col("r.place")) & (F.col("l.sub") == F.col("r.sub")) & (F.col("l.component") < F.col("r.component")) & fits & alike).select(F.least("l.c", "r.c").alias("a"), F.greatest("l.c", "r.c").alias("b"))
     apart = common.join(of.toDF("a", "ca"), "a", "left").join(of.toDF("b", "cb"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
