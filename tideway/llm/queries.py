@@ -1,4 +1,4 @@
-"""The queries op1 to op10 over their whole tables, and the SQL of those that SQL can express."""
+"""The queries op1 to op13 over their whole tables, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontamination, minhash, pii, quality_model, quality_rules, substring_dedup, toxicity, url_filter
+from . import bpe, chat, decontamination, minhash, pii, quality_model, quality_rules, substring_dedup, token_counts, toxicity, url_filter, vector_codes
 from .frames import table
 from .labelled import fold
 
@@ -79,6 +79,18 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("conv_id", F.size("turns").cast("long").alias("n_turns"), digest(turns).alias("turns_sha256"), F.char_length(loss).cast("long").alias("loss_chars"), digest(loss).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, books = vector_codes.compress(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"), parts=4, entries=256, rounds=4)
+    return found.select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(books.sha256() if books else "").alias("codebooks_sha256"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    found = token_counts.count_tokens(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
+    return found.withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_pii": op2_pii,
@@ -90,11 +102,35 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_decontamination": op9_decontamination,
     "op10_chat": op10_chat,
+    "op11_vector_codes": op11_vector_codes,
+    "op13_token_counts": op13_token_counts,
 }
 
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
+
+def _op11_sql(rounds: int = 4) -> str:
+    """Components as rows: v (row, part, position, value), and the codebook of each round."""
+    usable = "embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0"
+    out = [
+        f"""WITH kept AS (SELECT row_number() OVER (ORDER BY vec_id, embedding) - 1 AS r, vec_id, label, embedding, len(embedding) AS w FROM embeddings WHERE {usable}),
+v AS MATERIALIZED (SELECT r, i // (w // 4) AS part, i % (w // 4) AS pos, CAST(floor(1024 * CAST(embedding[i + 1] AS DOUBLE)) AS BIGINT) AS x FROM (SELECT *, unnest(range(w)) AS i FROM kept)),
+b0 AS MATERIALIZED (SELECT part, r AS e, pos, x FROM v WHERE r < 256)"""
+    ]
+    for i in range(rounds + 1):
+        out.append(f"""d{i} AS MATERIALIZED (SELECT r, part, e, CAST(sum((v.x - b.x) * (v.x - b.x)) AS BIGINT) AS d FROM v JOIN b{i} b USING (part, pos) GROUP BY r, part, e),
+a{i} AS MATERIALIZED (SELECT r, part, arg_min(e, (d, e)) AS e, min(d) AS d FROM d{i} GROUP BY r, part)""")
+        if i < rounds:
+            out.append(f"""s{i} AS (SELECT part, e, pos, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM v JOIN a{i} USING (r, part) GROUP BY part, e, pos),
+b{i + 1} AS MATERIALIZED (SELECT part, e, pos, CASE WHEN n IS NULL THEN x ELSE (s - ((s % n) + n) % n) // n END AS x FROM b{i} LEFT JOIN s{i} USING (part, e, pos))""")
+    out.append(f"""c AS (SELECT r, string_agg(printf('%02x', e), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY r),
+h AS (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, e, pos)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM kept JOIN c USING (r) CROSS JOIN h""")
+    return ",\n".join(out)
+
+
 SQL: dict[str, str] = {
+    "op11_vector_codes": _op11_sql(),
     "op4_url_filter": f"""
 WITH rules(h, p, v) AS (VALUES {_RULES_SQL}),
 u AS (
