@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontamination, minhash, pii, quality_model, quality_rules, substring_dedup, token_counts, toxicity, url_filter, vector_codes
+from . import bpe, chat, decontamination, minhash, pii, prefix_trie, quality_model, quality_rules, substring_dedup, token_counts, toxicity, url_filter, vector_codes
 from .frames import table
 from .labelled import fold
 
@@ -84,6 +84,11 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(books.sha256() if books else "").alias("codebooks_sha256"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = prefix_trie.rebuilt(prefix_trie.sequences(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")), family=100, heads=6)
+    return prefix_trie.trie(convs).select(*prefix_trie.COLUMNS)
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -103,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_chat": op10_chat,
     "op11_vector_codes": op11_vector_codes,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_token_counts": op13_token_counts,
 }
 
@@ -131,6 +137,26 @@ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT)
 
 SQL: dict[str, str] = {
     "op11_vector_codes": _op11_sql(),
+    "op12_prefix_trie": """
+WITH t AS (
+  SELECT conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn IS NOT NULL, turn, coalesce(role, ''), substr(sha256(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))), 1, 32)) AS own
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+),
+h AS (
+  SELECT conv_id, own, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: list_concat([CAST(ascii(c) AS BIGINT)], [CAST(0 AS BIGINT) for i in range(7)])))),
+    lambda a, x: xor(xor(a, x) >> 1, CASE WHEN xor(a, x) % 2 = 1 THEN 3988292384 ELSE 0 END)), 4294967295) % 6 AS h
+  FROM t
+),
+c AS (SELECT h.conv_id, list_concat(coalesce(b.own[1:h.h], []), h.own[h.h + 1:]) AS path FROM h LEFT JOIN t b ON b.conv_id = h.conv_id - h.conv_id % 100),
+p AS (SELECT conv_id, CAST(d AS BIGINT) AS depth, path[1:d] AS key, len(path) AS n FROM (SELECT *, unnest(range(len(path) + 1)) AS d FROM c)),
+g AS (SELECT key, depth, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = depth), '') AS ends FROM p GROUP BY key, depth),
+m AS (SELECT *, row_number() OVER () AS id, (n_convs - 1) * CASE WHEN depth = 0 THEN 0 ELSE length(key[depth].t) END AS saved FROM g),
+e AS (SELECT m.id, u.id AS up, u.conv_id AS up_conv FROM m JOIN m u ON m.depth > 0 AND u.depth = m.depth - 1 AND u.key = m.key[1:m.depth - 1]),
+k AS (SELECT up AS id, count(*) AS n FROM e GROUP BY up),
+a AS (SELECT m.id AS top, d.id AS below FROM m JOIN m d ON d.depth >= m.depth AND d.key[1:m.depth] = m.key),
+s AS (SELECT top AS id, CAST(sum(d.saved) AS BIGINT) AS saved_tokens, count(*) FILTER (k.n IS NULL) AS n_leaves FROM a JOIN m d ON d.id = a.below LEFT JOIN k ON k.id = a.below GROUP BY top)
+SELECT m.conv_id, m.depth, e.up_conv AS parent_conv_id, m.n_convs, coalesce(k.n, 0) AS n_children, s.n_leaves, s.saved_tokens, sha256(m.ends) AS ends_sha256
+FROM m LEFT JOIN e USING (id) LEFT JOIN k USING (id) JOIN s USING (id)""",
     "op4_url_filter": f"""
 WITH rules(h, p, v) AS (VALUES {_RULES_SQL}),
 u AS (
