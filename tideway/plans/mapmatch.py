@@ -2,20 +2,28 @@
 
 The objective is stubborn * 5 * miss / 1.5 seconds for each waypoint (metres missed) plus travel time
 plus turn penalties. The choice of edges is found exactly over the candidates, by dynamic programming
-along the waypoints, so a run gives the same path every time.
+along the waypoints, so a run gives the same path every time. The graph is dealt to tiles, and a group of waypoints
+gets the tiles that its cheapest path provably stays in.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import math
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators.graph import Csr, to_csr
+from ..frames import scratch, written
+from ..functions import geo
+from ..operators import spatial
+from ..operators.graph import Csr
 
 #: km/h by road class.
 CLASS_KPH = {
@@ -23,7 +31,7 @@ CLASS_KPH = {
     "motorway_link": 30, "trunk_link": 20, "primary_link": 15, "secondary_link": 10, "tertiary_link": 9,
 }
 OTHER_KPH = 8
-MAX_MISS_M, STUBBORN, VERSION = 30.0, 0.2, "viterbi-1"
+MAX_MISS_M, STUBBORN, VERSION = 30.0, 0.2, "viterbi-2"
 
 
 def with_time(edges: DataFrame) -> DataFrame:
@@ -41,9 +49,29 @@ def _turn(p, q, r) -> float:
     return 120.0 if a >= 150 else 30 * a / 90 if a >= 30 else 0.0
 
 
-def viterbi(candidates: list[list[tuple[int, int, float]]], g: Csr, pos: np.ndarray, stubborn: float = STUBBORN, limit_s: float = 3600.0) -> tuple[list[int], float] | None:
-    """candidates of each waypoint (src, dst, miss) by node number: (path of nodes, cost), or None if nothing joins them."""
-    seconds = {}
+def prior(candidates: DataFrame) -> DataFrame:
+    """candidates (run_id, group, wp, highway, dist_m) with `prior`: an edge's share in its waypoint of class speed / (1 + metres missed)."""
+    speed = F.coalesce(F.create_map(*[F.lit(x) for kv in CLASS_KPH.items() for x in kv])[F.col("highway")], F.lit(OTHER_KPH))
+    weight = speed / (1 + F.col("dist_m"))
+    return candidates.withColumn("prior", weight / F.sum(weight).over(W.partitionBy("run_id", "group", "wp")))
+
+
+@dataclass
+class Option:
+    """A candidate edge of a waypoint, by node number, with what choosing it costs."""
+
+    src: int
+    dst: int
+    cost: float
+
+
+def viterbi(layers: list[list[Option]], g: Csr, pos: np.ndarray, best: int = 1) -> list[tuple[float, list[int], list[int]]]:
+    """The `best` cheapest choices of one option a waypoint, as (cost, chosen options, path of nodes); fewer if there are fewer.
+
+    Each option keeps its `best` cheapest ways to come there, each from an option before and its rank, so that no
+    choice comes twice. Equal costs stand in the order of options.
+    """
+    seconds: dict[tuple[int, int], float] = {}
 
     def edge(u: int, v: int) -> float:
         if (u, v) not in seconds:
@@ -52,78 +80,145 @@ def viterbi(candidates: list[list[tuple[int, int, float]]], g: Csr, pos: np.ndar
                 seconds[u, w] = min(x, seconds.get((u, w), math.inf))
         return seconds[u, v]
 
-    miss = lambda d: stubborn * 5 * d / 1.5
-    state = [(miss(d) + edge(u, v), (u, v), None) for u, v, d in candidates[0]]
-    layers = [state]
-    for options in candidates[1:]:
-        ends = {v for _, (_, v), _ in state}
-        goals = {u for u, _, _ in options}
-        ways = {e: g.dijkstra(e, set(goals), limit=limit_s) for e in ends}
-        new = []
-        for u, v, d in options:
-            best = (math.inf, None, None)
-            for i, (cost, (a, b), _) in enumerate(state):
-                if (a, b) == (u, v):
-                    best = min(best, (cost + miss(d), i, ()), key=lambda x: x[0])
-                    continue
-                dist, pred = ways[b]
-                if u not in dist:
+    # entries of an option: (cost, option before, its rank); legs: nodes between two options
+    entries = [[[(o.cost + edge(o.src, o.dst), -1, 0)] for o in layers[0]]]
+    legs: list[dict[tuple[int, int], list[int]]] = []
+    for before, now in zip(layers, layers[1:], strict=False):
+        goals = {o.src for o in now}
+        ways = {v: g.dijkstra(v, set(goals)) for v in {o.dst for o, e in zip(before, entries[-1], strict=True) if e}}
+        new, leg = [], {}
+        for j, o in enumerate(now):
+            found = []
+            for i, (p, known) in enumerate(zip(before, entries[-1], strict=True)):
+                if not known:
                     continue
-                way = g.path(pred, b, u)
-                nodes = [a, *way, v]
-                turns = sum(_turn(pos[p], pos[q], pos[r]) for p, q, r in zip(nodes, nodes[1:], nodes[2:], strict=False))
-                best = min(best, (cost + miss(d) + dist[u] + edge(u, v) + turns, i, tuple(way)), key=lambda x: x[0])
-            if best[1] is not None:
-                new.append((best[0], (u, v), best[1:]))
-        if not new:
-            return None
-        state = new
-        layers.append(state)
-    at = min(range(len(state)), key=lambda i: state[i][0])
-    total, path = state[at][0], []
-    for k in range(len(layers) - 1, -1, -1):
-        _, (u, v), back = layers[k][at]
-        if back is None:
-            path = [u, v, *path] if not path or path[0] != v else [u, *path]
-            break
-        i, way = back
-        if way == ():  # the same edge as before
-            at = i
-            continue
-        path = [*way, v, *path] if not path or path[0] != v else [*way, *path]
-        at = i
-    return path, total
-
-
-def match(groups: DataFrame, candidates: DataFrame, edges: DataFrame, nodes: DataFrame, stubborn: float = STUBBORN, max_miss_m: float = MAX_MISS_M) -> DataFrame:
-    """groups (run_id, group) and candidates (run_id, group, wp, src, dst, dist_m) to (run_id, group, match_id, waypoints_used, path, geo_path, cost).
-
-    A group with a waypoint farther than max_miss_m from every edge is dropped, as off the graph. The graph
-    is sent to the tasks if it is of MAX_SENT_EDGES edges at most, and refused beyond: cut it to the area.
-    """
-    spark = groups.sparkSession
-    g = to_csr(with_time(edges), "seconds")
-    ends = edges.select(F.col("src").alias("id")).unionAll(edges.select(F.col("dst").alias("id"))).distinct()
-    n = nodes.join(ends, "id", "left_semi").select("id", "lat", "lon").dropDuplicates(["id"]).toPandas().sort_values("id")  # at most two a checked edge
-    if not np.array_equal(n.id.to_numpy(np.int64), g.ids):
+                if (p.src, p.dst) == (o.src, o.dst):
+                    step, leg[i, j] = o.cost, []
+                else:
+                    dist, pred = ways[p.dst]
+                    if o.src not in dist:
+                        continue
+                    way = g.path(pred, p.dst, o.src)
+                    nodes = [p.src, *way, o.dst]
+                    turns = sum(_turn(pos[a], pos[b], pos[c]) for a, b, c in zip(nodes, nodes[1:], nodes[2:], strict=False))
+                    step, leg[i, j] = o.cost + dist[o.src] + edge(o.src, o.dst) + turns, [*way, o.dst]
+                found += [(cost + step, i, r) for r, (cost, _, _) in enumerate(known)]
+            new.append(heapq.nsmallest(best, found))
+        entries.append(new)
+        legs.append(leg)
+    out = []
+    for cost, at, rank in heapq.nsmallest(best, [(e[0], j, r) for j, known in enumerate(entries[-1]) for r, e in enumerate(known)]):
+        chosen = [at]
+        for layer in reversed(entries[1:]):
+            _, at, rank = layer[at][rank]
+            chosen.append(at)
+        chosen.reverse()
+        path = [layers[0][chosen[0]].src, layers[0][chosen[0]].dst]
+        for leg, i, j in zip(legs, chosen, chosen[1:], strict=False):
+            path += leg[i, j][1:] if leg[i, j] else []
+        out.append((cost, chosen, path))
+    return out
+
+
+MATCHED = "run_id string, group int, rank int, match_id string, waypoints_used array<int>, active_edges array<struct<src:long,dst:long>>, path array<long>, geo_path array<struct<lat:double,lon:double>>, cost double, halo_m double, proven boolean"
+
+
+def _place(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """src, dst, seconds (the least of parallel edges), and both places; an end without a place raises."""
+    one = with_time(edges).groupBy("src", "dst").agg(F.min("seconds").alias("seconds"))
+    at = lambda k, a: nodes.select(F.col("id").alias(k), F.col("lat").alias(f"{a}lat"), F.col("lon").alias(f"{a}lon")).dropDuplicates([k])
+    out = written(one.join(at("src", "a"), "src", "left").join(at("dst", "b"), "dst", "left"))
+    if not out.where("alat is null or alon is null or blat is null or blon is null").isEmpty():
         raise ValueError("an edge has an end without a place")
-    sent = spark.sparkContext.broadcast((g, n[["lat", "lon"]].to_numpy(float)))
-
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        g, pos = sent.value
-        by = [list(zip(w.src, w.dst, w.dist_m, strict=True)) for _, w in pdf.sort_values(["wp", "dist_m", "src", "dst"]).groupby("wp")]
-        empty = pd.DataFrame({c: pd.Series([], dtype=object) for c in ("run_id", "group", "match_id", "waypoints_used", "path", "geo_path", "cost")})
-        if any(min(d for _, _, d in w) > max_miss_m for w in by):
-            return empty
-        found = viterbi([[(g.number(int(u)), g.number(int(v)), float(d)) for u, v, d in w] for w in by], g, pos, stubborn)
-        if found is None:
-            return empty
-        ids = [int(g.ids[i]) for i in found[0]]
-        name = hashlib.sha256(f"{key}{ids}".encode()).hexdigest()
-        return pd.DataFrame({"run_id": [key[0]], "group": [key[1]], "match_id": [name], "waypoints_used": [sorted(pdf.wp.unique().tolist())], "path": [ids], "geo_path": [[{"lat": pos[i][0], "lon": pos[i][1]} for i in found[0]]], "cost": [found[1]]})
-
-    wanted = candidates.join(groups.select("run_id", "group").distinct(), ["run_id", "group"], "left_semi")
-    return wanted.groupBy("run_id", "group").applyInPandas(one, "run_id string, group int, match_id string, waypoints_used array<int>, path array<long>, geo_path array<struct<lat:double,lon:double>>, cost double")
+    return out
+
+
+def _tiles(lat: Column, lon: Column, side_m: float, max_lat: float) -> Column:
+    x, y = spatial.cells(lat, lon, side_m, max_lat)
+    return F.struct(x.alias("x"), y.alias("y"))
+
+
+def match(
+    groups: DataFrame, candidates: DataFrame, edges: DataFrame, nodes: DataFrame, stubborn: float = STUBBORN, max_miss_m: float = MAX_MISS_M,
+    best: int = 1, prior_s: float = 0.0, halo_m: float = 1000.0,
+) -> DataFrame:
+    """groups (run_id, group) and candidates (run_id, group, wp, src, dst, dist_m) to the `best` cheapest matches of each group, ranked.
+
+    The graph is dealt to tiles; a group gets the tiles around the ends of its candidate edges, at least halo_m far. A way out of
+    them and back takes at least 2 * halo_m at the fastest straight speed of any edge. If that costs more than the last of the matches
+    found, these are the matches in the whole graph; other groups are matched again with twice the halo. So results do not depend on
+    halo_m, and no task holds more of the graph than its groups need.
+
+    prior_s: seconds that an edge costs for each time that its prior share is e times less than one (0: priors do not matter); candidates
+    need `highway` then. A group with a waypoint farther than max_miss_m from every candidate is dropped, as off the graph; candidates that
+    are no edges are left out, and a waypoint without any other is not used. Groups whose candidates are not connected get no match, after
+    the halo has reached the whole graph: take the largest component first. Equal rows count once; no groups give no rows.
+    """
+    keys = ["run_id", "group"]
+    with scratch() as keep:
+        ways = _place(edges, nodes)
+        straight = geo.great_circle(F.col("alat"), F.col("alon"), F.col("blat"), F.col("blon"))
+        every = [f(F.col(f"{e}{c}")) for c in ("lat", "lon") for f in (F.min, F.max) for e in "ab"]
+        speed, *limits = ways.agg(F.max(straight / F.col("seconds")), *every).first()
+        if speed is None:  # no edges
+            return keep(groups.sparkSession.createDataFrame([], MATCHED)).drop("proven")
+        lat, lon = limits[:4], limits[4:]
+        extent = 111_320.0 * math.hypot(max(lat) - min(lat), max(lon) - min(lon)) + 1.0  # no arc is longer
+        max_lat = min(89.0, max(map(abs, lat)) + 1.0)
+        cost = F.lit(stubborn * 5 / 1.5) * F.col("dist_m")
+        wanted = candidates.join(groups.select(*keys).distinct(), keys, "left_semi")
+        if prior_s:
+            wanted = prior(wanted.distinct()).withColumn("_prior", F.lit(-prior_s) * F.log("prior"))
+            cost = cost + F.col("_prior")
+        far = wanted.groupBy(*keys, "wp").agg(F.min("dist_m").alias("d")).where(F.col("d") > max_miss_m).select(*keys).distinct()
+        options = wanted.withColumn("cost", cost).select(*keys, "wp", "src", "dst", "cost", "dist_m").distinct()
+        left = written(options.join(far, keys, "left_anti").join(ways.select("src", "dst", "alat", "alon", "blat", "blon"), ["src", "dst"]))
+        done: list[DataFrame] = []
+        while not left.isEmpty():
+            whole = halo_m >= extent
+            ends = left.select(*keys, F.explode(F.array(F.struct(F.col("alat").alias("lat"), F.col("alon").alias("lon")), F.struct(F.col("blat").alias("lat"), F.col("blon").alias("lon")))).alias("p")).distinct()
+            tile = _tiles(F.col("p.lat"), F.col("p.lon"), halo_m, max_lat)
+            around = spatial._around(ends, tile["x"], tile["y"]).select(*keys, F.col("_c.x").alias("x"), F.col("_c.y").alias("y")).distinct()
+            dealt = ways.withColumn("_t", F.explode(F.array_distinct(F.array(*[_tiles(F.col(f"{e}lat"), F.col(f"{e}lon"), halo_m, max_lat) for e in "ab"])))).select("*", "_t.x", "_t.y").drop("_t")
+            part = around.join(dealt, ["x", "y"]).select(*keys, "src", "dst", "seconds", "alat", "alon", "blat", "blon").distinct()
+            one = _matcher(best, math.inf if whole else 2 * halo_m / speed, halo_m)
+            found = written(left.drop("alat", "alon", "blat", "blon").groupBy(*keys).cogroup(part.toDF(*part.columns).groupBy(*keys)).applyInPandas(one, MATCHED))
+            done.append(found.where("proven"))
+            if whole:
+                break
+            left = written(left.join(found.where("not proven").select(*keys), keys, "left_semi"))
+            halo_m *= 2
+        out = reduce(DataFrame.unionAll, done) if done else groups.sparkSession.createDataFrame([], MATCHED)
+        return keep(out.drop("proven"))
+
+
+def _matcher(best: int, way_out_s: float, halo_m: float):
+    def one(key: tuple, options: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
+        names = [c.split()[0] for c in MATCHED.split(", ")]
+        if not len(options):
+            return pd.DataFrame(columns=names)
+        g = Csr(part.src.to_numpy(np.int64), part.dst.to_numpy(np.int64), part.seconds.to_numpy(float))
+        pos = np.zeros((len(g.ids), 2))
+        for k, e in (("src", "a"), ("dst", "b")):
+            pos[np.searchsorted(g.ids, part[k].to_numpy(np.int64))] = part[[f"{e}lat", f"{e}lon"]].to_numpy(float)
+        rows = options.sort_values(["wp", "dist_m", "src", "dst"])
+        wps = sorted(rows.wp.unique().tolist())
+        layers = [[Option(g.number(int(u)), g.number(int(v)), float(c)) for u, v, c in zip(w.src, w.dst, w.cost, strict=True)] for _, w in rows.groupby("wp")]
+        found = viterbi(layers, g, pos, best)
+        # no path that leaves the tiles is cheaper than this
+        bound = way_out_s + sum(min(o.cost for o in layer) for layer in layers)
+        all_of_them = min(best, math.prod(map(len, layers)))
+        if way_out_s < math.inf and (len(found) < all_of_them or found[-1][0] >= bound):
+            return pd.DataFrame([{**dict.fromkeys(names), "run_id": key[0], "group": key[1], "halo_m": halo_m, "proven": False}], columns=names)
+        out = []
+        for rank, (cost, chosen, path) in enumerate(found, 1):
+            active = [{"src": int(g.ids[o.src]), "dst": int(g.ids[o.dst])} for o in (layer[i] for layer, i in zip(layers, chosen, strict=True))]
+            ids = [int(g.ids[i]) for i in path]
+            name = hashlib.sha256(f"{VERSION}{key}{active}{ids}".encode()).hexdigest()
+            out.append((key[0], key[1], rank, name, wps, active, ids, [{"lat": pos[i][0], "lon": pos[i][1]} for i in path], cost, halo_m, True))
+        return pd.DataFrame(out, columns=names)
+
+    return one
 
 
 def pending(groups: DataFrame, done: DataFrame) -> DataFrame:
