@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions import geo
 from .operators import graph, grouping, joins, ordered, sampling, segments, spatial
-from .plans import metric, reach, timetable, trips
+from .plans import reach, timetable, trips
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -417,7 +417,7 @@ def last_report(spark, sf_dir):
     return _t(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by(F.struct("event_id", "event_type"), F.struct("ts", "event_id")).alias("m")).select("user_id", "m.event_id", F.col("m.event_type").alias("a"))
 
 
-# what SQL cannot say: rows are held against plain versions in the tests
+# samples by hash, and searches that SQL cannot say
 
 
 @query()
@@ -430,20 +430,11 @@ def weighted_sample_k(spark, sf_dir):
     return sampling.weighted_subset(_t(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), ["o_orderkey"], "o_totalprice", 100, 7)
 
 
-@query()
-def shortest_paths(spark, sf_dir):
-    _, edges = graph.king_grid(spark, 16, 16, 100.0)
-    pairs = _t(spark, sf_dir, "customer").select((F.col("c_custkey") % 256).alias("u"), ((F.col("c_custkey") * 7 + F.col("c_nationkey")) % 256).alias("v"))
-    return graph.shortest_paths(pairs, edges).select("u", "v", F.size("path").alias("n"), "length")
-
-
-@query()
-def broken_edges(spark, sf_dir):
-    nodes, edges = graph.king_grid(spark, 8, 8, 130.0)
-    return graph.break_long_edges(nodes, edges, 50.0)[1].select("src", "dst", "len_m")
-
-
-@query()
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem),
+r(u, node) AS (SELECT src, dst FROM e WHERE src IN (SELECT dst FROM e) UNION SELECT u, e.dst FROM r JOIN e ON e.src = r.node),
+c AS (SELECT a.u AS id, least(a.u, min(a.node)) AS component FROM r a JOIN r b ON b.u = a.node AND b.node = a.u GROUP BY a.u),
+n AS (SELECT component, count(*) AS n FROM c GROUP BY component HAVING count(*) > 1 ORDER BY n DESC, component LIMIT 1)
+SELECT id FROM c JOIN n USING (component) UNION ALL SELECT min(least(src, dst)) FROM e WHERE NOT EXISTS (SELECT * FROM n)""")
 def largest_component(spark, sf_dir):
     return graph.largest_component(_t(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")))
 
@@ -469,10 +460,3 @@ def reach_from_stops(spark, sf_dir):
 def constant_speed_timetable(spark, sf_dir):
     s = _t(spark, sf_dir, "supplier").select((F.col("s_nationkey")).cast("string").alias("route_uid"), F.lit(0).alias("direction"), F.col("s_suppkey").cast("int").alias("seq"), F.col("s_suppkey").cast("string").alias("stop_uid"), (F.col("s_acctbal") / 1e5).alias("lat"), (F.col("s_suppkey") / 1e4).alias("lon"))
     return timetable.constant_speed(s, "2018-11-05", last="08:00", spread_min=30, seed=1)
-
-
-@query()
-def metric_rounds(spark, sf_dir):
-    nodes, edges = graph.king_grid(spark, 8, 8, 50.0)
-    tr = metric.simulated_trips(nodes, edges.withColumn("secret", F.col("len_m") * 1.2), 200, "secret")
-    return metric.refine_metric(edges, tr, rounds=2, low_m=0, high_m=1e9)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.sampling import random_rows
+
 from ..functions import geo
 
 
@@ -75,3 +77,23 @@ def share_saving(pairs: DataFrame, distance: DataFrame) -> DataFrame:
 def reported_vs_graph(trips: DataFrame, paths: DataFrame, km: float = 10.0) -> DataFrame:
     """(hour, trip_id, reported_km, graph_km) of trips with a path, below the limit."""
     return trips.join(paths, ["u", "v"]).select(F.hour("ta").alias("hour"), "trip_id", (F.col("distance_m") / 1000).alias("reported_km"), (F.col("length") / 1000).alias("graph_km")).where((F.col("reported_km") < km) & (F.col("graph_km") < km))
+
+
+def straight_trajectories(trips: DataFrame, nodes: DataFrame, sample: int | None = None, seed: int = 0) -> DataFrame:
+    """trips (trip_id, u, v), nodes (id, lat, lon) to (trip_id, points, trajectories): the straight line of each trip, or of a repeatable sample of them, with their count."""
+    at = lambda k: nodes.select(F.col("id").alias(k), F.struct("lat", "lon").alias(f"_{k}"))
+    lines = trips.select("trip_id", "u", "v").join(at("u"), "u").join(at("v"), "v").select("trip_id", F.array("_u", "_v").alias("points"))
+    return _counted(lines, sample, seed)
+
+
+def graph_trajectories(trips: DataFrame, paths: DataFrame, nodes: DataFrame, sample: int | None = None, seed: int = 0) -> DataFrame:
+    """trips (trip_id, u, v), paths (u, v, path) to (trip_id, points, trajectories): the places along each trip's path. Places are joined to distinct paths, and those to trips."""
+    steps = paths.select("u", "v", F.posexplode("path").alias("i", "id")).join(nodes.select("id", "lat", "lon"), "id")
+    lines = steps.groupBy("u", "v").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "lat", "lon"))), lambda x: F.struct(x["lat"].alias("lat"), x["lon"].alias("lon"))).alias("points"))
+    return _counted(trips.select("trip_id", "u", "v").join(lines, ["u", "v"]).select("trip_id", "points"), sample, seed)
+
+
+def _counted(lines: DataFrame, sample: int | None, seed: int) -> DataFrame:
+    if sample is not None:
+        lines = random_rows(lines, ["trip_id"], sample, seed)
+    return lines.crossJoin(F.broadcast(lines.agg(F.count("*").alias("trajectories"))))  # one row
