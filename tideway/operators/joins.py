@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..frames import written
+
 
 def shapes_to_routes(routes: DataFrame, shapes: DataFrame) -> DataFrame:
     """routes (route_uid, ...) with `shapes`: the distinct shapes of the route in order of direction, at most two, empty if there are none."""
@@ -99,13 +102,65 @@ def pair_scores(df: DataFrame, key: str, group: str) -> DataFrame:
     return a.join(b, group).where(F.col("a") != F.col("b"))
 
 
-def fuzzy_top(left: DataFrame, right: DataFrame, left_name: str, right_name: str, block: str, top: int = 6) -> DataFrame:
-    """left x right of one block (a coarse equality, such as the first sign of the name), the `top` best by name similarity for each left row."""
+#: Similarities down to which candidates are looked for, one after the other, until the best are certain.
+RATIOS = (0.8, 0.6, 0.4, 0.2)
+
+
+def _signs(names: DataFrame, name: str) -> DataFrame:
+    """(name, n, sign): the characters of each name, each with how often it stood there before, so that common signs count what two names have in common."""
+    chars = F.filter(F.split(name, ""), lambda c: c != "")
+    numbered = F.transform(chars, lambda c, i: F.struct(c.alias("c"), F.size(F.filter(F.slice(chars, 1, i), lambda x: x == c)).alias("i")))
+    return names.select(name, F.size(chars).alias("n"), F.explode(numbered).alias("sign"))
+
+
+def fuzzy_top(left: DataFrame, right: DataFrame, left_name: str, right_name: str, top: int = 6) -> DataFrame:
+    """For each row of left the `top` rows of right whose names are most alike, with ratio and rank; as if all pairs had been compared.
+
+    The ratio is twice the matching characters by all characters, and no more match than both names have in common. For a ratio r that takes a share
+    r / (2 - r) of either name, so that both must share one of the rarest signs beyond that share. Candidates are joined by these signs, their lengths
+    and then their common signs are bounded, and only what is left is compared; first for a high ratio, then for lower ones, and only the
+    rows go on that do not have `top` names of at least that ratio. Names are compared once, however many rows bear them.
+
+    Equal ratios stand in the order of names and then of rows. Rows without a name are like nothing. If fewer than `top` names have a character in
+    common with one, the first of the others follow with ratio 0, as they would.
+    """
     from ..functions.text import match_ratio
 
-    pairs = left.join(right, block).withColumn("ratio", match_ratio(F.col(left_name), F.col(right_name)))
-    w = W.partitionBy(left_name).orderBy(F.desc("ratio"), right_name)
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+    ours = written(left.select(F.col(left_name).alias("a")).where("a is not null").distinct())
+    theirs = written(right.select(F.col(right_name).alias("b")).where("b is not null").distinct())
+    signs_a, signs_b = _signs(ours, "a"), _signs(theirs, "b")
+    often = signs_a.select("sign").unionAll(signs_b.select("sign")).groupBy("sign").agg(F.count("*").alias("often"))
+    rare = lambda s, name: written(s.join(often, "sign").withColumn("at", F.row_number().over(W.partitionBy(name).orderBy("often", "sign"))))
+    signs_a, signs_b = rare(signs_a, "a"), rare(signs_b, "b")
+    best, asked = W.partitionBy("a").orderBy(F.desc("ratio"), "b"), ours
+    done: list[DataFrame] = []
+    for r in (*RATIOS, 0.0):
+        share = r / (2 - r)
+        first = lambda s: s.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1)  # noqa: E731, B023
+        mine = first(signs_a.join(asked, "a", "left_semi")).select("a", "sign", F.col("n").alias("na"))
+        met = mine.join(first(signs_b).select("b", "sign", F.col("n").alias("nb")), "sign").where((F.col("nb") >= F.col("na") * share - 1e-9) & (F.col("na") >= F.col("nb") * share - 1e-9)).select("a", "b", "na", "nb").distinct()
+        common = met.join(signs_a.select("a", "sign"), "a").join(signs_b.select("b", "sign"), ["b", "sign"]).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("common"))
+        close = common.where(2 * F.col("common") >= r * (F.col("na") + F.col("nb")) - 1e-9).select("a", "b", match_ratio(F.col("a"), F.col("b")).alias("ratio"))
+        ranked = written(close.where((F.col("ratio") >= r) & (F.col("ratio") > 0)).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top))
+        if r == 0.0:
+            done.append(ranked.select("a", "b", "ratio"))
+            break
+        full = ranked.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= top).select("a")
+        done.append(ranked.join(full, "a", "left_semi").select("a", "b", "ratio"))
+        asked = written(asked.join(full, "a", "left_anti"))
+        if asked.isEmpty():
+            break
+    empty = ours.where("a = ''").crossJoin(F.broadcast(theirs.where("b = ''"))).withColumn("ratio", F.lit(1.0))  # one row at most: equal, without a sign
+    found = reduce(DataFrame.unionAll, [*done, empty])
+    # names with nothing in common: at most `top` of them are needed, and at most `top` of the first are taken by better ones
+    short = ours.join(found.groupBy("a").agg(F.count("*").alias("n")), "a", "left").where(F.coalesce("n", F.lit(0)) < top).select("a")
+    rest = short.crossJoin(F.broadcast(theirs.orderBy("b").limit(2 * top))).join(found.select("a", "b"), ["a", "b"], "left_anti").withColumn("ratio", F.lit(0.0))
+    pairs = found.unionAll(rest.withColumn("_r", F.row_number().over(W.partitionBy("a").orderBy("b"))).where(F.col("_r") <= top).drop("_r"))
+    # rows: of the best names, all that bear them, and of these the first
+    rows = left.withColumn("_copy", F.row_number().over(W.partitionBy(*left.columns).orderBy(F.lit(1))))
+    named = rows.join(pairs.withColumnRenamed("a", left_name), left_name).join(right.withColumn("b", F.col(right_name)), "b").drop("b")
+    w = W.partitionBy(*left.columns, "_copy").orderBy(F.desc("ratio"), right_name, *[c for c in right.columns if c != right_name])
+    return named.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).drop("_copy")
 
 
 def drop_equal_fields(df: DataFrame, master: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:

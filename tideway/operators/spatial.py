@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..frames import checkpointed
+from ..frames import written
 from ..functions import geo
 
 DEGREE_M = 111_000.0  # a degree of latitude is longer everywhere
@@ -46,23 +47,62 @@ def nearest_within(a: DataFrame, b: DataFrame, r_m: float, distance=geo.haversin
     return radius_join(a, b, r_m, distance).groupBy("a_id").agg(F.min(F.struct("dist_m", "b_id")).alias("m")).select("a_id", "m.b_id", "m.dist_m")
 
 
-def k_nearest(a: DataFrame, b: DataFrame, k: int = 10, start_m: float = 250.0, distance=geo.great_circle, rounds: int = 18) -> DataFrame:
-    """(a_id, b_id, dist_m, rank): exact k nearest by growing rings. A point is done when k neighbours lie within the ring's radius; the ring doubles for the others."""
-    left, r, done = a.select("a_id", "lat", "lon"), start_m, None
-    for _ in range(rounds):
-        pairs = radius_join(left, b, r, distance)
-        ranked = pairs.withColumn("rank", F.row_number().over(W.partitionBy("a_id").orderBy("dist_m", "b_id"))).where(F.col("rank") <= k)
-        ranked = checkpointed(ranked)
-        full = ranked.groupBy("a_id").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("a_id")
-        part = ranked.join(full, "a_id", "left_semi")
-        done = part if done is None else done.unionAll(part)
-        left = checkpointed(left.join(full, "a_id", "left_anti"))
-        if left.isEmpty() or r > 1e7:
-            break
-        r *= 2
-    # fewer than k points exist at all: what the widest ring found stands
-    rest = ranked.join(left.select("a_id"), "a_id", "left_semi")
-    return done.unionAll(rest)
+class _Pyramid:
+    """Grids of growing cells, each level twice as wide as the one before, over the extent of some tables (columns that end in lat and lon)."""
+
+    def __init__(self, start_m: float, *tables: DataFrame):
+        column = lambda t, end: [F.col(c) for c in t.columns if c.endswith(end)]
+        places = reduce(DataFrame.unionAll, [t.select(F.explode(F.arrays_zip(F.array(*column(t, "lat")).alias("lat"), F.array(*column(t, "lon")).alias("lon"))).alias("p")).select("p.lat", "p.lon") for t in tables])
+        south, north, west, east = (x or 0.0 for x in places.agg(F.min("lat"), F.max("lat"), F.min("lon"), F.max("lon")).first())
+        self.max_lat = min(89.0, max(abs(south), abs(north)) + 1.0)
+        top = 111_320.0 * math.hypot(north - south, east - west)  # no arc is longer
+        self.sides = [start_m]
+        while self.sides[-1] < top:
+            self.sides.append(self.sides[-1] * 2)
+        # metres of a cell's side to the farthest place in the cells around it; a degree of longitude is shorter away from the equator
+        self.reach = 2.02 * math.hypot(1, 1 / math.cos(math.radians(self.max_lat)))
+        self.up = math.ceil(math.log2(self.reach))
+
+    def cell(self, lat: Column, lon: Column, level: int) -> Column:
+        x, y = cells(lat, lon, self.sides[level], self.max_lat)
+        return F.struct(F.lit(level).alias("level"), x.alias("x"), y.alias("y"))
+
+    def levels(self, lat: Column, lon: Column) -> Column:
+        return F.explode(F.array(*[self.cell(lat, lon, i) for i in range(len(self.sides))]))
+
+    def search(self, points: DataFrame, items: DataFrame, k: int) -> DataFrame:
+        """points (p_id, lat, lon) with x, y, level and r_m: the k nearest items (lat, lon) lie within r_m, which is less than the side of the level's cells.
+
+        The cells around a point on the finest level where they hold k items bound the distance of the k-th. Where there are not k items at all, r_m
+        reaches all of them.
+        """
+        held = items.select(self.levels(F.col("lat"), F.col("lon")).alias("c")).groupBy("c.level", "c.x", "c.y").agg(F.count("*").alias("n"))
+        seen = points.select("p_id", "lat", "lon", self.levels(F.col("lat"), F.col("lon")).alias("c"))
+        around = _around(seen, F.col("c.x"), F.col("c.y")).select("p_id", F.col("c.level").alias("level"), F.col("_c.x").alias("x"), F.col("_c.y").alias("y"))
+        least = around.join(held, ["level", "x", "y"]).groupBy("p_id", "level").agg(F.sum("n").alias("n")).where(F.col("n") >= k).groupBy("p_id").agg(F.min("level").alias("l"))
+        last = len(self.sides) - 1
+        side = F.element_at(F.array(*map(F.lit, self.sides)), F.col("l") + 1)
+        out = points.join(least, "p_id", "left").withColumn("r_m", F.coalesce(F.lit(self.reach) * side, F.lit(float("inf"))))
+        out = out.withColumn("level", F.least(F.coalesce(F.col("l") + self.up, F.lit(last)), F.lit(last)))
+        at = F.element_at(F.array(*[self.cell(F.col("lat"), F.col("lon"), i) for i in range(last + 1)]), F.col("level") + 1)
+        return out.withColumn("_at", at).select("p_id", "lat", "lon", "level", "r_m", "_at.x", "_at.y")
+
+
+def k_nearest(a: DataFrame, b: DataFrame, k: int = 10, start_m: float = 250.0, distance=geo.great_circle) -> DataFrame:
+    """a (a_id, lat, lon), b (b_id, lat, lon) to (a_id, b_id, dist_m, rank): exact k nearest, ties to the smaller id.
+
+    Counts of b in a pyramid of grids bound each point's k-th distance; one join then looks within it, on the level of the point's own radius. There are
+    fewer than k only if b has fewer than k rows. start_m is the finest cell, and only a matter of speed. Places beyond 89 degrees and across the date line are not met.
+    """
+    p = a.select(F.col("a_id").alias("p_id"), "lat", "lon")
+    grid = _Pyramid(start_m, p.select("lat", "lon"), b.select("lat", "lon"))
+    near = written(grid.search(p, b, k))
+    used = [r.level for r in near.select("level").distinct().collect()]  # one a level
+    placed = b.select("b_id", F.col("lat").alias("blat"), F.col("lon").alias("blon"), F.explode(F.array(*[grid.cell(F.col("lat"), F.col("lon"), i) for i in used or [0]])).alias("c")).select("b_id", "blat", "blon", "c.level", "c.x", "c.y")
+    met = _around(near, F.col("x"), F.col("y")).select("p_id", "lat", "lon", "r_m", "level", F.col("_c.x").alias("x"), F.col("_c.y").alias("y")).join(placed, ["level", "x", "y"])
+    found = met.withColumn("dist_m", distance(F.col("lat"), F.col("lon"), F.col("blat"), F.col("blon"))).where(F.col("dist_m") <= F.col("r_m"))
+    ranked = found.select(F.col("p_id").alias("a_id"), "b_id", "dist_m").withColumn("rank", F.row_number().over(W.partitionBy("a_id").orderBy("dist_m", "b_id")))
+    return ranked.where(F.col("rank") <= k)
 
 
 def k_nearest_vectors(queries: DataFrame, base: DataFrame, k: int, id_: str = "vec_id", vector: str = "embedding", max_queries: int = 100_000) -> DataFrame:
@@ -89,35 +129,36 @@ def snap_trips(trips: DataFrame, nodes: DataFrame, tolerance_m: float = 20.0) ->
     return out
 
 
-def nearest_edges(points: DataFrame, edges: DataFrame, k: int = 10, r_m: float = 200.0, rounds: int = 8) -> DataFrame:
+def nearest_edges(points: DataFrame, edges: DataFrame, k: int = 10, r_m: float = 200.0) -> DataFrame:
     """points (p_id, lat, lon), edges (src, dst, alat, alon, blat, blon) to (p_id, src, dst, dist_m, t, rank): exact k nearest edges by distance to the segment.
 
-    An edge is put in the cells of points along it at most r apart, so an edge within r of a point has a
-    cell next to the point's; r doubles for points that have fewer than k within r.
+    As `k_nearest`: k edges that start near a point bound the distance of its k-th. An edge is put in the cells of points along it, at most a cell's
+    side apart, so that an edge within a side of a point has such a point within one and a half, and a cell of that width next to the point's. There are fewer than k only if there are
+    fewer than k edges. r_m is the finest cell, and only a matter of speed.
     """
-    left, r, done = points, r_m, None
-    for _ in range(rounds):
-        length = geo.great_circle(F.col("alat"), F.col("alon"), F.col("blat"), F.col("blon"))
-        parts = F.greatest(F.lit(1), F.ceil(length / r)).cast("int")
+    grid = _Pyramid(r_m, points.select("lat", "lon"), edges.select("alat", "alon", "blat", "blon"))
+    near = written(grid.search(points, edges.select(F.col("alat").alias("lat"), F.col("alon").alias("lon")), k).select("p_id", "lat", "lon", "r_m", "level"))
+    used = sorted(r.level for r in near.select("level").distinct().collect())  # one a level
+    length = geo.great_circle(F.col("alat"), F.col("alon"), F.col("blat"), F.col("blon"))
+    s = lambda a, o: F.struct(F.col(a).alias("lat"), F.col(o).alias("lon"))
+    found = None
+    for level in used or [0]:
+        side, reach = grid.sides[level], 1.5 * grid.sides[level]
+        parts = F.greatest(F.lit(1), F.ceil(length / side)).cast("int")
         along = edges.withColumn("_i", F.explode(F.sequence(F.lit(0), parts))).withColumn("_n", parts)
         lat, lon = (F.col(f"a{c}") + (F.col(f"b{c}") - F.col(f"a{c}")) * F.col("_i") / F.col("_n") for c in ("lat", "lon"))
-        reach = 2 * r  # within r of the edge, and r from the nearest point along it
-        x, y = cells(lat, lon, reach)
+        x, y = cells(lat, lon, reach, grid.max_lat)
         placed = along.select("src", "dst", "alat", "alon", "blat", "blon", x.alias("x"), y.alias("y")).distinct()
-        near = _around(left, *cells(F.col("lat"), F.col("lon"), reach)).select("p_id", "lat", "lon", F.col("_c.x").alias("x"), F.col("_c.y").alias("y"))
-        s = lambda a, o: F.struct(F.col(a).alias("lat"), F.col(o).alias("lon"))
-        met = near.join(placed, ["x", "y"]).dropDuplicates(["p_id", "src", "dst"]).withColumn("d", geo.segment_distance(s("lat", "lon"), s("alat", "alon"), s("blat", "blon")))
-        w = W.partitionBy("p_id").orderBy("dist_m", "src", "dst")
-        ranked = met.select("p_id", "src", "dst", "d.dist_m", "d.t").where(F.col("dist_m") <= r).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        ranked = checkpointed(ranked)
-        full = ranked.groupBy("p_id").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("p_id")
-        part = ranked.join(full, "p_id", "left_semi")
-        done = part if done is None else done.unionAll(part)
-        left = checkpointed(left.join(full, "p_id", "left_anti"))
-        if left.isEmpty():
-            return done
-        r *= 2
-    return done.unionAll(ranked.join(left.select("p_id"), "p_id", "left_semi"))
+        mine = near.where(F.col("level") == level)
+        met = _around(mine, *cells(F.col("lat"), F.col("lon"), reach, grid.max_lat)).select("p_id", "lat", "lon", "r_m", F.col("_c.x").alias("x"), F.col("_c.y").alias("y")).join(placed, ["x", "y"])
+        # a box around the edge is cheaper than its distance
+        d_lat, d_lon = F.col("r_m") / DEGREE_M, F.col("r_m") / (DEGREE_M * math.cos(math.radians(grid.max_lat)))
+        met = met.where((F.col("lat") >= F.least("alat", "blat") - d_lat) & (F.col("lat") <= F.greatest("alat", "blat") + d_lat) & (F.col("lon") >= F.least("alon", "blon") - d_lon) & (F.col("lon") <= F.greatest("alon", "blon") + d_lon))
+        part = met.dropDuplicates(["p_id", "src", "dst"]).withColumn("d", geo.segment_distance(s("lat", "lon"), s("alat", "alon"), s("blat", "blon"))).where(F.col("d.dist_m") <= F.col("r_m"))
+        part = part.select("p_id", "src", "dst", "d.dist_m", "d.t")
+        found = part if found is None else found.unionAll(part)
+    w = W.partitionBy("p_id").orderBy("dist_m", "src", "dst")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def distance_to_cloud(points: DataFrame, cloud: DataFrame, r_m: float) -> DataFrame:

@@ -65,8 +65,9 @@ class Option:
     cost: float
 
 
-def viterbi(layers: list[list[Option]], g: Csr, pos: np.ndarray, best: int = 1) -> list[tuple[float, list[int], list[int]]]:
+def viterbi(layers: list[list[Option]], g: Csr, pos: np.ndarray, best: int = 1, shortest: list[float] | None = None) -> list[tuple[float, list[int], list[int]]]:
     """The `best` cheapest choices of one option a waypoint, as (cost, chosen options, path of nodes); fewer if there are fewer.
+    `shortest` gets the least seconds of the first edge, and of each step from waypoint to waypoint.
 
     Each option keeps its `best` cheapest ways to come there, each from an option before and its rank, so that no
     choice comes twice. Equal costs stand in the order of options.
@@ -82,11 +83,14 @@ def viterbi(layers: list[list[Option]], g: Csr, pos: np.ndarray, best: int = 1)
 
     # entries of an option: (cost, option before, its rank); legs: nodes between two options
     entries = [[[(o.cost + edge(o.src, o.dst), -1, 0)] for o in layers[0]]]
+    shortest = [] if shortest is None else shortest
+    shortest.append(min(edge(o.src, o.dst) for o in layers[0]))
     legs: list[dict[tuple[int, int], list[int]]] = []
     for before, now in zip(layers, layers[1:], strict=False):
         goals = {o.src for o in now}
         ways = {v: g.dijkstra(v, set(goals)) for v in {o.dst for o, e in zip(before, entries[-1], strict=True) if e}}
         new, leg = [], {}
+        shortest.append(math.inf)
         for j, o in enumerate(now):
             found = []
             for i, (p, known) in enumerate(zip(before, entries[-1], strict=True)):
@@ -94,6 +98,7 @@ def viterbi(layers: list[list[Option]], g: Csr, pos: np.ndarray, best: int = 1)
                     continue
                 if (p.src, p.dst) == (o.src, o.dst):
                     step, leg[i, j] = o.cost, []
+                    shortest[-1] = 0.0
                 else:
                     dist, pred = ways[p.dst]
                     if o.src not in dist:
@@ -101,7 +106,9 @@ def viterbi(layers: list[list[Option]], g: Csr, pos: np.ndarray, best: int = 1)
                     way = g.path(pred, p.dst, o.src)
                     nodes = [p.src, *way, o.dst]
                     turns = sum(_turn(pos[a], pos[b], pos[c]) for a, b, c in zip(nodes, nodes[1:], nodes[2:], strict=False))
-                    step, leg[i, j] = o.cost + dist[o.src] + edge(o.src, o.dst) + turns, [*way, o.dst]
+                    ride = dist[o.src] + edge(o.src, o.dst)
+                    step, leg[i, j] = o.cost + ride + turns, [*way, o.dst]
+                    shortest[-1] = min(shortest[-1], ride)
                 found += [(cost + step, i, r) for r, (cost, _, _) in enumerate(known)]
             new.append(heapq.nsmallest(best, found))
         entries.append(new)
@@ -140,14 +147,14 @@ def _tiles(lat: Column, lon: Column, side_m: float, max_lat: float) -> Column:
 
 def match(
     groups: DataFrame, candidates: DataFrame, edges: DataFrame, nodes: DataFrame, stubborn: float = STUBBORN, max_miss_m: float = MAX_MISS_M,
-    best: int = 1, prior_s: float = 0.0, halo_m: float = 1000.0,
+    best: int = 1, prior_s: float = 0.0, halo_m: float = 500.0,
 ) -> DataFrame:
     """groups (run_id, group) and candidates (run_id, group, wp, src, dst, dist_m) to the `best` cheapest matches of each group, ranked.
 
     The graph is dealt to tiles; a group gets the tiles around the ends of its candidate edges, at least halo_m far. A way out of
-    them and back takes at least 2 * halo_m at the fastest straight speed of any edge. If that costs more than the last of the matches
-    found, these are the matches in the whole graph; other groups are matched again with twice the halo. So results do not depend on
-    halo_m, and no task holds more of the graph than its groups need.
+    them and back takes at least 2 * halo_m at the fastest straight speed of any edge. If a match with one such step, and the shortest of
+    all other steps, costs more than the last of the matches found, these are the matches in the whole graph; other groups are matched
+    again with twice the halo. So results do not depend on halo_m, and no task holds more of the graph than its groups need.
 
     prior_s: seconds that an edge costs for each time that its prior share is e times less than one (0: priors do not matter); candidates
     need `highway` then. A group with a waypoint farther than max_miss_m from every candidate is dropped, as off the graph; candidates that
@@ -204,9 +211,11 @@ def _matcher(best: int, way_out_s: float, halo_m: float):
         rows = options.sort_values(["wp", "dist_m", "src", "dst"])
         wps = sorted(rows.wp.unique().tolist())
         layers = [[Option(g.number(int(u)), g.number(int(v)), float(c)) for u, v, c in zip(w.src, w.dst, w.cost, strict=True)] for _, w in rows.groupby("wp")]
-        found = viterbi(layers, g, pos, best)
-        # no path that leaves the tiles is cheaper than this
-        bound = way_out_s + sum(min(o.cost for o in layer) for layer in layers)
+        shortest: list[float] = []
+        found = viterbi(layers, g, pos, best, shortest)
+        # no choice of which a step leaves the tiles is cheaper than this: that step takes the way out and back, each other one at least its least
+        steps = [min(s, way_out_s) for s in shortest[1:]] or [0.0]
+        bound = sum(min(o.cost for o in layer) for layer in layers) + shortest[0] + sum(steps) - max(steps) + way_out_s
         all_of_them = min(best, math.prod(map(len, layers)))
         if way_out_s < math.inf and (len(found) < all_of_them or found[-1][0] >= bound):
             return pd.DataFrame([{**dict.fromkeys(names), "run_id": key[0], "group": key[1], "halo_m": halo_m, "proven": False}], columns=names)

@@ -54,9 +54,9 @@ def search(table: DataFrame, text: str, name: str, top: int = 25) -> DataFrame:
     return table.withColumn("ratio", match_ratio(F.col(name), F.lit(text))).orderBy(F.desc("ratio"), name).limit(top)
 
 
-def match_routes(ours: DataFrame, theirs: DataFrame, block: str, top: int = 6) -> DataFrame:
-    """ours and theirs (block, name, first_stop, last_stop; theirs with prefix t_) to the pairs of most alike names, with the mean likeness of their end stops."""
-    best = joins.fuzzy_top(ours, theirs, "name", "t_name", block, top)
+def match_routes(ours: DataFrame, theirs: DataFrame, top: int = 6) -> DataFrame:
+    """ours and theirs (name, first_stop, last_stop; theirs with prefix t_) to the pairs of most alike names, with the mean likeness of their end stops."""
+    best = joins.fuzzy_top(ours, theirs, "name", "t_name", top)
     return best.withColumn("ends", (match_ratio("first_stop", "t_first_stop") + match_ratio("last_stop", "t_last_stop")) / 2)
 
 
