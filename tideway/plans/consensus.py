@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter, defaultdict
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..frames import scratch, written
 from ..functions import geo
+from ..functions.text import sequence_ratio
 from ..operators.ordered import remove_repeats_array
 
 MIN_SOURCES, MIN_WAYPOINTS, ROUNDS, REPEATS, MOST, LEAST = 12, 4, 30, 20, 48, 12
@@ -118,8 +122,6 @@ def score(cands: DataFrame, sources: DataFrame, key: str) -> DataFrame:
     kind = dict(own.dtypes)[key]
     joined = own.join(cloud, key).select(key, "cand", "dist", "turn", "pts", "cloud")
     found = joined.mapInPandas(metrics, f"{key} {kind}, cand int, dist double, turn double, covr double, miss double")
-    from pyspark.sql import Window as W
-
     scored = found.withColumn("score", fitness(F.col("covr"), F.col("miss"), F.col("dist"), F.col("turn")))
     return scored.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy("score", "cand")))
 
@@ -129,18 +131,52 @@ def consensus(cands: DataFrame, scored: DataFrame, key: str) -> DataFrame:
     return cands.join(scored.where("rank = 1").select(key, "cand", "score"), [key, "cand"])
 
 
-def main_cluster(sources: DataFrame, key: str, keep: float = 0.75) -> DataFrame:
-    """Complete-linkage clustering by sequence similarity into a quarter as many clusters as sources; the largest stays."""
-    from difflib import SequenceMatcher
+def linkage(pairs: DataFrame, key: str) -> DataFrame:
+    """pairs (key, a, b, dist) of all a < b of each key to the merges of complete linkage: (key, lo, hi, dist, round), where clusters go by their smallest member and hi is merged into lo.
+
+    In each round all pairs of clusters that are nearest to each other merge, of all keys at once. With complete linkage no later merge comes nearer, so that
+    the merges in order of distance are those of merging one nearest pair after the other (of equal distances, either may come first).
+    """
+    merges: list[DataFrame] = []
+    d = written(pairs.select(key, "a", "b", "dist"))
+    while not d.isEmpty():
+        both = d.select(key, "a", F.struct("dist", F.col("a").alias("lo"), F.col("b").alias("hi")).alias("m")).unionAll(d.select(key, "b", F.struct("dist", F.col("a").alias("lo"), F.col("b").alias("hi")).alias("m")))
+        nearest = both.groupBy(key, "a").agg(F.min("m").alias("m"))
+        mutual = written(nearest.groupBy(key, "m").agg(F.count("*").alias("n")).where("n = 2").select(key, "m.lo", "m.hi", "m.dist"))
+        merges.append(mutual.withColumn("round", F.lit(len(merges))))
+        for side in "ab":
+            new = mutual.select(key, F.col("hi").alias(side), F.col("lo").alias("_lo"))
+            d = d.join(new, [key, side], "left").withColumn(side, F.coalesce("_lo", side)).drop("_lo")
+        d = written(d.where("a <> b").groupBy(key, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("dist").alias("dist")))
+    if not merges:
+        return d.select(key, F.col("a").alias("lo"), F.col("b").alias("hi"), "dist", F.lit(0).alias("round"))
+    return reduce(DataFrame.unionAll, merges)
 
-    def one(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        paths = [list(p) for p in pdf.path]
-        n = len(paths)
-        d = np.array([[1 - SequenceMatcher(None, a, b).ratio() for b in paths] for a in paths])
-        groups = [[i] for i in range(n)]
-        while len(groups) > max(1, round((1 - keep) * n)):
-            _, i, j = min((max(d[x, y] for x in groups[i] for y in groups[j]), i, j) for i in range(len(groups)) for j in range(i + 1, len(groups)))
-            groups[i] += groups.pop(j)
-        return pdf.iloc[sorted(max(groups, key=len))]
-
-    return sources.groupBy(key).applyInPandas(one, sources.schema)
+
+def main_cluster(sources: DataFrame, key: str, keep: float = 0.75) -> DataFrame:
+    """Complete-linkage clustering of each key's paths by sequence similarity, into a quarter as many clusters as sources; the rows of the largest stay (of equal ones, that of the first row).
+
+    All pairs within a key are compared, so keys should have few sources, as `qualified` leaves them. Two paths are as far apart as the less
+    similar of both ways to compare them. Rows with a null key or path are left out.
+    """
+    w = W.partitionBy(key)
+    with scratch() as hold:
+        rows = sources.where(F.col(key).isNotNull() & F.col("path").isNotNull())
+        rows = written(rows.withColumn("_id", F.row_number().over(w.orderBy(F.to_json(F.struct(*sources.columns))))).withColumn("_n", F.count("*").over(w)))
+        side = lambda i: rows.select(key, F.col("_id").alias(i), F.col("path").alias(f"p{i}"))
+        pairs = side("a").join(side("b"), key).where("a < b").withColumn("dist", 1 - F.least(sequence_ratio("pa", "pb"), sequence_ratio("pb", "pa")))
+        merges = linkage(pairs, key)
+        wanted = rows.select(key, "_n").distinct()
+        order = F.row_number().over(w.orderBy("dist", "round", "lo", "hi"))
+        made = merges.withColumn("_at", order).join(wanted, key).where(F.col("_at") <= F.col("_n") - F.greatest(F.lit(1), F.bround((1 - keep) * F.col("_n"))))
+        up = rows.select(key, "_id").join(made.select(key, F.col("hi").alias("_id"), "lo"), [key, "_id"], "left").select(key, "_id", F.coalesce("lo", "_id").alias("top"))
+        while True:  # twice as far up in each round
+            up = written(up)
+            ahead = up.select(key, F.col("_id").alias("top"), F.col("top").alias("_up"))
+            moved = up.join(ahead, [key, "top"])
+            if moved.where("_up <> top").isEmpty():
+                break
+            up = moved.select(key, "_id", F.col("_up").alias("top"))
+        size = up.groupBy(key, "top").agg(F.count("*").alias("n"))
+        best = size.groupBy(key).agg(F.max_by("top", F.struct("n", -F.col("top"))).alias("top"))
+        return hold(rows.join(up.join(best, [key, "top"]).select(key, "_id"), [key, "_id"]).select(*sources.columns))
