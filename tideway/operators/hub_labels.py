@@ -71,14 +71,13 @@ def solve_cell(pdf: pd.DataFrame) -> pd.DataFrame:
     np.fill_diagonal(d, 0.0)
     changed = True
     while changed:  # paths of up to twice as many arcs each time
-        changed, before = False, d.copy()
+        changed, before, back = False, d.copy(), d.T.copy()
         for i in range(n):
-            sums = before[i][:, None] + before
-            at = sums.argmin(axis=0)
-            new = sums[at, np.arange(n)]
+            sums = before[i] + back  # a row for each end, its sums over the nodes between
+            new = sums.min(axis=1)
             better = new < d[i]
             if better.any():
-                d[i, better], mid[i, better], changed = new[better], at[better], True
+                d[i, better], mid[i, better], changed = new[better], sums[better].argmin(axis=1), True
     # as hubs, nodes that stay come first, then those that most shortest paths go through
     finite = np.isfinite(d)
     through = np.array([np.count_nonzero((d[:, g, None] + d[None, g] <= d) & finite) for g in range(n)])
