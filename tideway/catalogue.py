@@ -434,7 +434,7 @@ def weighted_sample_k(spark, sf_dir):
 r(u, node) AS (SELECT src, dst FROM e WHERE src IN (SELECT dst FROM e) UNION SELECT u, e.dst FROM r JOIN e ON e.src = r.node),
 c AS (SELECT a.u AS id, least(a.u, min(a.node)) AS component FROM r a JOIN r b ON b.u = a.node AND b.node = a.u GROUP BY a.u),
 n AS (SELECT component, count(*) AS n FROM c GROUP BY component HAVING count(*) > 1 ORDER BY n DESC, component LIMIT 1)
-SELECT id FROM c JOIN n USING (component) UNION ALL SELECT min(least(src, dst)) FROM e WHERE NOT EXISTS (SELECT * FROM n)""")
+SELECT id FROM c JOIN n USING (component) UNION ALL SELECT min(least(src, dst)) FROM e WHERE NOT EXISTS (SELECT * FROM n) HAVING count(*) > 0""")
 def largest_component(spark, sf_dir):
     return graph.largest_component(_t(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")))
 
