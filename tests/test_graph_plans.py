@@ -53,6 +53,48 @@ def test_simple_paths(spark):
     assert got == [([0, 2], 5.0), ([0, 3, 1, 2], 3.0), ([0, 1, 2], 2.0)]
 
 
+def _all_simple(edges, u, v):
+    """All simple paths from u to v as (cost, path), by plain search."""
+    ahead, out, stack = {}, [], [(0.0, [u])]
+    for (a, b), w in edges.items():
+        ahead.setdefault(a, []).append((b, w))
+    while stack:
+        g, path = stack.pop()
+        if path[-1] == v:
+            out.append((g, path))
+            continue
+        stack += [(g + w, [*path, b]) for b, w in ahead.get(path[-1], ()) if b not in path]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("weight", [None, "cost"])
+def test_simple_paths_are_the_first_of_all(spark, weight):
+    rng = random.Random(8)
+    edges = {(a, b): (rng.choice((1.0, 1.0, 2.0, 3.5)), float(rng.randint(1, 9))) for a in range(8) for b in range(8) if a != b and rng.random() < 0.4}
+    pairs = [(0, 5), (3, 1), (6, 6), (0, 5), (7, 99), (99, 99), (None, 2), (2, 7)]
+    df = spark.createDataFrame([(a, b, w, n) for (a, b), (w, n) in edges.items()] + [(4, 4, 1.0, 1.0), (0, 1, None, None), *[(a, b, 50.0, 99.0) for a, b in list(edges)[:3] if weight]], "src long, dst long, cost double, len_m double")
+    if weight is None:
+        df = df.where("len_m is not null")
+    found = graph.simple_paths(spark.createDataFrame(pairs, "u long, v long"), df, 6, weight).collect()
+    cost = {e: w if weight else 1.0 for e, (w, _) in edges.items()}
+    for u, v in {p for p in pairs if None not in p}:
+        want = [] if 99 in (u, v) else [p for _, p in _all_simple(cost, u, v)[:6]]
+        got = sorted((r for r in found if (r.u, r.v) == (u, v)), key=lambda r: r["rank"])
+        assert sorted(r.path for r in got) == sorted(want)
+        length = {tuple(r.path): r.length for r in got}
+        assert all(x == sum(edges[e][1] for e in zip(p, p[1:], strict=False)) for p, x in length.items())
+        assert [r.length for r in got] == sorted(length.values(), reverse=True) and [r["rank"] for r in got] == list(range(1, len(got) + 1)) and all(r.hops == len(r.path) - 1 for r in got)
+
+
+def test_simple_paths_cases(spark):
+    edges = spark.createDataFrame([(1, 2, 1.0, 0.0)], "src long, dst long, len_m double, w double")
+    pairs = spark.createDataFrame([(1, 2)], "u long, v long")
+    with pytest.raises(ValueError, match="positive"):
+        graph.simple_paths(pairs, edges, 2, "w")
+    assert graph.simple_paths(pairs, edges.limit(0), 2).collect() == [] and graph.simple_paths(pairs.limit(0), edges, 2).collect() == []
+    assert [(r.path, r["rank"]) for r in graph.simple_paths(pairs, edges, 1).collect()] == [([1, 2], 1)]
+
+
 @pytest.mark.parametrize("small", [10**6, 0])
 def test_largest_component(spark, small):
     rng = random.Random(2)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..frames import checkpointed, written
+from ..frames import checkpointed, scratch, written
 from ..functions import geo
 
 #: Edges up to which a graph is sent to every task, as arrays of 16 bytes an edge (160 MB).
@@ -200,29 +200,6 @@ class Csr:
             out.append(pred[out[-1]])
         return out[::-1]
 
-    def simple_paths(self, source: int, target: int, most: int) -> list[tuple[float, list[int]]]:
-        """The `most` shortest loopless paths (Yen)."""
-        dist, pred = self.dijkstra(source, {target})
-        if target not in dist:
-            return []
-        found, spare, known = [(dist[target], self.path(pred, source, target))], [], set()
-        cost = {(u, int(v)): float(w) for u in range(len(self.ids)) for v, w in zip(self.head[self.begin[u] : self.begin[u + 1]], self.weight[self.begin[u] : self.begin[u + 1]], strict=True)}
-        while len(found) < most:
-            last = found[-1][1]
-            for i in range(len(last) - 1):
-                root = last[: i + 1]
-                cut = {(p[i], p[i + 1]) for _, p in found if p[: i + 1] == root}
-                dist, pred = self.dijkstra(root[-1], {target}, frozenset(root[:-1]), frozenset(cut))
-                if target in dist:
-                    path = root[:-1] + self.path(pred, root[-1], target)
-                    if tuple(path) not in known:
-                        known.add(tuple(path))
-                        heapq.heappush(spare, (sum(cost[e] for e in zip(path, path[1:], strict=False)), path))
-            if not spare:
-                break
-            found.append(heapq.heappop(spare))
-        return found
-
 
 def to_csr(edges: DataFrame, weight: str = "len_m") -> Csr:
     """The graph on the driver, if it has no more than MAX_SENT_EDGES edges."""
@@ -284,28 +261,89 @@ def shortest_paths(pairs: DataFrame, edges: DataFrame, weight: str = "len_m", cs
     return asked.repartition(n, "u", "part").mapInPandas(search, "u long, v long, path array<long>, length double")
 
 
+def _spur_searches(classes: DataFrame, ways: DataFrame, floor: DataFrame, far: DataFrame) -> DataFrame:
+    """The best path of each class (sid, u, v, root, at, banned, bound): from the root's last node to v, not over the root's nodes nor first to a banned one, as (sid, path, at).
+
+    All classes in the same rounds: labels (sid, node) with the path so far and its cost at each node go one edge on. A label goes if with the least that is left (`floor`: v, node, left; for other nodes `far`) it is beyond the
+    bound or the best path of its class. Of equal costs the path of the smaller ids stays.
+    """
+    known = fresh = written(classes.select("sid", F.element_at("root", -1).alias("node"), F.element_at("at", -1).alias("g"), F.col("root").alias("path"), "at"))
+    rule = written(classes.join(far, "v", "left").select("sid", "v", "banned", "bound", F.size("root").alias("rooted"), F.coalesce("far", F.lit(0.0)).alias("far")))
+    order = lambda g, path: F.struct(F.col(g).alias("g"), F.col(path).alias("path"))
+    while not fresh.isEmpty():
+        best = known.join(rule.select("sid", F.col("v").alias("node")), ["sid", "node"]).select("sid", F.col("g").alias("best"))
+        ahead = fresh.join(rule, "sid").where("node <> v").join(ways, "node").where("not array_contains(path, to) and (size(path) > rooted or not array_contains(banned, to))")
+        ahead = ahead.join(floor.withColumnRenamed("node", "to"), ["v", "to"], "left").join(best, "sid", "left")
+        ahead = ahead.withColumn("least", (F.col("g") + F.col("w") + F.coalesce("left", "far")) * (1 - 1e-9)).where("(bound is null or least <= bound) and (best is null or least <= best)")
+        ahead = ahead.select("sid", F.col("to").alias("node"), (F.col("g") + F.col("w")).alias("g"), F.concat("path", F.array("to")).alias("path"), F.concat("at", F.array(F.col("g") + F.col("w"))).alias("at"))
+        ahead = ahead.groupBy("sid", "node").agg(F.min(F.struct("g", "path", "at")).alias("m")).select("sid", "node", "m.*")
+        had = known.select("sid", "node", F.col("g").alias("g0"), F.col("path").alias("path0"))
+        fresh = written(ahead.join(had, ["sid", "node"], "left").where(F.col("g0").isNull() | (order("g", "path") < order("g0", "path0"))).drop("g0", "path0"))
+        known = written(known.join(fresh.select("sid", "node"), ["sid", "node"], "left_anti").unionAll(fresh))
+    return known.join(rule.select("sid", F.col("v").alias("node")), ["sid", "node"]).select("sid", "path", "at")
+
+
+def _left(goals: DataFrame, ways: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(v, node, left): the least cost from a node to v, up to v's farthest source; and (v, far): that cost, null if not all sources reach v. One search for all sources of a v."""
+    known = fresh = written(goals.select("v", F.col("v").alias("node"), F.lit(0.0).alias("left")).distinct())
+    into = ways.select(F.col("to").alias("node"), F.col("node").alias("from"), "w")
+    while True:
+        far = goals.join(known.select("v", F.col("node").alias("u"), "left"), ["u", "v"], "left").groupBy("v").agg(F.when(F.count("left") == F.count("*"), F.max("left")).alias("far"))
+        if fresh.isEmpty():
+            return known, far
+        ahead = fresh.join(into, "node").groupBy("v", F.col("from").alias("node")).agg(F.min(F.col("left") + F.col("w")).alias("left"))
+        ahead = ahead.join(known.withColumnRenamed("left", "had"), ["v", "node"], "left").join(far, "v").where("(had is null or left < had) and (far is null or left <= far)")
+        fresh = written(ahead.select("v", "node", "left"))
+        known = written(known.join(fresh.select("v", "node"), ["v", "node"], "left_anti").unionAll(fresh))
+
+
 def simple_paths(pairs: DataFrame, edges: DataFrame, most: int, weight: str | None = None) -> DataFrame:
-    """(u, v, path, length, hops, rank): the first `most` simple paths by hops (or by a weight), ranked by length from the longest."""
-    t = edges.select("src", "dst", F.lit(1.0).alias("one"), "len_m").toPandas() if edges.count() <= MAX_SENT_EDGES else None
-    if t is None:
-        raise ValueError("too many edges to send to the tasks")
-    spark = pairs.sparkSession
-    g = Csr(t.src.to_numpy(), t.dst.to_numpy(), (t.one if weight is None else t.len_m).to_numpy())
-    sent = spark.sparkContext.broadcast((g, {(int(a), int(b)): float(c) for a, b, c in zip(t.src, t.dst, t.len_m, strict=True)}))
+    """pairs (u, v), edges (src, dst, len_m, weight) to (u, v, path, length, hops, rank): the first `most` simple paths by hops (or by a weight), of equal ones those of the smaller ids, ranked by length from the longest.
 
-    def search(batches):
-        g, length = sent.value
-        for pdf in batches:
-            rows = []
-            for u, v in zip(pdf.u, pdf.v, strict=True):
-                s, d = g.number(u), g.number(v)
-                for _, p in g.simple_paths(s, d, most) if s >= 0 and d >= 0 else []:
-                    ids = g.ids[p].tolist()
-                    rows.append((u, v, ids, sum(length[e] for e in zip(ids, ids[1:], strict=False)), len(ids) - 1))
-            yield pd.DataFrame(rows, columns=["u", "v", "path", "length", "hops"])
-
-    found = pairs.select("u", "v").distinct().mapInPandas(search, "u long, v long, path array<long>, length double, hops int")
-    return found.withColumn("rank", F.row_number().over(W.partitionBy("u", "v").orderBy(F.desc("length"), "path")))
+    Deviations from the paths found (Yen's, each set of paths searched once): a path stands for the class of all that share its root and do not go first to a banned node. Expanded, it leaves a
+    class for each of its later nodes. Each round expands, for all pairs at once, all paths among the first `most` - 1 that are not expanded; a class holds none before its own best, so with all of them expanded
+    the first `most` are certain. Rounds are at most `most`, mostly few. Nothing goes through the driver.
+
+    Defined cases: a node on the graph has one path to itself, of length 0; no row for ends off the graph or not connected; equal pairs count once, null ends not at all; of parallel edges the best stays,
+    loops and null weights are no edges; weights that are not positive raise.
+    """
+    if most < 1:
+        raise ValueError("at least one path")
+    with scratch() as keep:
+        cost = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+        clean = edges.select(F.col("src").cast("long").alias("node"), F.col("dst").cast("long").alias("to"), cost.alias("w"), F.col("len_m").cast("double").alias("len_m")).where("node <> to and w is not null")
+        ways = written(clean.groupBy("node", "to").agg(F.min(F.struct("w", "len_m")).alias("m")).select("node", "to", "m.w", "m.len_m"))
+        if not ways.where("w <= 0").isEmpty():
+            raise ValueError("weights must be positive")
+        steps = ways.drop("len_m")
+        on_graph = ways.select(F.col("node").alias("u")).unionAll(ways.select("to")).distinct()
+        goals = written(pairs.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).where("v is not null").distinct().join(on_graph, "u", "left_semi"))
+        floor, far = _left(goals, steps)
+        far = written(far)
+        # a class of its own for each pair: everything from u
+        least = floor.select("v", F.col("node").alias("u"), (F.col("left") * (1 + 1e-9)).alias("bound"))
+        classes = goals.join(least, ["u", "v"]).select("u", "v", F.array("u").alias("root"), F.array(F.lit(0.0)).alias("at"), F.slice(F.array("u"), 1, 0).alias("banned"), "bound")
+        known = None
+        while True:
+            classes = written(classes.withColumn("sid", F.monotonically_increasing_id()))
+            found = _spur_searches(classes, steps, floor, far).join(classes.select("sid", "u", "v", "banned", F.size("root").alias("rooted")), "sid")
+            found = found.select("u", "v", "path", "at", "banned", "rooted", F.lit(False).alias("done"))
+            every = found if known is None else known.unionAll(found)
+            place = F.row_number().over(W.partitionBy("u", "v").orderBy(F.element_at("at", -1), "path"))
+            ranked = written(every.withColumn("place", place).where(F.col("place") <= most))
+            todo = ranked.where((F.col("place") < most) & ~F.col("done") & (F.size("path") > F.col("rooted")))
+            if todo.isEmpty():
+                break
+            bound = ranked.where(F.col("place") == most).select("u", "v", F.element_at("at", -1).alias("bound"))
+            spurs = todo.select("*", F.explode(F.sequence(F.col("rooted"), F.size("path") - 1)).alias("i"))
+            after = F.array(F.element_at("path", F.col("i") + 1))
+            banned = F.when(F.col("i") == F.col("rooted"), F.array_union("banned", after)).otherwise(after)
+            classes = spurs.select("u", "v", F.slice("path", 1, F.col("i")).alias("root"), F.slice("at", 1, F.col("i")).alias("at"), banned.alias("banned")).join(bound, ["u", "v"], "left")
+            known = ranked.withColumn("done", F.col("done") | (F.col("place") < most)).drop("place")
+        crossed = ranked.select("u", "v", "path", F.explode(F.arrays_zip(F.slice("path", 1, F.size("path") - 1).alias("node"), F.slice("path", 2, F.size("path")).alias("to"))).alias("e"))
+        lengths = crossed.select("u", "v", "path", "e.node", "e.to").join(ways, ["node", "to"]).groupBy("u", "v", "path").agg(F.sum("len_m").alias("length"))
+        out = ranked.join(lengths, ["u", "v", "path"], "left").select("u", "v", "path", F.coalesce("length", F.lit(0.0)).alias("length"), (F.size("path") - 1).alias("hops"))
+        return keep(out.withColumn("rank", F.row_number().over(W.partitionBy("u", "v").orderBy(F.desc("length"), "path"))))
 
 
 def line_graph(edges: DataFrame, nodes: DataFrame, turn_deg: float = 30.0) -> DataFrame:
