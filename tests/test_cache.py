@@ -24,7 +24,7 @@ def network(spark, tmp_path):
         stops = spark.read.parquet(source)
         return {"stops": stops, "names": stops.groupBy("name").agg(F.count("*").alias("n")), "none": stops.limit(0)}
 
-    return lambda **more: cache.cached(spark, str(tmp_path / "cache"), make, [source], places=("stops",), **more), calls, rows, source
+    return lambda **more: cache.cached(spark, str(tmp_path / "cache"), make, [source], places=("stops",), tile_rows=4, **more), calls, rows, source
 
 
 def test_built_once(spark, network, tmp_path):

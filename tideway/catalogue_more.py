@@ -6,15 +6,17 @@ first two components in degrees. A way is an order with the parts of its lines a
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import geo, text
+from .frames import shared_folder
+from .functions import geo, templates, text
 from .operators import graph, grouping, joins, ordered, segments, spatial
 from .plans import consensus, network, reach, trips
-from .sources import readers
+from .sources import cache, outputs, readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -457,3 +459,65 @@ def routes_with_masters(spark, sf_dir):
 def routes_without_masters(spark, sf_dir):
     s = _t(spark, sf_dir, "supplier").withColumnRenamed("s_nationkey", "n_nationkey")
     return joins.with_and_without(s, _t(spark, sf_dir, "nation").where("n_regionkey <> 0"), ["n_nationkey"])[1].select("s_suppkey")
+
+
+@query("""WITH k AS (SELECT DISTINCT event_type, user_id % 7 AS direction, user_id FROM events), n AS (SELECT event_type, direction, count(*) AS n FROM k GROUP BY 1, 2)
+SELECT event_type, direction, user_id, n, place FROM k JOIN (SELECT *, row_number() OVER (ORDER BY n DESC, event_type, direction) AS place FROM n) USING (event_type, direction)""")
+def busiest_directions(spark, sf_dir):
+    return grouping.busiest_first(_t(spark, sf_dir, "events").withColumn("direction", F.col("user_id") % 7), ["event_type", "direction"], "user_id")
+
+
+@query("SELECT s_suppkey, s_name FROM supplier")
+def slim_suppliers(spark, sf_dir):
+    """The one of the named columns that is not there is left out."""
+    return templates.slim(_t(spark, sf_dir, "supplier"), "s_suppkey", "s_title", "s_name")
+
+
+@query("SELECT l_orderkey AS id, l_linenumber AS number, CAST(l_extendedprice AS DOUBLE) AS price FROM lineitem")
+def nested_lines(spark, sf_dir):
+    """Orders with their lines as nested rows, and what a template takes of each line."""
+    line = F.struct(F.col("l_linenumber").alias("number"), F.struct(F.col("l_quantity").cast("double").alias("count"), F.col("l_extendedprice").cast("double").alias("price")).alias("size"))
+    nested = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(line).alias("lines")).select("l_orderkey", F.struct(F.col("l_orderkey").alias("id"), "lines").alias("order"))
+    found = nested.select(templates.extract(({"order": "id"}, {"order": {"lines": ("number", {"size": "price"})}}), nested.schema).alias("x"))
+    return found.select("x.id", F.inline("x.lines"))
+
+
+@query("SELECT c_custkey AS id, c_acctbal / 200 AS lat, CAST(c_custkey % 170 AS DOUBLE) AS lon FROM customer WHERE c_acctbal / 200 BETWEEN 10 AND 30 AND c_custkey % 170 BETWEEN 20 AND 90")
+def stored_box(spark, sf_dir):
+    """A box of places out of the cache of tables: made by the first call, read from its tiles by the second."""
+    make = lambda: {"places": _customers(spark, sf_dir).select(F.col("c_custkey").alias("id"), "lat", "lon")}
+    path = f"{shared_folder(spark.range(0))}/places"
+    cache.cached(spark, path, make, [f"{sf_dir}/customer.parquet"], places=["places"])
+    return cache.in_box(cache.cached(spark, path, make, [f"{sf_dir}/customer.parquet"], places=["places"]).tables["places"], 10, 30, 20, 90).select("id", "lat", "lon")
+
+
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS key, upper(s_name) AS content FROM supplier WHERE s_suppkey % 3 <> 0")
+def outputs_apart(spark, sf_dir):
+    """Names as an output that some results lack, next to one that always fails."""
+    path = f"{shared_folder(spark.range(0))}/outputs-{uuid.uuid4().hex}"
+    names = lambda df: df.select("s_suppkey", F.when(F.col("s_suppkey") % 3 != 0, F.upper("s_name")).alias("content"))
+    drawn = lambda df: df.select("s_suppkey", F.raise_error(F.lit("nothing to draw with")).cast("string").alias("content"))
+    outputs.write_outputs(_t(spark, sf_dir, "supplier"), "s_suppkey", {"drawn": drawn, "names": names}, path)
+    return outputs.outputs(spark, path, "names")
+
+
+@query("""WITH s AS (SELECT p_partkey AS id, p_size AS z FROM part)
+SELECT id, 'node_missing' AS rule FROM s WHERE z % 11 = 0 UNION ALL SELECT id, 'not_platform' FROM s WHERE z % 5 = 0 UNION ALL SELECT id, 'not_bus' FROM s WHERE z % 3 <> 1 UNION ALL SELECT id, 'no_name' FROM s WHERE z % 4 = 0""")
+def stop_rules(spark, sf_dir):
+    p = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("z"))
+    tags = F.map_from_arrays(F.array(F.lit("public_transport"), F.lit("bus"), F.lit("name")), F.array(F.when(F.col("z") % 5 == 0, "stop").otherwise("platform"), F.when(F.col("z") % 3 == 1, "yes").when(F.col("z") % 3 == 2, "no"), F.when(F.col("z") % 4 != 0, F.col("id").cast("string")).otherwise("")))
+    return network.violations(p.select("id", tags.alias("tags"), F.when(F.col("z") % 11 != 0, F.lit(1.0)).alias("lat")), network.STOP_RULES)
+
+
+@query("""WITH s AS (SELECT o_orderkey AS id, o_custkey AS z FROM orders)
+SELECT id, 'not_route' AS rule FROM s WHERE z % 7 = 0 UNION ALL SELECT id, 'not_bus' FROM s WHERE z % 3 <> 0 UNION ALL SELECT id, 'no_ref' FROM s WHERE z % 5 = 0
+UNION ALL SELECT id, 'bad_roundtrip' FROM s WHERE z % 4 = 3 UNION ALL SELECT id, 'old_scheme' FROM s WHERE z % 2 = 1 UNION ALL SELECT id, 'no_name' FROM s WHERE z % 13 = 0""")
+def route_rules(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("z"))
+    is_ = lambda n, rest, yes, no: F.when(F.col("z") % n == rest, F.lit(yes)).otherwise(F.lit(no))
+    given = {
+        "type": is_(7, 0, "site", "route"), "route": is_(3, 0, "bus", "tram"), "ref": is_(5, 0, "", "7A"),
+        "roundtrip": F.element_at(F.array(F.lit("yes"), F.lit("no"), F.lit(None), F.lit("maybe")), (F.col("z") % 4 + 1).cast("int")),
+        "public_transport:version": is_(2, 1, "1", "2"), "name": is_(13, 0, None, "ring"),
+    }
+    return network.violations(o.select("id", F.map_from_arrays(F.array(*map(F.lit, given)), F.array(*given.values())).alias("tags")), network.ROUTE_RULES)

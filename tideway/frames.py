@@ -23,6 +23,12 @@ def _folder(df: DataFrame) -> None:
         context.setCheckpointDir(found)
 
 
+def shared_folder(df: DataFrame) -> str:
+    """The checkpoint folder of this context."""
+    _folder(df)
+    return df.sparkSession.sparkContext.getCheckpointDir()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """A copy in the shared checkpoint folder."""
     _folder(df)

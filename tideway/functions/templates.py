@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,7 +13,7 @@ def extract(template: Template, schema: T.StructType) -> Column:
     """What a template names in rows of a schema, as one column.
 
     A name is a field; a dict of one name goes down into it; a tuple gives a struct of its members, a list an array of them (of one type). Below an array the rest of the template
-    is taken of each element; a name below a map is a key. Members of a tuple are called by their last name, again by number where names clash. A field that is not
+    is taken of each element; a name below a map is a key. Members of a tuple are called by the last name that leads to them, by number where names clash. A field that is not
     there, or a dict of more names, raises ValueError with the way to it; nulls on the way give null.
     """
     return _go(template, None, schema, ())[0]
@@ -63,4 +63,12 @@ def _field(name: str, at: Column | None, kind: T.DataType, way: tuple[str, ...])
 def _called(template: Template) -> str | None:
     if isinstance(template, str):
         return template
-    return _called(next(iter(template.values()))) if isinstance(template, dict) else None
+    if isinstance(template, dict):
+        name, rest = next(iter(template.items()))
+        return _called(rest) or str(name)
+    return None
+
+
+def slim(df: DataFrame, *names: str) -> DataFrame:
+    """Those of the named columns that df has, in the order of the names."""
+    return df.select(*[F.col(f"`{n.replace('`', '``')}`") for n in names if n in df.columns])

@@ -179,3 +179,14 @@ def boxes(points: DataFrame, id_: str, most: int = 5, depth: int = 24) -> DataFr
         if now.isEmpty():
             return done
     return done.unionAll(now.select(id_, "lat", "lon", "box"))
+
+
+def busiest_first(df: DataFrame, keys: Sequence[str], source: str) -> DataFrame:
+    """(*keys, source, n, place): the distinct sources of each group, with their number and the group's place, from the group of most sources; ties by the keys. Null sources do not count."""
+    from .graph import numbered
+
+    known = df.where(F.col(source).isNotNull()).select(*keys, source).distinct()
+    groups = known.groupBy(*keys).agg(F.count("*").alias("n")).withColumns({"_less": -F.col("n"), "_one": F.lit(1)})
+    placed = numbered(groups, ["_less", *keys], "_one", "_ahead").select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "n", (F.col("_ahead") + 1).cast("long").alias("place"))
+    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    return known.join(placed, on).select(*keys, source, "n", "place")

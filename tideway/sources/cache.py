@@ -19,10 +19,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..frames import scratch, written
 from ..functions import geo
 
-#: Bits of a place's code for each axis, and those of them that name its tile (1.4 by 0.7 degrees).
-BITS, TILE_BITS = 16, 8
+#: Bits of a place's code for each axis; the most of them that name its tile (1.4 by 0.7 degrees); rows of a tile, if they lay evenly on the globe.
+BITS, TILE_BITS, TILE_ROWS = 16, 8, 100_000
 
 
 @dataclass(frozen=True)
@@ -52,15 +53,19 @@ def place_code(lat: Column, lon: Column, bits: int = BITS) -> Column:
     return F.when(lat.isNotNull() & lon.isNotNull(), sum((spread(x, k) + 2 * spread(y, k) for k in range(bits)), F.lit(0).cast("long")))
 
 
-def by_place(df: DataFrame) -> DataFrame:
-    """df (lat, lon, ...) with its `tile`, dealt and sorted along the curve: a crowded tile is written by several tasks, and a file holds places near each other."""
+def by_place(df: DataFrame, bits: int) -> DataFrame:
+    """df (lat, lon, ...) with its `tile` of so many bits an axis, which the column's metadata tells, dealt and sorted along the curve: a crowded tile is written by several tasks, and a file holds places near each other."""
     code = place_code(F.col("lat"), F.col("lon"))
-    tile = F.coalesce(F.shiftright("_code", 2 * (BITS - TILE_BITS)), F.lit(-1)).alias("tile")
+    tile = F.coalesce(F.shiftright("_code", 2 * (BITS - bits)), F.lit(-1)).alias("tile", metadata={"bits": bits})
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rest = [c for c in df.columns if c != "tile"]
     return df.withColumn("_code", code).repartitionByRange(n, "_code", *rest[:1]).sortWithinPartitions("_code").select(*rest, tile)
 
 
+def tile_bits(rows: int, tile_rows: int = TILE_ROWS) -> int:
+    return max(0, min(TILE_BITS, math.ceil(math.log(max(rows, 1) / tile_rows, 4))))
+
+
 def _files(spark: SparkSession, path: str):
     """(file system, {relative name: size}) below a folder; no files if it is not there."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -91,13 +96,13 @@ def _complete(spark: SparkSession, path: str, names: dict[str, int], folder: str
     return listed if listed["files"] == _listed(names, folder) else None
 
 
-def cached(spark: SparkSession, path: str, make: Callable[[], dict[str, DataFrame]], inputs: Sequence[str], version: str = "", places: Sequence[str] = (), recompute: bool = False) -> Cached:
+def cached(spark: SparkSession, path: str, make: Callable[[], dict[str, DataFrame]], inputs: Sequence[str], version: str = "", places: Sequence[str] = (), recompute: bool = False, tile_rows: int = TILE_ROWS) -> Cached:
     """The tables that `make` gives, from the cache at path if a build of the same inputs and version is whole; else, or to recompute, they are made and stored. The tables named in `places` (with lat, lon) are stored by tile.
 
     The latest whole build counts. Builds that do not count are removed when a new one of the same fingerprint is whole, so two programs should not
     build the same at once; whole ones stay, as others may be reading them. A table without rows keeps its schema.
     """
-    name = fingerprint(spark, inputs, version)
+    name = fingerprint(spark, inputs, json.dumps([version, sorted(places), tile_rows]))
     fs, names = _files(spark, path)
     builds = sorted({n.split("/")[0] for n in names if n.startswith(f"{name}-")})
     whole = [(k["number"], b, k) for b in builds if (k := _complete(spark, path, names, b)) is not None]
@@ -106,10 +111,13 @@ def cached(spark: SparkSession, path: str, make: Callable[[], dict[str, DataFram
         folder = f"{name}-{uuid.uuid4().hex}"
         schemas = {}
         for table, df in make().items():
-            df = by_place(df) if table in places else df
-            writer = df.write.partitionBy("tile") if table in places else df.write
-            writer.parquet(f"{path}/{folder}/tables/{table}")
-            schemas[table] = df.schema.json()
+            with scratch():
+                if table in places:  # a copy first: it is counted, and sampled for its ranges
+                    df = written(df)
+                    df = by_place(df, tile_bits(df.count(), tile_rows))
+                writer = df.write.partitionBy("tile") if table in places else df.write
+                writer.parquet(f"{path}/{folder}/tables/{table}")
+                schemas[table] = df.schema.json()
         listed = {"number": 1 + max((w[0] for w in whole), default=0), "schemas": schemas, "files": _listed(_files(spark, path)[1], folder)}
         out = fs.create(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{folder}/files.json"), True)
         out.write(bytearray(json.dumps(listed).encode()))
@@ -118,19 +126,25 @@ def cached(spark: SparkSession, path: str, make: Callable[[], dict[str, DataFram
             fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{b}"), True)
     else:
         _, folder, listed = max(whole, key=lambda w: w[0])
-    read = lambda t: spark.read.schema(StructType.fromJson(json.loads(listed["schemas"][t]))).parquet(f"{path}/{folder}/tables/{t}")
+
+    def read(t: str) -> DataFrame:
+        schema = StructType.fromJson(json.loads(listed["schemas"][t]))
+        df = spark.read.schema(schema).parquet(f"{path}/{folder}/tables/{t}")
+        return df.withMetadata("tile", schema["tile"].metadata) if t in places else df  # the reader forgets what it is told of a partition's column
+
     return Cached({t: read(t) for t in listed["schemas"]}, built, f"{path}/{folder}")
 
 
 def in_box(index: DataFrame, south: float, north: float, west: float, east: float) -> DataFrame:
     """The rows of a table stored by tile in a box that does not cross the date line. Only the box's tiles are read; the bounds go to the scan too."""
-    tile = lambda c, low, width: max(0, min((1 << TILE_BITS) - 1, int((c - low) / width * (1 << TILE_BITS))))
+    bits = index.schema["tile"].metadata["bits"]
+    tile = lambda c, low, width: max(0, min((1 << bits) - 1, int((c - low) / width * (1 << bits))))
     ys = range(tile(south, -90.0, 180.0), tile(north, -90.0, 180.0) + 1)
     xs = range(tile(west, -180.0, 360.0), tile(east, -180.0, 360.0) + 1)
     out = index.where(F.col("lat").between(south, north) & F.col("lon").between(west, east))
     if len(ys) * len(xs) > 256:  # more tiles than are worth naming; the bounds still are at the scan
         return out
-    code = lambda x, y: sum(((x >> k & 1) << 2 * k) | ((y >> k & 1) << 2 * k + 1) for k in range(TILE_BITS))
+    code = lambda x, y: sum(((x >> k & 1) << 2 * k) | ((y >> k & 1) << 2 * k + 1) for k in range(bits))
     return out.where(f"tile in ({', '.join(str(code(x, y)) for y in ys for x in xs)})")
 
 
