@@ -261,8 +261,8 @@ def shortest_paths(pairs: DataFrame, edges: DataFrame, weight: str = "len_m", cs
     return asked.repartition(n, "u", "part").mapInPandas(search, "u long, v long, path array<long>, length double")
 
 
-def _spur_searches(classes: DataFrame, ways: DataFrame, floor: DataFrame, far: DataFrame) -> DataFrame:
-    """The best path of each class (sid, u, v, root, at, banned, bound): from the root's last node to v, not over the root's nodes nor first to a banned one, as (sid, path, at).
+def _spur_searches(classes: DataFrame, ways: DataFrame, floor: DataFrame, far: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The best path of each class (sid, u, v, root, at, banned, bound): from the root's last node to v, not over the root's nodes nor first to a banned one, as (sid, path, at); and (sid) of the classes that have none within the bound but may have one beyond.
 
     All classes in the same rounds: labels (sid, node) with the path so far and its cost at each node go one edge on. A label goes if with the least that is left (`floor`: v, node, left; for other nodes `far`) it is beyond the
     bound or the best path of its class. Of equal costs the path of the smaller ids stays.
@@ -270,17 +270,21 @@ def _spur_searches(classes: DataFrame, ways: DataFrame, floor: DataFrame, far: D
     known = fresh = written(classes.select("sid", F.element_at("root", -1).alias("node"), F.element_at("at", -1).alias("g"), F.col("root").alias("path"), "at"))
     rule = written(classes.join(far, "v", "left").select("sid", "v", "banned", "bound", F.size("root").alias("rooted"), F.coalesce("far", F.lit(0.0)).alias("far")))
     order = lambda g, path: F.struct(F.col(g).alias("g"), F.col(path).alias("path"))
+
+    def onward(labels: DataFrame) -> DataFrame:
+        steps = labels.join(rule, "sid").where("node <> v").join(ways, "node").where("not array_contains(path, to) and (size(path) > rooted or not array_contains(banned, to))")
+        return steps.join(floor.withColumnRenamed("node", "to"), ["v", "to"], "left").withColumn("least", (F.col("g") + F.col("w") + F.coalesce("left", "far")) * (1 - 1e-9))
+
     while not fresh.isEmpty():
         best = known.join(rule.select("sid", F.col("v").alias("node")), ["sid", "node"]).select("sid", F.col("g").alias("best"))
-        ahead = fresh.join(rule, "sid").where("node <> v").join(ways, "node").where("not array_contains(path, to) and (size(path) > rooted or not array_contains(banned, to))")
-        ahead = ahead.join(floor.withColumnRenamed("node", "to"), ["v", "to"], "left").join(best, "sid", "left")
-        ahead = ahead.withColumn("least", (F.col("g") + F.col("w") + F.coalesce("left", "far")) * (1 - 1e-9)).where("(bound is null or least <= bound) and (best is null or least <= best)")
+        ahead = onward(fresh).join(best, "sid", "left").where("least <= bound and (best is null or least <= best)")
         ahead = ahead.select("sid", F.col("to").alias("node"), (F.col("g") + F.col("w")).alias("g"), F.concat("path", F.array("to")).alias("path"), F.concat("at", F.array(F.col("g") + F.col("w"))).alias("at"))
         ahead = ahead.groupBy("sid", "node").agg(F.min(F.struct("g", "path", "at")).alias("m")).select("sid", "node", "m.*")
         had = known.select("sid", "node", F.col("g").alias("g0"), F.col("path").alias("path0"))
         fresh = written(ahead.join(had, ["sid", "node"], "left").where(F.col("g0").isNull() | (order("g", "path") < order("g0", "path0"))).drop("g0", "path0"))
         known = written(known.join(fresh.select("sid", "node"), ["sid", "node"], "left_anti").unionAll(fresh))
-    return known.join(rule.select("sid", F.col("v").alias("node")), ["sid", "node"]).select("sid", "path", "at")
+    found = written(known.join(rule.select("sid", F.col("v").alias("node")), ["sid", "node"]).select("sid", "path", "at"))
+    return found, onward(known.join(found, "sid", "left_anti")).where("least > bound").select("sid").distinct()
 
 
 def _left(goals: DataFrame, ways: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -302,7 +306,8 @@ def simple_paths(pairs: DataFrame, edges: DataFrame, most: int, weight: str | No
 
     Deviations from the paths found (Yen's, each set of paths searched once): a path stands for the class of all that share its root and do not go first to a banned node. Expanded, it leaves a
     class for each of its later nodes. Each round expands, for all pairs at once, all paths among the first `most` - 1 that are not expanded; a class holds none before its own best, so with all of them expanded
-    the first `most` are certain. Rounds are at most `most`, mostly few. Nothing goes through the driver.
+    the first `most` are certain. While a pair has fewer than `most` paths, its classes are searched up to a limit of cost, twice that of its best path at first; those with nothing within wait, and are searched
+    again, up to four times the limit, only if the pair has no other way to a path. So a class without any path is not searched over the whole graph. Nothing goes through the driver.
 
     Defined cases: a node on the graph has one path to itself, of length 0; no row for ends off the graph or not connected; equal pairs count once, null ends not at all; of parallel edges the best stays,
     loops and null weights are no edges; weights that are not positive raise.
@@ -321,24 +326,40 @@ def simple_paths(pairs: DataFrame, edges: DataFrame, most: int, weight: str | No
         floor, far = _left(goals, steps)
         far = written(far)
         # a class of its own for each pair: everything from u
-        least = floor.select("v", F.col("node").alias("u"), (F.col("left") * (1 + 1e-9)).alias("bound"))
-        classes = goals.join(least, ["u", "v"]).select("u", "v", F.array("u").alias("root"), F.array(F.lit(0.0)).alias("at"), F.slice(F.array("u"), 1, 0).alias("banned"), "bound")
-        known = None
+        least = floor.select("v", F.col("node").alias("u"), "left")
+        limits = written(goals.join(least, ["u", "v"]).select("u", "v", "left", (2 * F.col("left")).alias("limit")))
+        root = ["u", "v", "root", "at", "banned"]
+        classes = limits.select("u", "v", F.array("u").alias("root"), F.array(F.lit(0.0)).alias("at"), F.slice(F.array("u"), 1, 0).alias("banned"), (F.col("left") * (1 + 1e-9)).alias("bound"))
+        known = waiting = None
         while True:
             classes = written(classes.withColumn("sid", F.monotonically_increasing_id()))
-            found = _spur_searches(classes, steps, floor, far).join(classes.select("sid", "u", "v", "banned", F.size("root").alias("rooted")), "sid")
-            found = found.select("u", "v", "path", "at", "banned", "rooted", F.lit(False).alias("done"))
+            paths, cut = _spur_searches(classes, steps, floor, far)
+            found = paths.join(classes.select("sid", "u", "v", "banned", F.size("root").alias("rooted")), "sid").select("u", "v", "path", "at", "banned", "rooted", F.lit(False).alias("done"))
+            cut = classes.join(cut, "sid", "left_semi").select(root)
+            waiting = written(cut if waiting is None else waiting.unionAll(cut))
             every = found if known is None else known.unionAll(found)
             place = F.row_number().over(W.partitionBy("u", "v").orderBy(F.element_at("at", -1), "path"))
             ranked = written(every.withColumn("place", place).where(F.col("place") <= most))
-            todo = ranked.where((F.col("place") < most) & ~F.col("done") & (F.size("path") > F.col("rooted")))
-            if todo.isEmpty():
+            open_ = (F.col("place") < most) & ~F.col("done") & (F.size("path") > F.col("rooted"))
+            todo = ranked.where(open_)
+            # pairs that lack paths and have nothing but what waits: their limit rises
+            short = written(ranked.groupBy("u", "v").agg(F.count("*").alias("n"), F.max(open_).alias("busy")).where((F.col("n") < most) & ~F.col("busy")).join(waiting, ["u", "v"], "left_semi").select("u", "v"))
+            raised = not short.isEmpty()
+            if not raised and todo.isEmpty():
                 break
+            if raised:
+                higher = limits.join(short.withColumn("more", F.lit(4.0)), ["u", "v"], "left")
+                limits = written(higher.select("u", "v", "left", (F.col("limit") * F.coalesce("more", F.lit(1.0))).alias("limit")))
             bound = ranked.where(F.col("place") == most).select("u", "v", F.element_at("at", -1).alias("bound"))
+            bound = limits.join(bound, ["u", "v"], "left").select("u", "v", F.coalesce("bound", "limit").alias("bound"))
             spurs = todo.select("*", F.explode(F.sequence(F.col("rooted"), F.size("path") - 1)).alias("i"))
             after = F.array(F.element_at("path", F.col("i") + 1))
             banned = F.when(F.col("i") == F.col("rooted"), F.array_union("banned", after)).otherwise(after)
-            classes = spurs.select("u", "v", F.slice("path", 1, F.col("i")).alias("root"), F.slice("at", 1, F.col("i")).alias("at"), banned.alias("banned")).join(bound, ["u", "v"], "left")
+            classes = spurs.select("u", "v", F.slice("path", 1, F.col("i")).alias("root"), F.slice("at", 1, F.col("i")).alias("at"), banned.alias("banned"))
+            if raised:
+                classes = classes.unionAll(waiting.join(short, ["u", "v"], "left_semi").select(root))
+                waiting = waiting.join(short, ["u", "v"], "left_anti").select(root)
+            classes = classes.join(bound, ["u", "v"])
             known = ranked.withColumn("done", F.col("done") | (F.col("place") < most)).drop("place")
         crossed = ranked.select("u", "v", "path", F.explode(F.arrays_zip(F.slice("path", 1, F.size("path") - 1).alias("node"), F.slice("path", 2, F.size("path")).alias("to"))).alias("e"))
         lengths = crossed.select("u", "v", "path", "e.node", "e.to").join(ways, ["node", "to"]).groupBy("u", "v", "path").agg(F.sum("len_m").alias("length"))
