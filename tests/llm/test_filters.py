@@ -10,20 +10,39 @@ from tideway.llm import decontamination, pii, quality_model, quality_rules, toxi
 from tideway.llm.queries import URL_RULES
 
 
-def test_decontamination(spark):
+@pytest.mark.parametrize("sent", [10**6, 0])
+def test_decontamination(spark, monkeypatch, sent):
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", sent)
     rng = random.Random(2)
     w = lambda n: " ".join(rng.choice(["the", "of", "Ort", "über", "x1", "Äh"]) + rng.choice(["", "a", "b"]) for _ in range(n))
     items = [(i, w(rng.choice([0, 1, 3, 4, 5, 12, 13, 14, 30]))) for i in range(25)] + [(90, None), (91, "..."), (3, w(20))]
     rows = [(i, w(rng.randint(0, 60))) for i in range(40)]
     rows += [(100 + i, w(5) + " - " + (items[i][1] or "").upper() + "! " + w(rng.choice([5, 300]))) for i in range(27)]
-    rows += [(200, None), (201, ""), (1, rows[1][1]), (1, rows[1][1]), (202, items[8][1]), (203, "ñ" * 30_000 + " " + w(40))]
+    rows += [(200, None), (201, ""), (1, rows[1][1]), (1, rows[1][1]), (202, items[8][1]), (203, "ñ" * 30_000 + " " + w(40)), (None, w(9) + " " + items[8][1])]
     docs = spark.createDataFrame([(*r, 7, "k") for r in rows], "doc_id long, text string, n int, items string").repartition(3)
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = decontamination.contamination(docs, bench, keep=("doc_id", "items")).collect()
-    assert sorted((r["id"], r["n_words"], r["n_hit"], len(r["items"]), brute.sha(",".join(r["items"])), r["contaminated"]) for r in got) == sorted(brute.decontamination(rows, items))
+    key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
+    assert sorted(((r["id"], r["n_words"], r["n_hit"], len(r["items"]), brute.sha(",".join(r["items"])), r["contaminated"]) for r in got), key=key) == sorted(brute.decontamination(rows, items), key=key)
     assert {r["kept"]["items"] for r in got} == {"k"}
 
 
+def test_decontamination_shuffle_is_linear_in_the_text(spark, monkeypatch):
+    """Without a broadcast, one text four times as long makes about four times the shuffle, not sixteen times."""
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", 0)
+    rng = random.Random(4)
+    item = " ".join(f"b{rng.randint(0, 10**6)}" for _ in range(20))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    used = []
+    for n in (10_000, 40_000):
+        docs = spark.createDataFrame([(1, " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n)) + " " + item)], "doc_id long, text string")
+        before = written()
+        assert [(r.n_words, r.n_hit) for r in decontamination.contamination(docs, bench, keep=("text",)).collect()] == [(n + 20, 20)]
+        used.append(written() - before)
+    assert 0 < used[1] < 6 * used[0]
+
+
 def test_decontamination_empty(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")

@@ -5,16 +5,19 @@ shingles of five words. A document contains a window only if it contains the win
 so that one shingle is the whole prefix to join on:
 
 1. Occurrences of benchmark shingles in the documents, each with the words around it, are found in one
-   pass for all shingle sizes and stored; with them goes one row a document for its number of words. What
-   is found is named by the document's id and the hash of its text, so equal rows share it.
+   pass for all shingle sizes and stored; what is found is named by the document's id and the hash of its
+   text, so equal rows share it.
 2. Shingles are ordered by their number of occurrences in all documents (ties by hash). A window's
    prefix is its rarest shingle, with its place in the window.
 3. An occurrence of a prefix is a candidate for the windows that start there. It must leave room for the
    window on either side (positional and length bounds), and the window's words must equal the
    document's, word for word.
 
-The shingles of the benchmark are broadcast to the texts while they are at most BROADCAST_ROWS; above
-that Spark joins by a shuffle. Nothing else is broadcast by hint.
+The shingles of the benchmark are broadcast to the texts while they are at most BROADCAST_ROWS, and one row
+a document for its number of words comes in the same pass. Above that Spark joins by a shuffle, in which a
+place is four numbers and the document's id: no words and no kept columns. What it finds is gathered by
+document, at most once for each of its places, and meets the text again for the words around; the numbers
+of words have a branch of their own, without a join. Nothing else is broadcast by hint.
 
 Defined cases: null has no words; a document without words is clean; an item without words occurs
 nowhere; items with equal ids count once and null ids never; each row of docs is judged by itself, also
@@ -58,6 +61,40 @@ def benchmark_windows(items: DataFrame, window: int, item_col: str, text_col: st
     return each.groupBy("words").agg(F.collect_set("item").alias("items")).select("words", F.size("words").alias("size"), "items")
 
 
+def _places(source: DataFrame, sizes: list[int]) -> DataFrame:
+    """id, k, s, p (from 1), h of each shingle, and nothing else of the document."""
+    of_size = lambda s: F.transform(_hashes(F.col("w"), s), lambda h, i: F.struct(F.lit(s).alias("s"), (i + 1).alias("p"), h.alias("h")))
+    every = F.concat(*map(of_size, sizes))
+    # exploded as an expression: of a column Spark would infer a filter on its size and push it, with the words' expression in every lambda, below the words
+    return source.select("id", "k", F.explode(every).alias("e")).select("id", "k", "e.*")
+
+
+def _found_by_shuffle(source: DataFrame, marked: DataFrame, sizes: list[int], window: int) -> DataFrame:
+    """Occurrences of the marked shingles (h, s): id, k, n, p, h, around, s, reach."""
+    hits = _places(source, sizes).join(marked, ["s", "h"], "left_semi")
+    gathered = stored(hits.groupBy("id", "k").agg(F.collect_set(F.struct("s", "p", "h")).alias("hits"))).alias("g")
+    texts = source.select("id", "k", "w").alias("d").join(gathered, F.col("d.id").eqNullSafe(F.col("g.id")) & (F.col("d.k") == F.col("g.k")))
+    reach = lambda x: F.lit(window) - x["s"]
+    around = F.transform("g.hits", lambda x: x.withField("around", F.slice("d.w", F.greatest(F.lit(1), x["p"] - reach(x)), reach(x) * 2 + x["s"])).withField("reach", reach(x)))
+    return texts.select("d.id", "d.k", F.size("d.w").alias("n"), F.explode(around).alias("x")).select("id", "k", "n", "x.p", "x.h", "x.around", "x.s", "x.reach")
+
+
+def _found_by_broadcast(source: DataFrame, marked: DataFrame, sizes: list[int], window: int) -> DataFrame:
+    """As `_found_by_shuffle`, and a row of p = 0 with `kept` for each document."""
+    marked = F.broadcast(marked.unionAll(marked.sparkSession.range(1).select(F.lit(-1).cast("long").alias("h"), F.lit(0).alias("s"))))  # at most BROADCAST_ROWS and one
+    # place 0 is a mark, so that every document gets a row; then come the shingles of each size
+    places = source.select("id", "k", "kept", "w", F.posexplode(F.concat(F.array(F.lit(-1).cast("long")), *[_hashes(F.col("w"), s) for s in sizes])).alias("p", "h"))
+    n, before, first = F.size("w"), F.lit(0), {}
+    for s in sizes:
+        first[s] = before
+        before = before + F.greatest(F.lit(0), n - (s - 1))
+    at = F.col("p") - (F.coalesce(*[F.when(F.col("s") == s, first[s]) for s in sizes], F.lit(0)) if len(sizes) > 1 else F.lit(0))
+    reach = F.lit(window) - F.col("s")
+    hits = places.join(marked, "h").where("(s = 0) = (p = 0)").select("id", "k", F.when(F.col("p") == 0, F.col("kept")).alias("kept"), n.alias("n"), at.alias("p"), "h", "s", reach.alias("reach"), "w")
+    around = F.when(F.col("p") > 0, F.slice("w", F.greatest(F.lit(1), F.col("p") - F.col("reach")), 2 * F.col("reach") + F.col("s")))
+    return hits.select("id", "k", "kept", "n", "p", "h", around.alias("around"), "s", "reach")
+
+
 def contamination(docs: DataFrame, items: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of docs: id, n_words, n_hit, items (sorted strings), contaminated, and the columns in keep as one struct `kept`."""
     windows = stored(benchmark_windows(items, window, item_col, item_text_col))
@@ -66,23 +103,16 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, id_col: s
     every = shingled[0] if sizes else windows.select("words", "size", "items", F.lit(0).alias("offset"), F.lit(0).cast("long").alias("h"), F.lit(SHINGLE).alias("s")).limit(0)
     for more in shingled[1:]:
         every = every.unionAll(more)
-    marked = every.select("h", "s").distinct().unionAll(docs.sparkSession.range(1).select(F.lit(-1).cast("long").alias("h"), F.lit(0).alias("s")))
-    if marked.count() <= BROADCAST_ROWS:
-        marked = F.broadcast(marked)
+    marked = stored(every.select("h", "s").distinct())
     text = F.col(text_col)
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("k"), F.struct(*keep).alias("kept") if keep else F.lit(None).cast("string").alias("kept"), words_of(text).alias("w"))
-    # place 0 is a mark, so that every document gets a row; then come the shingles of each size
-    places = source.select("id", "k", "kept", "w", F.posexplode(F.concat(F.array(F.lit(-1).cast("long")), *[_hashes(F.col("w"), s) for s in sizes])).alias("p", "h"))
-    n, before, first = F.size("w"), F.lit(0), {}
-    for s in sizes:
-        first[s] = before
-        before = before + F.greatest(F.lit(0), n - (s - 1))
-    at = F.col("p") - (F.coalesce(*[F.when(F.col("s") == s, first[s]) for s in sizes], F.lit(0)) if len(sizes) > 1 else F.lit(0))
+    if sizes and marked.count() > BROADCAST_ROWS:
+        found = stored(_found_by_shuffle(source, marked, sizes, window))
+        result = source.select("id", "k", "kept", F.size("w").alias("n"))
+    else:
+        found = stored(_found_by_broadcast(source, marked, sizes, window))
+        result = found.where("p = 0").select("id", "k", "kept", "n")
     reach = F.lit(window) - F.col("s")
-    hits = places.join(marked, "h").where("(s = 0) = (p = 0)").select("id", "k", F.when(F.col("p") == 0, F.col("kept")).alias("kept"), n.alias("n"), at.alias("p"), "h", "s", reach.alias("reach"), "w")
-    around = F.when(F.col("p") > 0, F.slice("w", F.greatest(F.lit(1), F.col("p") - F.col("reach")), 2 * F.col("reach") + F.col("s")))
-    found = stored(hits.select("id", "k", "kept", "n", "p", "h", around.alias("around"), "s", "reach"))
-    result = found.where("p = 0").select("id", "k", "kept", "n")
     rarity = found.where("p > 0").groupBy("s", "h").agg(F.count("*").alias("often"))
     # a shingle that no document has gives a window that none has
     counted = every.join(rarity, ["s", "h"], "left").withColumn("often", F.coalesce("often", F.lit(0)))
