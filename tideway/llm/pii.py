@@ -5,19 +5,24 @@ with one more kind that texts hold, `secret`: a token of SECRET_CHARS or more le
 
 1. Instances are stretches of text: each base span as a whole, each run of tokens of digits and their
    punctuation, and each other token that has a digit or @; of MIN_CHARS characters at least. The one or
-   two words before an instance, outside of it, with its shape (letters a, digits 9, longer runs cut) or
-   with any shape, make its lexical patterns; they are counted with map-side combine.
+   two words before an instance, outside of it, with its shape (letters a, digits 9, longer runs cut), or
+   the two words with any shape, make its lexical patterns; they are counted with map-side combine. One
+   word with any shape is none: it would take a date after "a" for an address.
 2. Patterns and instances score each other in turn, in Spark: a pattern by the share of its occurrences
    whose instance is believed, an instance by the best pattern it occurs in, and what an instance is
    believed to be counts in all its patterns. So each round can admit patterns without any seed. All
-   patterns with support are in the graph.
+   patterns with support are in the graph whose words meet them often enough: against all occurrences of
+   the words in the corpus, whatever follows, an instance of the pattern follows in RATE of them at least.
+   So words that stand before anything are no evidence. A pattern needs two different believed instances.
 3. Patterns above CONFIDENCE mark those of their instances that no base span covers; seeds of kind
    `secret` are marked wherever they stand.
 
 Defined cases: null and empty texts have no spans; spans are code points, end exclusive; base spans stay
 as they are and an added span never overlaps one; a tie between kinds goes to the one that comes last in
 the alphabet; each row is judged by itself, repeated rows get equal results; patterns are learnt from all
-rows; an empty table gives an empty one; ids may be of any type while the patterns are sent (see `extract`).
+rows; an empty table gives an empty one; ids may be of any type that Spark can cast to string. Words that are
+named by their shape or kind (numbers, base spans, over 60 characters) have no count in the corpus, so
+patterns with them are held against their own occurrences only.
 """
 
 from __future__ import annotations
@@ -40,8 +45,14 @@ SECRET_CHARS = 20
 #: Occurrences that a pattern needs, and its score.
 SUPPORT, CONFIDENCE = 5, 0.5
 ROUNDS = 3
+#: Of the occurrences of a pattern's words, the share that an instance of the pattern follows.
+RATE = 0.1
+#: Different believed instances that a pattern needs.
+DIFFERENT = 2
 #: Patterns that are sent to every task; more are joined.
 SENT = 50_000
+#: Patterns' words that are broadcast to the texts to count them; of more, Spark joins as it sees fit.
+SENT_WORDS = 1_000_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -166,9 +177,9 @@ def is_secret(token: str) -> bool:
 
 
 def _patterns(context: str, form: str) -> list[str]:
-    """The patterns that a token occurs in, the most specific first: the context's last two words or one, each with the shape or with any (*)."""
+    """The patterns that a token occurs in, the most specific first: the context's last two words with the shape or with any (*), then the last word with the shape."""
     words = context.split(" ")
-    return [" ".join(words[-d:]) + " _ " + f for d in (2, 1) if len(words) >= d and words[-1] for f in (form, "*")]
+    return [" ".join(words[-d:]) + " _ " + f for d in (2, 1) if len(words) >= d and words[-1] for f in ((form, "*") if d == 2 else (form,))]
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,11 +197,20 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([k[i] for k, _ in rows], pa.string()) for i in range(3)] + [pa.array([n for _, n in rows], pa.int64())], names=["pattern", "instance", "kind", "n"])
 
 
-def learn_patterns(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+def _word_counts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(words, often): how often each of the wanted words or pairs of words stands anywhere, lower-cased."""
+    if wanted.count() <= SENT_WORDS:
+        wanted = F.broadcast(wanted)
+    split = texts.select(F.filter(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"), lambda w: w != "").alias("t"))
+    pairs = F.when(F.size("t") > 1, F.transform(F.sequence(F.lit(0), F.size("t") - 2), lambda i: F.concat_ws(" ", F.get("t", i), F.get("t", i + 1)))).otherwise(F.array().cast("array<string>"))
+    return split.select(F.explode(F.concat("t", pairs)).alias("words")).join(wanted, "words", "left_semi").groupBy("words").agg(F.count("*").alias("often"))
+
+
+def learn_patterns(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE, rate: float = RATE) -> DataFrame:
     """(pattern, kind, score) of the patterns above `confidence`, of at least `support` occurrences.
 
-    The graph's edges are (pattern, instance) with counts. Patterns without support are left out at
-    once; whether a pattern has seeds of its own doesn't matter.
+    The graph's edges are (pattern, instance) with counts. Patterns without support, or whose words mostly
+    stand before something else, are left out at once; whether a pattern has seeds of its own doesn't matter.
     """
     small_batches(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -200,13 +220,15 @@ def learn_patterns(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS
     # a seed is of one kind everywhere, and stays so
     seeds = stored(by_kind.groupBy("instance").agg(F.max(F.struct("n", "kind")).alias("m")).select("instance", F.col("m.kind").alias("kind"), F.lit(1.0).alias("belief")))
     edges = counted.where("pattern is not null").groupBy("pattern", "instance").agg(F.sum("n").alias("n"))
-    frequent = edges.groupBy("pattern").agg(F.sum("n").alias("total")).where(F.col("total") >= support)
+    supported = stored(edges.groupBy("pattern").agg(F.sum("n").alias("total")).where(F.col("total") >= support).withColumn("words", F.substring_index("pattern", " _ ", 1)))
+    often = _word_counts(texts, stored(supported.select("words").distinct()))
+    frequent = supported.join(often, "words", "left").where(F.col("total") >= rate * F.greatest(F.col("total"), "often")).select("pattern", "total")
     graph = stored(edges.join(frequent, "pattern"))
     others = stored(graph.join(seeds, "instance", "left_anti").select("pattern", "instance"))
 
     def strong(beliefs: DataFrame) -> DataFrame:
-        scored = graph.join(beliefs, "instance").groupBy("pattern", "kind").agg((F.sum(F.col("n") * F.col("belief")) / F.max("total")).alias("score"))
-        return scored.where(F.col("score") >= confidence)
+        scored = graph.join(beliefs, "instance").groupBy("pattern", "kind").agg((F.sum(F.col("n") * F.col("belief")) / F.max("total")).alias("score"), F.count("*").alias("different"))
+        return scored.where((F.col("score") >= confidence) & (F.col("different") >= DIFFERENT)).drop("different")
 
     beliefs = seeds
     for _ in range(rounds):
@@ -270,7 +292,7 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if kind is None:
                     rows |= {(i.as_py(), k.as_py(), p) for p in _patterns(context, form)}
         rows = list(rows)
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string())], names=["id", "k", "pattern"])
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string())], names=["id", "k", "pattern"])
 
 
 def extract(docs: DataFrame, patterns: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), with_text: bool = True, sent: int = SENT) -> DataFrame:
@@ -288,10 +310,10 @@ def extract(docs: DataFrame, patterns: DataFrame | None = None, id_col: str = "d
         rows = docs.select(kept, F.col(text_col).alias("text"), F.lit(None).cast("array<struct<pattern:string,kind:string>>").alias("patterns"))
     else:
         known = None
-        texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_key(text_col), F.lit(0)).alias("k"), F.col(text_col).alias("text"))
-        held = texts.mapInArrow(_asked, "id long, k long, pattern string").join(patterns, "pattern").groupBy("id", "k").agg(F.collect_set(F.struct("pattern", "kind")).alias("patterns")).alias("h")
+        texts = docs.select(F.col(id_col).cast("string").alias("id"), F.coalesce(text_key(text_col), F.lit(0)).alias("k"), F.col(text_col).alias("text"))
+        held = texts.mapInArrow(_asked, "id string, k long, pattern string").join(patterns, "pattern").groupBy("id", "k").agg(F.collect_set(F.struct("pattern", "kind")).alias("patterns")).alias("h")
         full = docs.select(kept, F.col(text_col).alias("text"), F.coalesce(text_key(text_col), F.lit(0)).alias("k")).alias("d")
-        joined = full.join(held, F.col(f"d.kept.{id_col}").cast("long").eqNullSafe(F.col("h.id")) & (F.col("d.k") == F.col("h.k")), "left")
+        joined = full.join(held, F.col(f"d.kept.{id_col}").cast("string").eqNullSafe(F.col("h.id")) & (F.col("d.k") == F.col("h.k")), "left")
         rows = joined.select("d.kept", "d.text", "h.patterns")
     schema = f"kept {rows.schema['kept'].dataType.simpleString()}, n_email long, n_ip long, n_card long, n_phone long, n_spans long, base_sha256 string, spans string, redacted string"
     out = rows.mapInArrow(_extract(known), schema)
