@@ -3,9 +3,11 @@
 import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import sha
 
@@ -174,3 +176,31 @@ def test_pii_query(spark, tmp_path):
     key = lambda r: (r[0] is None, r[0] or 0)
     assert sorted(got, key=key) == sorted(want, key=key)
     assert any("secret:" in s for *_, s in got) and any(n > s.count("email") for *_, n, s in got)
+
+
+def test_toxicity_fit_brings_screened_features(spark, monkeypatch):
+    """What comes to the driver has no feature that the fit cannot use, and the model is that of the whole texts."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(300):
+        words = [rng.choice(WORDS) for _ in range(rng.randint(0, 12))] + [f"once{i}x{j}" for j in range(20)] * (i % 7 > 0)
+        rows.append((i, " ".join([*words, *(["scum"] if i % 3 == 0 and words else []), *(["women", "old"] if i % 5 == 0 else [])])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "SCREEN", 30)
+    given = []
+    whole = toxicity.fit_bags
+    monkeypatch.setattr(toxicity, "fit_bags", lambda bags, y, **how: given.append(bags) or whole(bags, y, **how))
+    model = toxicity.fit(docs, labels)
+    taught = [(i, t) for i, t in rows if zlib.crc32(str(i).encode()) % FOLDS]
+    y = np.array([float(i % 3 == 0) for i, _ in taught])
+    (all_,) = toxicity._bags(iter([pa.record_batch([pa.array([t for _, t in taught]), pa.array(y.astype(int), pa.int32())], names=["text", "y"])]))
+    bags, shared = ([np.asarray(b.values, np.int64).view(np.uint64) for b in all_[c]] for c in ("bag", "shared"))
+    order = sorted(range(len(y)), key=lambda i: (y[i], len(bags[i]), bags[i][:1].tobytes()))
+    words, weights, _ = whole([bags[i] for i in order], y[order], shared=[shared[i] for i in order])
+    assert len(words) and np.array_equal(model[0], words) and np.allclose(model[1], weights, rtol=1e-9, atol=1e-12)
+    count = Counter(x for b in bags for x in b.tolist())
+    terms = set(toxicity.swap_features().tolist())
+    (came,) = given
+    assert sum(map(len, came)) < sum(map(len, bags)) / 3
+    assert all(count[x] >= toxicity.MIN_DOCS or x in terms for b in came for x in b.tolist())

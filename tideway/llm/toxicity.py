@@ -5,7 +5,8 @@ the change of the score is penalised along with the size of the weights, so that
 group does not move the score. The model is fitted on the driver, on a bounded sample of labelled rows;
 its features are words and their beginnings of PREFIXES bytes, by 64-bit hash: those in at least MIN_DOCS
 of the sample's texts, of which the SCREEN that differ most between the labels are taken, and all that
-a swap takes out or puts in. Only features with a weight go to the tasks that score whole texts.
+a swap takes out or puts in. Tasks count the sample's features, and only those that the fit can use come to
+the driver. Only features with a weight go to the tasks that score whole texts.
 
 Defined cases: null and empty texts get the score of the intercept; words count once a text; ids,
 sources, languages and labels are no inputs of a score; without labels the score is one half.
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import small_batches
+from .frames import scratch, small_batches, stored
 from .labelled import fold, training_sample
 from .words import Words, slices
 
@@ -49,6 +50,8 @@ MIN_DOCS = 3
 SCREEN = 1_500
 #: Labelled rows of each label that the model is fitted on, at most.
 ROWS_A_LABEL = 4_000
+#: What `_bags` gives.
+BAGS = "bag array<long>, y int, shared array<long>, size long, least long"
 #: Strengths of the penalties: size of weights, change of score under a swap.
 L1, SWAP = 1e-4, 1.0
 
@@ -75,12 +78,19 @@ def term_features(term: str) -> np.ndarray:
     return np.unique(_features(Words(np.frombuffer(data, np.uint8), np.array([0, len(data)]), lower=True, blank=SEPARATOR))[0])
 
 
-def _bags(batches: Iterator[pa.RecordBatch], groups=IDENTITY_GROUPS) -> Iterator[pa.RecordBatch]:
-    """Texts to the distinct hashes of their features, and those features of terms of a swap that several words of the text have."""
-    of_terms = np.unique(np.concatenate([np.zeros(0, np.uint64), *[term_features(t) for g in groups for t in g]]))
+def swap_features(groups=IDENTITY_GROUPS) -> np.ndarray:
+    """The features of all terms, sorted."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *[term_features(t) for g in groups for t in g]]))
+
+
+def _bags(batches: Iterator[pa.RecordBatch], groups=IDENTITY_GROUPS, wanted: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Texts to the distinct hashes of their features (of those in wanted, if given), those features of terms of a swap that several words of the text have, and how many features there are in all and the first of them."""
+    of_terms = swap_features(groups)
     for batch in batches:
         bags: list[np.ndarray] = []
         shared: list[np.ndarray] = []
+        size: list[int] = []
+        least: list[int | None] = []
         for _, _, data, offsets in slices(batch.column(0)):
             w = Words(data, offsets, lower=True, blank=SEPARATOR)
             values, places = _features(w)
@@ -88,13 +98,17 @@ def _bags(batches: Iterator[pa.RecordBatch], groups=IDENTITY_GROUPS) -> Iterator
             values, places = values[order], places[order]
             edges = np.searchsorted(places, w.first).tolist()
             for a, b in zip(edges[:-1], edges[1:], strict=True):
-                bags.append(np.unique(values[a:b]).view(np.int64))
+                bag = np.unique(values[a:b])
+                size.append(len(bag))
+                least.append(int(bag[:1].view(np.int64)[0]) if len(bag) else None)
+                bags.append((bag if wanted is None else bag[np.isin(bag, wanted)]).view(np.int64))
                 at = a + np.flatnonzero(np.isin(values[a:b], of_terms))
                 held = np.unique(np.stack([values[at], w.hashes[places[at]]]), axis=1)[0]
                 several, n = np.unique(held, return_counts=True)
                 shared.append(several[n > 1].view(np.int64))
         lists = pa.list_(pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(bags, lists), batch.column(1), pa.array(shared, lists)], names=["bag", "y", "shared"])
+        columns = [pa.array(bags, lists), batch.column(1), pa.array(shared, lists), pa.array(size, pa.int64()), pa.array(least, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["bag", "y", "shared", "size", "least"])
 
 
 class Sparse:
@@ -146,7 +160,8 @@ def fit_bags(bags: list[np.ndarray], y: np.ndarray, l1: float = L1, swap: float
     base = y.mean()
     differs = np.abs(positive - count * base) / np.sqrt(count * base * (1 - base))
     differs[count < MIN_DOCS] = 0
-    keep = (differs > 0) & (differs >= np.partition(differs, -min(SCREEN, len(differs)))[-min(SCREEN, len(differs))])
+    screen = min(SCREEN, len(differs))
+    keep = (differs > 0) & (differs >= (np.partition(differs, -screen)[-screen] if screen else 0))
     pairs = swaps(bags, groups, shared)
     keep |= np.isin(words, np.array(sorted({x for p in pairs for side in p for x in side}), np.uint64)) & (count >= MIN_DOCS)
     number = np.cumsum(keep) - 1
@@ -194,17 +209,39 @@ def _differences(pairs: list[tuple[list[int], list[int]]], vocabulary: np.ndarra
     return Sparse(np.array(lengths, np.int64), np.array(columns, np.int64), np.array(values), len(vocabulary))
 
 
+def _screened(sample: DataFrame, groups) -> np.ndarray:
+    """The features of sample (text, y) that `fit_bags` would screen, and perhaps a few more at the limit."""
+    n = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}  # two rows
+    if len(n) < 2:
+        return np.zeros(0, np.uint64)
+    base = n[1] / (n[0] + n[1])
+    features = sample.mapInArrow(lambda batches: _bags(batches, groups), BAGS).select(F.explode("bag").alias("feature"), "y")
+    often = features.groupBy("feature").agg(F.count("*").alias("n"), F.sum("y").alias("positive")).where(F.col("n") >= MIN_DOCS)
+    differs = F.abs(F.col("positive") - F.col("n") * base) / F.sqrt(F.col("n") * base * (1 - base))
+    scored = stored(often.select("feature", differs.alias("differs")).where("differs > 0"))
+    least = scored.orderBy(F.desc("differs")).limit(SCREEN).agg(F.min("differs")).first()[0]
+    if least is None:
+        return np.zeros(0, np.uint64)
+    found = scored.where(F.col("differs") >= least * (1 - 1e-9)).select("feature").toArrow()
+    return np.asarray(found["feature"], np.int64).view(np.uint64)
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", **how) -> tuple[np.ndarray, np.ndarray, float]:
     """The sample has as many rows of either label as there are, up to ROWS_A_LABEL; the intercept is then set right by the labels' true shares."""
     small_batches(docs.sparkSession)
     taught = labels.where(fold() != 0)
     total = {r[label]: r["count"] for r in taught.where(F.col(label).isin(0, 1)).groupBy(label).count().collect()}  # two rows
-    parts = [training_sample(docs, labels.where(F.col(label) == v), label, rows=ROWS_A_LABEL) for v in (0, 1)]
     groups = how.get("groups", IDENTITY_GROUPS)
-    rows = parts[0].unionAll(parts[1]).mapInArrow(lambda batches: _bags(batches, groups), "bag array<long>, y int, shared array<long>").toArrow()
+    parts = [training_sample(docs, labels.where(F.col(label) == v), label, rows=ROWS_A_LABEL) for v in (0, 1)]
+    with scratch():
+        sample = stored(parts[0].unionAll(parts[1]))
+        wanted = np.union1d(_screened(sample, groups), swap_features(groups))
+        rows = sample.mapInArrow(lambda batches: _bags(batches, groups, wanted), BAGS).toArrow()
     y = np.asarray(rows["y"], float)
+    size, least = rows["size"].to_pylist(), rows["least"].to_pylist()
     bags, shared = ([np.asarray(b.values, np.int64).view(np.uint64) for b in rows[c]] for c in ("bag", "shared"))
-    order = sorted(range(len(y)), key=lambda i: (y[i], len(bags[i]), bags[i][:1].tobytes()))
+    first = [b"" if x is None else x.to_bytes(8, "little", signed=True) for x in least]
+    order = sorted(range(len(y)), key=lambda i: (y[i], size[i], first[i], bags[i].tobytes()))
     words, weights, intercept = fit_bags([bags[i] for i in order], y[order], shared=[shared[i] for i in order], **how)
     if 0 < y.sum() < len(y):
         intercept += float(np.log(total[1] / total[0]) - np.log(y.sum() / (len(y) - y.sum())))
