@@ -139,3 +139,19 @@ def test_without_rows_and_off_the_graph(spark):
     assert mapmatch.match(c.select("run_id", "group"), c, two, nodes).collect() == []
     with pytest.raises(ValueError, match="without a place"):
         mapmatch.match(c.select("run_id", "group"), c, two.withColumn("dst", F.lit(10**9)), nodes)
+
+
+def test_runs_share_their_piece_of_the_graph(spark, monkeypatch):
+    """Ways between edges are searched once for all runs of a block, and results do not depend on how a block is dealt."""
+    place, nodes, edges = town(spark, 6)
+    g, pos = whole(edges, place)
+    rows = walks(edges, 5, 1)
+    layers, legs = layers_of(rows, g), mapmatch.Legs(g, pos)
+    first = mapmatch.viterbi(layers, g, pos, 3, shared=legs)
+    monkeypatch.setattr(g, "dijkstra", None)
+    assert mapmatch.viterbi(layers, g, pos, 3, shared=legs) == first
+    c = spark.createDataFrame([(f"{r[0]}-{i}", i, *r[2:]) for r in rows for i in range(7)], C)
+    for runs in (256, 2):
+        monkeypatch.setattr(mapmatch, "RUNS", runs)
+        got = mapmatch.match(c.select("run_id", "group"), c, edges, nodes, best=3, halo_m=300.0).collect()
+        assert {(r.run_id, r["rank"], round(r.cost, 9)) for r in got} == {(f"run0-{i}", k, round(x[0], 9)) for i in range(7) for k, x in enumerate(first, 1)}

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 import math
 from dataclasses import dataclass
 from functools import reduce
@@ -32,6 +33,8 @@ CLASS_KPH = {
 }
 OTHER_KPH = 8
 MAX_MISS_M, STUBBORN, VERSION = 30.0, 0.2, "viterbi-2"
+#: Groups of a block that a task takes at once.
+RUNS = 256
 
 
 def with_time(edges: DataFrame) -> DataFrame:
@@ -65,30 +68,59 @@ class Option:
     cost: float
 
 
-def viterbi(layers: list[list[Option]], g: Csr, pos: np.ndarray, best: int = 1, shortest: list[float] | None = None) -> list[tuple[float, list[int], list[int]]]:
+class Legs:
+    """Ways from edge to edge over a graph, each found once for all runs that need it, up to so many."""
+
+    def __init__(self, g: Csr, pos: np.ndarray, most: int = 200_000):
+        self.g, self.pos, self.most = g, pos, most
+        self.known: dict[tuple[int, int, int, int], tuple[float, float, list[int]] | None] = {}
+        self.seconds: dict[tuple[int, int], float] = {}
+
+    def edge(self, u: int, v: int) -> float:
+        if (u, v) not in self.seconds:
+            a, b = self.g.begin[u], self.g.begin[u + 1]
+            for w, x in zip(self.g.head[a:b].tolist(), self.g.weight[a:b].tolist(), strict=True):
+                self.seconds[u, w] = min(x, self.seconds.get((u, w), math.inf))
+        return self.seconds[u, v]
+
+    def between(self, before: list[Option], now: list[Option]) -> dict[tuple[int, int, int, int], tuple[float, float, list[int]] | None]:
+        """(seconds of the ride with the second edge, of its turns, nodes after the first edge's start) by the nodes of both edges; None if there is no way."""
+        if len(self.known) > self.most:
+            self.known.clear()
+        lacking: dict[int, list[tuple[Option, Option]]] = {}
+        for p in before:
+            for o in now:
+                if (p.src, p.dst) != (o.src, o.dst) and (p.src, p.dst, o.src, o.dst) not in self.known:
+                    lacking.setdefault(p.dst, []).append((p, o))
+        for v, both in lacking.items():
+            dist, pred = self.g.dijkstra(v, {o.src for _, o in both})
+            for p, o in both:
+                leg = None
+                if o.src in dist:
+                    way = self.g.path(pred, v, o.src)
+                    nodes = [p.src, *way, o.dst]
+                    turns = sum(_turn(self.pos[a], self.pos[b], self.pos[c]) for a, b, c in zip(nodes, nodes[1:], nodes[2:], strict=False))
+                    leg = dist[o.src] + self.edge(o.src, o.dst), turns, [*way, o.dst]
+                self.known[p.src, p.dst, o.src, o.dst] = leg
+        return self.known
+
+
+def viterbi(layers: list[list[Option]], g: Csr, pos: np.ndarray, best: int = 1, shortest: list[float] | None = None, shared: Legs | None = None) -> list[tuple[float, list[int], list[int]]]:
     """The `best` cheapest choices of one option a waypoint, as (cost, chosen options, path of nodes); fewer if there are fewer.
-    `shortest` gets the least seconds of the first edge, and of each step from waypoint to waypoint.
+    `shortest` gets the least seconds of the first edge, and of each step from waypoint to waypoint. `shared`: legs that other runs on this graph have found.
 
     Each option keeps its `best` cheapest ways to come there, each from an option before and its rank, so that no
     choice comes twice. Equal costs stand in the order of options.
     """
-    seconds: dict[tuple[int, int], float] = {}
-
-    def edge(u: int, v: int) -> float:
-        if (u, v) not in seconds:
-            a, b = g.begin[u], g.begin[u + 1]
-            for w, x in zip(g.head[a:b].tolist(), g.weight[a:b].tolist(), strict=True):
-                seconds[u, w] = min(x, seconds.get((u, w), math.inf))
-        return seconds[u, v]
-
+    shared = shared or Legs(g, pos)
+    edge = shared.edge
     # entries of an option: (cost, option before, its rank); legs: nodes between two options
     entries = [[[(o.cost + edge(o.src, o.dst), -1, 0)] for o in layers[0]]]
     shortest = [] if shortest is None else shortest
     shortest.append(min(edge(o.src, o.dst) for o in layers[0]))
     legs: list[dict[tuple[int, int], list[int]]] = []
     for before, now in zip(layers, layers[1:], strict=False):
-        goals = {o.src for o in now}
-        ways = {v: g.dijkstra(v, set(goals)) for v in {o.dst for o, e in zip(before, entries[-1], strict=True) if e}}
+        ways = shared.between([o for o, e in zip(before, entries[-1], strict=True) if e], now)
         new, leg = [], {}
         shortest.append(math.inf)
         for j, o in enumerate(now):
@@ -100,14 +132,11 @@ def viterbi(layers: list[list[Option]], g: Csr, pos: np.ndarray, best: int = 1,
                     step, leg[i, j] = o.cost, []
                     shortest[-1] = 0.0
                 else:
-                    dist, pred = ways[p.dst]
-                    if o.src not in dist:
+                    found_leg = ways[p.src, p.dst, o.src, o.dst]
+                    if found_leg is None:
                         continue
-                    way = g.path(pred, p.dst, o.src)
-                    nodes = [p.src, *way, o.dst]
-                    turns = sum(_turn(pos[a], pos[b], pos[c]) for a, b, c in zip(nodes, nodes[1:], nodes[2:], strict=False))
-                    ride = dist[o.src] + edge(o.src, o.dst)
-                    step, leg[i, j] = o.cost + ride + turns, [*way, o.dst]
+                    ride, turns, way = found_leg
+                    step, leg[i, j] = o.cost + ride + turns, way
                     shortest[-1] = min(shortest[-1], ride)
                 found += [(cost + step, i, r) for r, (cost, _, _) in enumerate(known)]
             new.append(heapq.nsmallest(best, found))
@@ -186,10 +215,15 @@ def match(
             ends = left.select(*keys, F.explode(F.array(F.struct(F.col("alat").alias("lat"), F.col("alon").alias("lon")), F.struct(F.col("blat").alias("lat"), F.col("blon").alias("lon")))).alias("p")).distinct()
             tile = _tiles(F.col("p.lat"), F.col("p.lon"), halo_m, max_lat)
             around = spatial._around(ends, tile["x"], tile["y"]).select(*keys, F.col("_c.x").alias("x"), F.col("_c.y").alias("y")).distinct()
+            # groups of the same tiles are a block, dealt by so many; each part of a block gets its piece of the graph once
+            tiles = written(around.groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct("x", "y"))).alias("tiles")).withColumn("block", F.sha2(F.to_json("tiles"), 256)))
+            blocks = written(tiles.groupBy("block").agg(F.first("tiles").alias("tiles"), F.ceil(F.count("*") / RUNS).alias("parts")))
+            own = tiles.join(blocks.select("block", "parts"), "block").select(*keys, "block", F.pmod(F.xxhash64(*keys), F.col("parts")).alias("salt"))
             dealt = ways.withColumn("_t", F.explode(F.array_distinct(F.array(*[_tiles(F.col(f"{e}lat"), F.col(f"{e}lon"), halo_m, max_lat) for e in "ab"])))).select("*", "_t.x", "_t.y").drop("_t")
-            part = around.join(dealt, ["x", "y"]).select(*keys, "src", "dst", "seconds", "alat", "alon", "blat", "blon").distinct()
+            part = blocks.select("block", "parts", F.explode("tiles").alias("t")).select("block", "parts", "t.x", "t.y").join(dealt, ["x", "y"]).select("block", "parts", "src", "dst", "seconds", "alat", "alon", "blat", "blon").distinct()
+            part = part.select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("salt"), "src", "dst", "seconds", "alat", "alon", "blat", "blon")
             one = _matcher(best, math.inf if whole else 2 * halo_m / speed, halo_m)
-            found = written(left.drop("alat", "alon", "blat", "blon").groupBy(*keys).cogroup(part.toDF(*part.columns).groupBy(*keys)).applyInPandas(one, MATCHED))
+            found = written(left.drop("alat", "alon", "blat", "blon").join(own, keys).groupBy("block", "salt").cogroup(part.groupBy("block", "salt")).applyInPandas(one, MATCHED))
             done.append(found.where("proven"))
             if whole:
                 break
@@ -200,32 +234,39 @@ def match(
 
 
 def _matcher(best: int, way_out_s: float, halo_m: float):
-    def one(key: tuple, options: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
-        names = [c.split()[0] for c in MATCHED.split(", ")]
+    names = [c.split()[0] for c in MATCHED.split(", ")]
+
+    def one(_: tuple, options: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
         if not len(options):
             return pd.DataFrame(columns=names)
         g = Csr(part.src.to_numpy(np.int64), part.dst.to_numpy(np.int64), part.seconds.to_numpy(float))
         pos = np.zeros((len(g.ids), 2))
         for k, e in (("src", "a"), ("dst", "b")):
             pos[np.searchsorted(g.ids, part[k].to_numpy(np.int64))] = part[[f"{e}lat", f"{e}lon"]].to_numpy(float)
-        rows = options.sort_values(["wp", "dist_m", "src", "dst"])
-        wps = sorted(rows.wp.unique().tolist())
-        layers = [[Option(g.number(int(u)), g.number(int(v)), float(c)) for u, v, c in zip(w.src, w.dst, w.cost, strict=True)] for _, w in rows.groupby("wp")]
+        legs, out = Legs(g, pos), []
+        rows = options.sort_values(["run_id", "group", "wp", "dist_m", "src", "dst"])
+        numbers = [np.searchsorted(g.ids, rows[c].to_numpy(np.int64)).tolist() for c in ("src", "dst")]
+        for key, run in itertools.groupby(zip(rows.run_id.tolist(), rows.group, rows.wp.tolist(), *numbers, rows.cost.tolist(), strict=True), lambda r: r[:2]):
+            by_wp = [(wp, [Option(u, v, c) for *_, u, v, c in w]) for wp, w in itertools.groupby(run, lambda r: r[2])]
+            out += match_one(key, [wp for wp, _ in by_wp], [layer for _, layer in by_wp], g, pos, legs)
+        return pd.DataFrame(out, columns=names)
+
+    def match_one(key: tuple, wps: list[int], layers: list[list[Option]], g: Csr, pos: np.ndarray, legs: Legs) -> list[tuple]:
         shortest: list[float] = []
-        found = viterbi(layers, g, pos, best, shortest)
+        found = viterbi(layers, g, pos, best, shortest, legs)
         # no choice of which a step leaves the tiles is cheaper than this: that step takes the way out and back, each other one at least its least
         steps = [min(s, way_out_s) for s in shortest[1:]] or [0.0]
         bound = sum(min(o.cost for o in layer) for layer in layers) + shortest[0] + sum(steps) - max(steps) + way_out_s
         all_of_them = min(best, math.prod(map(len, layers)))
         if way_out_s < math.inf and (len(found) < all_of_them or found[-1][0] >= bound):
-            return pd.DataFrame([{**dict.fromkeys(names), "run_id": key[0], "group": key[1], "halo_m": halo_m, "proven": False}], columns=names)
+            return [(*key, *[None] * (len(names) - 4), halo_m, False)]
         out = []
         for rank, (cost, chosen, path) in enumerate(found, 1):
             active = [{"src": int(g.ids[o.src]), "dst": int(g.ids[o.dst])} for o in (layer[i] for layer, i in zip(layers, chosen, strict=True))]
             ids = [int(g.ids[i]) for i in path]
             name = hashlib.sha256(f"{VERSION}{key}{active}{ids}".encode()).hexdigest()
             out.append((key[0], key[1], rank, name, wps, active, ids, [{"lat": pos[i][0], "lon": pos[i][1]} for i in path], cost, halo_m, True))
-        return pd.DataFrame(out, columns=names)
+        return out
 
     return one
 
