@@ -1,5 +1,6 @@
 """Distances and trees by sweeps over nested cells, against all-pairs relaxation, and on a long street."""
 
+import itertools
 import math
 import random
 
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_hub_labels import all_pairs, grid, sparse
 
-from tideway.operators import hub_labels, sweeps
+from tideway.operators import graph, hub_labels, sweeps
 from tideway.plans import trips
 
 
@@ -70,3 +71,22 @@ def test_cells_of_a_long_street_are_not_strips(spark):
     cell = {i: k // 64 for k, (_, i) in enumerate(placed)}
     across = sum(cell[i] != cell[j] for i in cell for j in ([i + 4] if i + 4 in cell else []) + ([i + 1] if i % 4 < 3 else []))
     assert across < 0.07 * len(cell)
+
+
+@pytest.mark.parametrize("sent", [0, 1000])
+def test_loads_of_trees_are_those_of_the_paths(spark, sent):
+    """Sums over edges without taking paths apart, against paths taken apart; both ways."""
+    edges = [(a, b, w + random.Random(a * 50 + b).random()) for a, b, w in grid(6, 3)] + [(100, 101, 2.0)]  # no equal paths
+    df = spark.createDataFrame(edges, "src long, dst long, len_m double")
+    rng = random.Random(2)
+    rows = [(rng.choice([0, 7, 20]), rng.randrange(36), rng.randrange(1, 5), rng.uniform(1, 9)) for _ in range(60)]
+    loads = spark.createDataFrame(rows + [(100, 101, 1, 0.5), (0, 100, 1, 1.0), (999, 0, 1, 1.0), (0, 999, 1, 1.0), (None, 1, 1, 1.0), (7, 7, 1, 1.0)], "u long, v long, n long, s double")
+    paths = {(r.u, r.v): (r.path, r.length) for r in graph.shortest_paths(loads.select("u", "v"), df).collect()}
+    want = {}
+    for u, v, n, s in [*rows, (100, 101, 1, 0.5)]:
+        path, length = paths.get((u, v), ([], 0.0))
+        for e in itertools.pairwise(path):
+            a, b = want.get(e, (0, 0.0))
+            want[e] = a + n, b + s - n * math.log(length)
+    got = {(r.src, r.dst): (r.n, r.s) for r in graph.tree_loads(loads, df, sent=sent).collect()}
+    assert got.keys() == want.keys() and all(got[e] == pytest.approx(want[e]) for e in want)
