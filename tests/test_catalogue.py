@@ -55,3 +55,14 @@ def test_cut_edges_of_one_place(spark, tmp_path):
     }
     got, want = _against_sql(spark, tmp_path, catalogue_more, "cut_edges", tables)
     assert got == want and want[0] == (0, 0, 0.0)
+
+
+def test_simple_paths_beyond_the_bound_of_the_sql(spark, tmp_path):
+    """From part 39 the only way to part 118 has eleven streets: it is none of those of up to nine that the SQL asks for."""
+    both = {5 * 40 + 38, 5 * 40 + 37, 4 * 40 + 37, 3 * 40 + 37, 2 * 40 + 37}
+    tables = {
+        "part": ([(k, 1 if k in both else 7) for k in range(240)], "p_partkey long, p_size int"),
+        "supplier": ([(39,), (0,), (119,)], "s_suppkey long"),
+    }
+    got, want = _against_sql(spark, tmp_path, catalogue_roads, "simple_paths", tables)
+    assert got == want and {r[0] for r in want} == {0, 119}
