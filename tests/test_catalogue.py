@@ -8,6 +8,7 @@ from pathlib import Path
 import pytest
 
 from tideway import catalogue, catalogue_more, catalogue_roads
+from tideway.operators import graph
 
 
 def _globals(code: types.CodeType) -> set[str]:
@@ -66,3 +67,14 @@ def test_simple_paths_beyond_the_bound_of_the_sql(spark, tmp_path):
     }
     got, want = _against_sql(spark, tmp_path, catalogue_roads, "simple_paths", tables)
     assert got == want and {r[0] for r in want} == {0, 119}
+
+
+def test_long_edges_are_cut_after_one_join(spark):
+    """Short, long, one-way and unplaced edges in one join, over edges that are made once."""
+    nodes = spark.createDataFrame([(i, i * 1.0, 0.0) for i in range(1, 5)], "id long, lat double, lon double")
+    edges = spark.createDataFrame([(1, 2, 120.0, "x"), (2, 1, 120.0, "y"), (3, 2, 90.0, "z"), (3, 4, 40.0, "w"), (4, 9, 500.0, "v"), (1, 1, 0.0, "u")], "src long, dst long, len_m double, name string")
+    new, cut = graph.break_long_edges(nodes, edges, 50.0)
+    assert cut._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    got = sorted((r.name, r.src, r.dst, r.len_m) for r in cut.collect())
+    assert got == sorted([("x", 1, 5, 40.0), ("x", 5, 6, 40.0), ("x", 6, 2, 40.0), ("y", 2, 6, 40.0), ("y", 6, 5, 40.0), ("y", 5, 1, 40.0), ("z", 3, 7, 45.0), ("z", 7, 2, 45.0), ("w", 3, 4, 40.0), ("v", 4, 9, 500.0), ("u", 1, 1, 0.0)])
+    assert sorted((r.id, round(r.lat, 6)) for r in new.collect())[4:] == [(5, 1.333333), (6, 1.666667), (7, 2.5)]
